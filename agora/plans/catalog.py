@@ -123,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # Importing these modules registers their queries.
-    from . import catalog_adhoc, catalog_marts, catalog_quality, catalog_streaming  # noqa: F401
+    from . import (catalog_adhoc, catalog_history, catalog_marts, catalog_quality,  # noqa: F401
+                   catalog_streaming)
