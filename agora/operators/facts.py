@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_diff, surrogate_key
+from ..plans.strategy import bounded_broadcast
 
 
-def fact_order_items(items: DataFrame, customers: DataFrame, sellers: DataFrame,
+def fact_order_items(items: DataFrame, customers: DataFrame | None, sellers: DataFrame,
                      products: DataFrame) -> DataFrame:
-    """Enriched items that have all three dimensions (inner joins)."""
-    j = (items
-         .join(customers.select("customer_id"), "customer_id")
-         .join(sellers.select("seller_id"), "seller_id")
-         .join(products.select("product_id"), "product_id"))
+    """Enriched items that have all three dimensions (inner joins).
+
+    ``customers=None`` means the customer join was already applied on the
+    order side (``orders_with_customer``): the same inner join, but it shuffles
+    the orders instead of the four-times larger items.  Sellers and products
+    are broadcast when their checked size allows.
+    """
+    j = items
+    if customers is not None:
+        j = j.join(customers.select("customer_id"), "customer_id")
+    j = (j.join(bounded_broadcast(sellers.select("seller_id")), "seller_id")
+         .join(bounded_broadcast(products.select("product_id")), "product_id"))
     return j.select(
         surrogate_key("order_id", "order_item_id").alias("order_item_key"),
         "order_id", "order_item_id",
@@ -51,3 +59,9 @@ def fact_reviews(int_reviews: DataFrame) -> DataFrame:
     return int_reviews.select(
         "review_key", "review_id", "order_id", "review_score", "review_sentiment",
         "review_creation_date", "review_answer_timestamp", "has_comment")
+
+
+def orders_with_customer(lifecycle: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders whose customer exists (inner join, fan-out kept): the customer
+    part of E1's joins, applied to the orders before they meet the items."""
+    return lifecycle.join(customers.select("customer_id"), "customer_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_diff, surrogate_key
+from ..plans.strategy import bounded_broadcast
 
 
 def geo_by_zip(stg_geo: DataFrame, city: str = "geo_city", state: str = "geo_state") -> DataFrame:
@@ -21,14 +22,14 @@ def geo_by_zip(stg_geo: DataFrame, city: str = "geo_city", state: str = "geo_sta
 def int_customers_geocoded(stg_customers: DataFrame, stg_geo: DataFrame) -> DataFrame:
     c = stg_customers.groupBy("customer_id", "customer_unique_id", "customer_zip_code_prefix").agg(
         F.min("customer_city").alias("customer_city"), F.min("customer_state").alias("customer_state"))
-    g = geo_by_zip(stg_geo)
+    g = bounded_broadcast(geo_by_zip(stg_geo))
     j = c.join(g, c.customer_zip_code_prefix == g.geolocation_zip_code_prefix, "left")
     return j.select("customer_id", "customer_unique_id", "customer_zip_code_prefix",
                     "customer_city", "customer_state", "geo_city", "geo_state")
 
 
 def int_sellers_geocoded(stg_sellers: DataFrame, stg_geo: DataFrame) -> DataFrame:
-    g = geo_by_zip(stg_geo)
+    g = bounded_broadcast(geo_by_zip(stg_geo))
     j = stg_sellers.join(g, stg_sellers.seller_zip_code_prefix == g.geolocation_zip_code_prefix, "left")
     return j.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state",
                     "geo_city", "geo_state")
@@ -59,8 +60,8 @@ def int_order_items_enriched(stg_items: DataFrame, lifecycle: DataFrame) -> Data
 
 
 def int_products_cleaned(stg_products: DataFrame, stg_translation: DataFrame) -> DataFrame:
-    t = stg_translation.select(F.col("product_category_name").alias("_cat"),
-                               "product_category_name_english")
+    t = bounded_broadcast(stg_translation.select(F.col("product_category_name").alias("_cat"),
+                                                 "product_category_name_english"))
     j = stg_products.join(t, stg_products.product_category_name == t._cat, "left")
     return j.select(
         "product_id", "product_name_length", "product_description_length", "product_photos_qty",

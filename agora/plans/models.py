@@ -84,8 +84,11 @@ class Warehouse:
     # --- facts (E) ---
     @cached_property
     def fact_order_items(self) -> DataFrame:
-        return E.fact_order_items(self.int_order_items_enriched, self.int_customers_geocoded,
-                                  self.int_sellers_geocoded, self.int_products_cleaned)
+        # Same rows as E1 over int_order_items_enriched; the customer join runs
+        # on the order side first so the items are shuffled once (by order_id).
+        orders = E.orders_with_customer(self.int_orders_lifecycle, self.int_customers_geocoded)
+        items = C.int_order_items_enriched(self.stg_order_items, orders)
+        return E.fact_order_items(items, None, self.int_sellers_geocoded, self.int_products_cleaned)
     @cached_property
     def fact_orders_accumulating(self) -> DataFrame:
         return E.fact_orders_accumulating(self.int_orders_lifecycle, processed_at=self.as_of)
