@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,10 +73,12 @@ STATE_SCHEMA = "table_name string, watermark_column string, strategy string, loa
 
 def state_init(state: DataFrame, tables: DataFrame) -> DataFrame:
     """A6 initialise-if-absent: add state rows for tables not yet tracked."""
-    new = tables.join(state.select("table_name"), "table_name", "left_anti").select(
-        "table_name", "watermark_column", "strategy",
-        F.lit(None).cast("timestamp_ntz").alias("load_from"), F.lit(None).cast("timestamp_ntz").alias("load_at"))
-    return state.unionByName(new)
+    new = tables.select("table_name", "watermark_column", "strategy",
+                        F.lit(None).cast("timestamp_ntz").alias("load_from"),
+                        F.lit(None).cast("timestamp_ntz").alias("load_at"), F.lit(1).alias("_p"))
+    both = state.withColumn("_p", F.lit(0)).unionByName(new)
+    first = F.row_number().over(Window.partitionBy("table_name").orderBy("_p"))
+    return both.withColumn("_rn", first).filter("_rn = 1").drop("_rn", "_p")
 
 
 def state_advance(state: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -263,8 +263,8 @@ def q_invoice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First transaction per (user, day) not already in a table holding the first 10 days."""
     f = _flat(spark, sf_dir).withColumn("day", F.floor(F.col("timestamp") / 1000 / 86_400_000).cast("long"))
-    first_day = f.agg(F.min("day").alias("d0"))
-    target = f.join(F.broadcast(first_day), F.col("day") < F.col("d0") + 10).drop("d0")
+    d0 = f.select(F.min("day")).scalar()
+    target = f.filter(F.col("day") < d0 + 10)
     ins = sinks.insert_if_absent(target, f, ["user_id", "day"], ["timestamp", "offset"])
     return ins.select("transaction_id", "user_id", "amount", "day")
 
@@ -279,10 +279,10 @@ def q_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table state before day 15 as a snapshot (op r) followed by later changes."""
     env = _env(spark, sf_dir)
-    cut = env.agg((F.min("ts_ms") + 15 * 86_400_000).alias("cut"))
+    cut = env.select(F.min("ts_ms") + 15 * 86_400_000).scalar()
     flat = cdc.cdc_flatten(env)
-    snap = flat.join(F.broadcast(cut), F.floor(F.col("timestamp") / 1000) < F.col("cut")).drop("cut")
-    changes = env.join(F.broadcast(cut), F.col("ts_ms") >= F.col("cut")).drop("cut")
+    snap = flat.filter(F.floor(F.col("timestamp") / 1000) < cut)
+    changes = env.filter(F.col("ts_ms") >= cut)
     u = cdc.snapshot_then_stream(snap, changes)
     return u.select("op", "after.transaction_id", "after.user_id", "after.amount", "after.timestamp")
 
