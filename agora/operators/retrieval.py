@@ -178,16 +178,33 @@ def route_query(turns: DataFrame, text_col: str = "text") -> DataFrame:
     return turns.withColumn("route", F.when(hybrid, "hybrid").when(doc, "document").otherwise("model"))
 
 
+def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int, salt_buckets: int = 64,
+                    salt_col: str | None = None) -> DataFrame:
+    """Exact top-``k`` rows per group in two rounds: first within
+    (group, salt) slices, then over the at most ``k * salt_buckets`` survivors
+    per group, so a group holding a third of all rows is never one task."""
+    salt = F.abs(F.hash(*[F.col(c) for c in ([salt_col] if salt_col else df.columns)])) % salt_buckets
+    d = df.withColumn("_salt", salt)
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+    d = d.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return d.withColumn("_rank", F.row_number().over(w2)).filter(F.col("_rank") <= k).drop("_salt", "_r1")
+
+
 def recent_exchanges(turns: DataFrame, keep: int = 10, show: int = 3) -> DataFrame:
     """Pair each user turn with the assistant turn right after it, keep the
     last ``keep`` exchanges per conversation and render the last ``show`` as
-    'User: ...' / 'Assistant: ...' lines, oldest first."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = turns.select("conv_id", "turn", "role", "text",
-                     F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("next_text"))
-    ex = t.filter((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    ex = ex.withColumn("k", F.row_number().over(last)).filter(F.col("k") <= keep)
+    'User: ...' / 'Assistant: ...' lines, oldest first.
+
+    The next turn is found by an equi-join on (conv_id, turn + 1) instead of a
+    per-conversation window, and the last ``keep`` by a two-round top-k.
+    """
+    t = turns.select("conv_id", "turn", "role", "text")
+    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"),
+                       F.col("text").alias("next_text"))
+    ex = (t.filter(F.col("role") == "user").join(nxt, ["conv_id", "turn"])
+          .filter(F.col("next_role") == "assistant"))
+    ex = top_k_per_group(ex, ["conv_id"], [F.desc("turn")], keep, salt_col="turn").withColumnRenamed("_rank", "k")
     pair = F.concat(F.lit("User: "), F.col("text"), F.lit("\nAssistant: "), F.col("next_text"))
     g = ex.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("exchanges_kept"),
