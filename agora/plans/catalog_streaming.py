@@ -70,6 +70,15 @@ def q_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.cdc_to_json(_flat(spark, sf_dir))
 
 
+@register("S3_cdc_rejects", f"""WITH {ENV_SQL}
+  SELECT CASE WHEN op NOT IN ('c', 'u', 'r') THEN 'operation' WHEN op = 'd' THEN 'no_after'
+              ELSE 'missing_field' END AS reject_reason, count(*) AS rejected
+  FROM env WHERE "offset" NOT IN (SELECT "offset" FROM flat) GROUP BY 1""")
+def q_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected envelopes counted per reason (the quarantine side output)."""
+    return cdc.cdc_rejects(_env(spark, sf_dir)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rejected"))
+
+
 @register("S4_json_parse", f"""WITH {ENV_SQL}
   SELECT user_id, amount, "timestamp" // 1000 AS event_time_ms, "offset" FROM flat""")
 def q_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,10 +153,16 @@ STREAM_OUT_SCHEMA = T.StructType([
 ])
 
 
-def _bucket_state_fn(window_days: int, threshold: Decimal):
+def _bucket_state_fn(window_days: int, threshold: Decimal, ttl: bool = False):
     cent = Decimal("0.01")
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if ttl and state.hasTimedOut:
+            # Watermark passed the end of the user's newest window: nothing in
+            # this state can count again for in-order events, so drop it.
+            state.remove()
+            yield pd.DataFrame(columns=["user_id", "total_amount", "bucket_count", "event_time_ms"])
+            return
         if state.exists:
             days, sums, last = state.get
             buckets = {int(d): Decimal(s) for d, s in zip(days, sums)}
@@ -181,16 +187,29 @@ def _bucket_state_fn(window_days: int, threshold: Decimal):
                 last = None
         ds = sorted(buckets)
         state.update((ds, [str(buckets[d]) for d in ds], None if last is None else str(last)))
+        if ttl and ds:
+            state.setTimeoutTimestamp((ds[-1] + window_days + 1) * DAY_MS)
         yield pd.DataFrame(out, columns=["user_id", "total_amount", "bucket_count", "event_time_ms"])
 
     return fn
 
 
-def rolling_alert_stream(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD) -> DataFrame:
+def rolling_alert_stream(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD,
+                         state_ttl: str | None = None) -> DataFrame:
     """S7 streaming form: ``groupBy(user).applyInPandasWithState`` with at most
-    ``window_days + 1`` buckets of state per user (RocksDB state store)."""
-    fn = _bucket_state_fn(window_days, Decimal(str(threshold)))
+    ``window_days + 1`` buckets of state per user (RocksDB state store).
+
+    ``state_ttl`` (S6), e.g. ``'5 seconds'``: an event-time watermark with that
+    delay; a user's state is dropped once the watermark passes the end of its
+    newest window.  Events are never dropped for being late (the watermark only
+    bounds state), unless they arrive after their user's state expired.
+    Without it, idle users keep their (bounded) state forever, as the original.
+    """
+    fn = _bucket_state_fn(window_days, Decimal(str(threshold)), ttl=state_ttl is not None)
     t = tx.select("user_id", F.col("amount").cast("string").alias("amount"), "event_time_ms",
                   F.col("tie").cast("long").alias("tie"))
-    return t.groupBy("user_id").applyInPandasWithState(
-        fn, STREAM_OUT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+    timeout = "NoTimeout"
+    if state_ttl is not None:
+        t = t.withColumn("event_time", F.timestamp_millis("event_time_ms")).withWatermark("event_time", state_ttl)
+        timeout = "EventTimeTimeout"
+    return t.groupBy("user_id").applyInPandasWithState(fn, STREAM_OUT_SCHEMA, STATE_SCHEMA, "append", timeout)

@@ -105,6 +105,17 @@ def cdc_flatten(env: DataFrame, strict_truthiness: bool = True) -> DataFrame:
     return env.filter(keep).select("after.*", "op", *extra)
 
 
+def cdc_rejects(env: DataFrame) -> DataFrame:
+    """S3 side output: envelopes that ``cdc_flatten`` drops, with the reason
+    (``op`` not c/u/r, no ``after`` image, or a required field missing/empty)."""
+    reason = (F.when(~F.col("op").isin("c", "u", "r") | F.col("op").isNull(), "operation")
+              .when(F.col("after").isNull(), "no_after")
+              .when(~(_present(F.col("after.user_id")) & _present(F.col("after.amount"))
+                      & _present(F.col("after.timestamp"))), "missing_field"))
+    extra = [c for c in ("offset",) if c in env.columns]
+    return env.select(reason.alias("reject_reason"), "op", "ts_ms", *extra).filter(F.col("reject_reason").isNotNull())
+
+
 def cdc_to_json(flat: DataFrame, key: str = "user_id") -> DataFrame:
     """S3: simplified JSON record {user_id, amount, timestamp_micros, currency, op}
     with its message key (as a Kafka sink expects: ``key``, ``value``)."""

@@ -31,10 +31,10 @@ def _dump(path, i, chunk):
             f.write(json.dumps(r) + "\n")
 
 
-def _alert_stream(spark, src):
+def _alert_stream(spark, src, ttl=None):
     stream = cdc.cdc_source(spark, src, max_files_per_trigger=1)
     tx = S.transactions(stream)
-    return S.rolling_alert_stream(tx, window_days=7, threshold=900)
+    return S.rolling_alert_stream(tx, window_days=7, threshold=900, state_ttl=ttl)
 
 
 def _batch_alerts(spark):
@@ -43,12 +43,13 @@ def _batch_alerts(spark):
     return sorted((r.user_id, str(r.total_amount), r.bucket_count) for r in b.collect())
 
 
-def test_rolling_alert_stream_replay_equals_batch(spark, tmp_dir):
+@pytest.mark.parametrize("ttl", [None, "5 seconds"])
+def test_rolling_alert_stream_replay_equals_batch(spark, tmp_dir, ttl):
     src = f"{tmp_dir}/src"
     for i, ch in enumerate(_write_envelope_files(spark, src)):
         _dump(src, i, ch)
     name = f"alerts_{uuid.uuid4().hex[:6]}"
-    q = (_alert_stream(spark, src).writeStream.format("memory").queryName(name).outputMode("append")
+    q = (_alert_stream(spark, src, ttl).writeStream.format("memory").queryName(name).outputMode("append")
          .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination(300)
     got = sorted((r.user_id, r.total_amount, r.bucket_count) for r in spark.sql(f"SELECT * FROM {name}").collect())
