@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import day_diff
+from ..plans.strategy import bounded_broadcast
 from .marts import avg6, ratio6
 
 
@@ -38,8 +39,8 @@ def monthly_revenue_trend(fact_items: DataFrame, dim_date: DataFrame) -> DataFra
     d = dim_date.select(F.col("date_day").alias("purchase_date"), F.col("year_number").alias("year"),
                         F.col("month_number").alias("month"),
                         F.date_format("date_day", "MMMM").alias("month_name"))
-    # The calendar is bounded by its date range (one row per day).
-    j = fact_items.join(F.broadcast(d), "purchase_date")
+    # One row per calendar day: broadcast after the size check.
+    j = fact_items.join(bounded_broadcast(d), "purchase_date")
     return (j.groupBy("year", "month", "month_name")
             .agg(F.sum("total_item_value").alias("monthly_revenue"),
                  F.count_distinct("order_id").alias("order_count"))

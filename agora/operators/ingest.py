@@ -17,11 +17,14 @@ from ..sources.contracts import Contract
 
 
 def orphan_split(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a parent (or a NULL key, as NOT IN keeps them) and the rest."""
-    p = parent.select(F.col(pk).alias("_pk")).filter(F.col("_pk").isNotNull())
-    has = child.join(p, F.col(fk) == F.col("_pk"), "left_semi")
-    keep = has.unionByName(child.filter(F.col(fk).isNull()))
-    rejected = child.filter(F.col(fk).isNotNull()).join(p, F.col(fk) == F.col("_pk"), "left_anti")
+    """Rows with a parent (or a NULL key, as NOT IN keeps them) and the rest.
+
+    One left join against the distinct parent keys (both sides shuffle on the
+    key once) serves both outputs, so the child is scanned once."""
+    p = parent.select(F.col(pk).alias("_pk")).filter(F.col("_pk").isNotNull()).distinct()
+    j = child.join(p, F.col(fk) == F.col("_pk"), "left")
+    keep = j.filter(F.col("_pk").isNotNull() | F.col(fk).isNull()).drop("_pk")
+    rejected = j.filter(F.col("_pk").isNull() & F.col(fk).isNotNull()).drop("_pk")
     return keep, rejected
 
 

@@ -120,14 +120,14 @@ def dq_quality_score(df: DataFrame, pk: Sequence[str], cols: Sequence[str] | Non
 
 
 def dq_check_enum(df: DataFrame, checks: dict[str, Sequence]) -> DataFrame:
-    """CHECK-constraint style enums; one row per violating (row, column)."""
-    parts = [df.filter(_not_accepted(c, v)).select(F.lit(c).alias("check_column"),
-                                                   F.col(c).cast("string").alias("bad_value"), *df.columns)
-             for c, v in checks.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """CHECK-constraint style enums; one row per violating (row, column).
+
+    All checks run in one pass: each row emits one struct per failed check."""
+    hits = F.filter(F.array(*[
+        F.when(_not_accepted(c, v), F.struct(F.lit(c).alias("check_column"), F.col(c).cast("string").alias("bad_value")))
+        for c, v in checks.items()]), lambda x: x.isNotNull())
+    return (df.select(F.explode(hits).alias("_v"), *df.columns)
+            .select("_v.check_column", "_v.bad_value", *df.columns))
 
 
 @dataclass

@@ -213,3 +213,29 @@ def rolling_alert_stream(tx: DataFrame, window_days: int = WINDOW_DAYS, threshol
         t = t.withColumn("event_time", F.timestamp_millis("event_time_ms")).withWatermark("event_time", state_ttl)
         timeout = "EventTimeTimeout"
     return t.groupBy("user_id").applyInPandasWithState(fn, STREAM_OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+
+
+def stream_alert_rows(out: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD) -> DataFrame:
+    """Alert rows (the batch ``rolling_alert`` columns, without the extra
+    transaction_count) from the keyed-state output."""
+    total = F.col("total_amount").cast(MONEY)
+    return out.select(
+        "user_id", total.alias("total_amount"), F.col("bucket_count").cast("int").alias("bucket_count"),
+        F.lit(ALERT_TYPE).alias("alert_type"),
+        F.concat(F.lit("User spent $"), total.cast("string"), F.lit(f" in last {window_days} days")).alias("message"),
+        F.lit(SEVERITY).alias("severity"),
+        F.timestamp_millis("event_time_ms").cast("timestamp_ntz").alias("detected_at"),
+        F.lit(window_days).alias("window_days"), F.lit(threshold).cast(MONEY).alias("threshold_amount"))
+
+
+def upsert_alerts_into(path: str):
+    """foreachBatch body for S9: merge a micro-batch of alerts into the alert
+    table (one row per user) kept as versioned folders under ``path``.
+    Replaying a batch gives the same table (newest alert wins, first
+    ``created_at`` kept)."""
+    from ..operators.merge import read_current, write_version
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        target = read_current(batch.sparkSession, path)
+        write_version(alert_upsert(batch, target), path)
+    return write
