@@ -48,19 +48,22 @@ def _review_csv(spark: SparkSession, sf_dir: str) -> str:
            .when(s == 2, F.lit("   ")).otherwise(F.col("review_comment_message")))
     path = _scratch(spark, "reviews_csv")
     (r.withColumn("review_comment_message", msg).write.option("header", True).option("quote", '"')
-     .option("escape", '"').option("lineSep", "\r\n").option("quoteAll", False).csv(path))
+     .option("escape", '"').option("lineSep", "\r\n").option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
 @register("A2_csv_import", with_ctes("""SELECT review_id, order_id, review_score, review_comment_title,
     CASE WHEN review_score = 5 THEN review_comment_message || ' thanks'
          WHEN review_score = 4 THEN '"great", ' || review_comment_message
-         WHEN review_score = 2 THEN NULL ELSE review_comment_message END AS review_comment_message,
+         WHEN review_score = 2 THEN '   ' ELSE review_comment_message END AS review_comment_message,
     review_creation_date, review_answer_timestamp FROM raw_reviews"""))
 def q_csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of the reviews through a messy CSV file."""
     path = _review_csv(spark, sf_dir)
-    return files.csv_import(spark, path, CONTRACTS["order_reviews"], newline_columns=["review_comment_message"])
+    # Reviews: NULLIF(x, '') without trimming, newlines in the message become spaces.
+    return files.csv_import(spark, path, CONTRACTS["order_reviews"], trim_blanks=False,
+                            newline_columns=["review_comment_message"])
 
 
 @register("A3_orphan_prune", with_ctes("""SELECT i.order_id, i.order_item_id, i.product_id, i.seller_id

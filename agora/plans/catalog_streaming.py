@@ -144,8 +144,9 @@ def q_rolling7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("S8_cumulative_alert", f"""WITH {ENV_SQL},
-  tx AS (SELECT user_id, abs(CAST(amount AS DECIMAL(12,2))) AS amount, "timestamp" // 1000 AS ms,
-           "offset" AS tie FROM flat),
+  tx AS (SELECT user_id, abs(TRY_CAST(amount AS DECIMAL(12,2))) AS amount, "timestamp" // 1000 AS ms,
+           "offset" AS tie FROM env
+         WHERE op IN ('c', 'u', 'r') AND user_id IS NOT NULL AND TRY_CAST(amount AS DECIMAL(12,2)) IS NOT NULL),
   r AS (SELECT *, sum(amount) OVER (PARTITION BY user_id ORDER BY ms, tie ROWS UNBOUNDED PRECEDING) AS total,
           row_number() OVER (PARTITION BY user_id ORDER BY ms, tie) AS n FROM tx)
   SELECT user_id, CAST(total AS DOUBLE) AS total_amount, CAST(n AS INT) AS transaction_count,
@@ -157,7 +158,7 @@ def q_rolling7(spark: SparkSession, sf_dir: str) -> DataFrame:
     strftime(epoch_ms(ms), '%Y-%m-%d %H:%M:%S.%f') AS updated_at
   FROM r WHERE total >= 3000.00""")
 def q_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.cumulative_alert(S.transactions(_env(spark, sf_dir)))
+    return S.cumulative_alert(S.transactions(_env(spark, sf_dir), strict_truthiness=False))
 
 
 @register("S9_alert_upsert", f"""WITH a AS ({_alert_sql(30, "3000.00")})

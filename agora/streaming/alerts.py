@@ -47,15 +47,20 @@ def running_totals(df: DataFrame, keys: Sequence[str], split: Column, order: Seq
                     (F.col("_off_n") + F.row_number().over(inner)).alias("run_n"))
 
 
-def transactions(env_or_flat: DataFrame) -> DataFrame:
-    """Accepted transactions as (user_id, amount=|amount| decimal, event_time_ms, tie)."""
-    flat = cdc_flatten(env_or_flat) if "after" in env_or_flat.columns else env_or_flat
+def transactions(env_or_flat: DataFrame, strict_truthiness: bool = True) -> DataFrame:
+    """Accepted transactions as (user_id, amount=|amount| decimal, event_time_ms, tie).
+
+    Amounts arrive as text; text that is not a number is dropped here (it
+    would stop the original job).  ``strict_truthiness=False`` is the SQL
+    job's filter (NULL checks only) used by the cumulative alert.
+    """
+    flat = (cdc_flatten(env_or_flat, strict_truthiness) if "after" in env_or_flat.columns else env_or_flat)
     tie = F.col("offset") if "offset" in flat.columns else F.col("transaction_id")
     return flat.select(
         "user_id",
-        F.abs(F.col("amount").cast(MONEY)).alias("amount"),
+        F.abs(F.col("amount").try_cast(MONEY)).alias("amount"),
         F.floor(F.col("timestamp") / 1000).alias("event_time_ms"),
-        tie.alias("tie"))
+        tie.alias("tie")).filter(F.col("amount").isNotNull())
 
 
 def rolling_alert(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD,
