@@ -15,6 +15,7 @@ from ..sources.tables import read_table
 from .catalog import register
 from .models import Warehouse
 from .oracle import enc, sk, with_ctes
+from .strategy import written_table
 
 CUT = "1998-06-01"          # boundary of the earlier load
 AS_OF_MERGE = "2001-08-01"  # 'today' of the later load
@@ -34,7 +35,7 @@ FOI = ("order_item_key, order_id, order_item_id, customer_key, seller_key, produ
 def q_merge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier load up to CUT, then a restated full source (freight + 1)."""
     f = Warehouse(spark, sf_dir).fact_order_items
-    target = f.filter(F.col("purchase_date") < F.lit(CUT).cast("date"))
+    target = written_table(f.filter(F.col("purchase_date") < F.lit(CUT).cast("date")), "fact_order_items")
     source = f.withColumn("freight_value", F.col("freight_value") + 1)
     return I.merge_order_items(target, source)
 
@@ -55,7 +56,7 @@ FOA = ("order_id, customer_id, order_status, t:purchase_date, t:approved_date, t
 def q_merge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Warehouse(spark, sf_dir)
     f = w.fact_orders_accumulating
-    target = f.filter(F.col("purchase_date") < F.lit(CUT).cast("timestamp_ntz"))
+    target = written_table(f.filter(F.col("purchase_date") < F.lit(CUT).cast("timestamp_ntz")), "fact_orders")
     source = f.withColumn("processed_at", F.lit(AS_OF_MERGE).cast("timestamp_ntz"))
     return I.merge_orders(target, source, w.int_orders_lifecycle, AS_OF_MERGE)
 
@@ -86,7 +87,7 @@ def _reviews_sql(key: str) -> str:
 @register("I3_merge_reviews", _reviews_sql("review_key"))
 def q_merge_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Warehouse(spark, sf_dir).fact_reviews
-    target = f.filter(F.col("review_creation_date") < f"{CUT} 00:00:00")
+    target = written_table(f.filter(F.col("review_creation_date") < f"{CUT} 00:00:00"), "fact_reviews")
     return I.merge_reviews(target, f)
 
 
@@ -94,7 +95,7 @@ def q_merge_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_merge_reviews_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged on review_id as written (duplicate ids reduced to the newest)."""
     f = Warehouse(spark, sf_dir).fact_reviews
-    target = f.filter(F.col("review_creation_date") < f"{CUT} 00:00:00")
+    target = written_table(f.filter(F.col("review_creation_date") < f"{CUT} 00:00:00"), "fact_reviews")
     return I.merge_reviews(target, f, key="review_id")
 
 
@@ -200,7 +201,7 @@ def q_snap_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("customer_city", F.when(F.col("c_mktsegment") == "BUILDING", F.upper("customer_city"))
                         .otherwise(F.col("customer_city")))
             .drop("c_acctbal", "c_mktsegment"))
-    h = G.snap_dim_customer(None, day1, T1)
+    h = written_table(G.snap_dim_customer(None, day1, T1), "snap_dim_customer")
     return G.snap_dim_customer(h, day2, T2)
 
 
@@ -228,7 +229,7 @@ def q_snap_product(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("product_weight_kg", F.when(F.col("p_brand") == "Brand#11", F.col("product_weight_kg") + 1)
                         .otherwise(F.col("product_weight_kg")))
             .drop("p_size", "p_retailprice", "p_brand"))
-    h = G.snap_dim_product(None, day1, T1)
+    h = written_table(G.snap_dim_product(None, day1, T1), "snap_dim_product")
     return G.snap_dim_product(h, day2, T2)
 
 
@@ -264,7 +265,8 @@ def q_snap_seller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day 1: sellers with positive balance; day 2: balance < 8000, geo_state
     of five nations turned NULL (a NULL-safe change)."""
     d1, d2, _ = _seller_days(spark, sf_dir)
-    return G.snap_dim_seller(G.snap_dim_seller(None, d1, T1), d2, T2)
+    h = written_table(G.snap_dim_seller(None, d1, T1), "snap_dim_seller")
+    return G.snap_dim_seller(h, d2, T2)
 
 
 @register("G4_scd2_check", _snap_sql(SELLER_RUNS + [(_sell_src_sql("TRUE"), T3), (_sell_src_sql("TRUE"), T3)],
@@ -273,7 +275,8 @@ def q_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three seller runs (deleted keys come back, NULL -> value) and a rerun
     of day 3, which must change nothing."""
     d1, d2, d3 = _seller_days(spark, sf_dir)
-    h = G.snap_dim_seller(None, d1, T1)
-    h = G.snap_dim_seller(h, d2, T2)
-    h = G.snap_dim_seller(h, d3, T3)
+    # Each run reads the history table the previous run wrote.
+    h = written_table(G.snap_dim_seller(None, d1, T1), "snap_dim_seller")
+    h = written_table(G.snap_dim_seller(h, d2, T2), "snap_dim_seller")
+    h = written_table(G.snap_dim_seller(h, d3, T3), "snap_dim_seller")
     return G.snap_dim_seller(h, d3, T3)

@@ -168,4 +168,6 @@ def q_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
              T("relationships", "customer_key", parent=w.dim_customer, parent_key="customer_key"),
              T("relationships", "seller_key", parent=w.dim_seller, parent_key="seller_key"),
              T("relationships", "product_key", parent=w.dim_product, parent_key="product_key")]
+    # Each test reads only the columns it needs from the model; on a cluster the
+    # suite is pointed at the built model table instead (``written_table``).
     return H.dq_suite("fact_order_items", w.fact_order_items, tests)

@@ -8,12 +8,26 @@ runtime broadcast chosen by AQE from measured shuffle sizes).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 DEFAULT_MAX_ROWS = 200_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared ``spark.checkpoint.dir`` and
+    read it back: a built table that later steps scan instead of recomputing
+    the lineage (and that survives executor loss)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/agora/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
