@@ -127,3 +127,35 @@ def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
         w = w.partitionBy(*partition_by)
     w.parquet(out)
     return out
+
+
+def merge_into_partitions(source: DataFrame, path: str, keys: Sequence[str], partition_cols: Sequence[str],
+                          stage_path: str) -> None:
+    """I4 on a partitioned Parquet table: rewrite only the partitions the
+    source touches.
+
+    The touched partitions of the target are read (a semi join on the
+    partition columns, so only their folders are scanned), upserted with the
+    source, written to ``stage_path`` (a folder in the shared checkpoint
+    location: Spark cannot overwrite a path it is reading), and moved into
+    ``path`` with dynamic partition overwrite; other partitions are not
+    touched.  A key must not change partition (e.g. a purchase month).
+    """
+    spark = source.sparkSession
+    parts = list(partition_cols)
+    try:
+        target = spark.read.parquet(path)
+    except Exception:  # no table yet
+        target = None
+    if target is None:
+        source.write.partitionBy(*parts).parquet(path)
+        return
+    touched = source.select(*parts).distinct()
+    current = target.join(touched, parts, "left_semi")
+    merged = upsert_by_key(current.select(source.columns), source, keys)
+    # Rewritten partitions keep the table's column types, so all files agree.
+    types = {f.name: f.dataType for f in target.schema.fields}
+    merged = merged.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in source.columns])
+    merged.write.mode("overwrite").partitionBy(*parts).parquet(stage_path)
+    (spark.read.parquet(stage_path).select(source.columns).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))

@@ -40,6 +40,34 @@ def q_merge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.merge_order_items(target, source)
 
 
+@register("I1_merge_order_items_partitioned", with_ctes(f"""SELECT {enc(FOI)}, purchase_month FROM (
+  WITH t AS (SELECT * FROM fact_order_items WHERE purchase_date < DATE '{CUT}'),
+    s AS (SELECT * REPLACE (freight_value + 1 AS freight_value) FROM fact_order_items),
+    hi AS (SELECT coalesce(max(purchase_date), DATE '1900-01-01') AS m FROM t),
+    sl AS (SELECT s.* FROM s WHERE s.purchase_date >= (SELECT m FROM hi)),
+    m AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM sl WHERE sl.order_item_key = t.order_item_key)
+          UNION ALL SELECT * FROM sl)
+  SELECT *, strftime(purchase_date, '%Y-%m') AS purchase_month FROM m)"""))
+def q_merge_items_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1 on a table partitioned by purchase month: only the months in the
+    incremental slice are rewritten (dynamic partition overwrite)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    base = f"{checkpoint_dir(spark).rstrip('/')}/agora/partitioned/{uuid.uuid4().hex}"
+    f = Warehouse(spark, sf_dir).fact_order_items.withColumn("purchase_month",
+                                                            F.date_format("purchase_date", "yyyy-MM"))
+    f.filter(F.col("purchase_date") < F.lit(CUT).cast("date")).write.partitionBy("purchase_month").parquet(
+        f"{base}/table")
+    target = spark.read.parquet(f"{base}/table")
+    hi = target.select(F.coalesce(F.max("purchase_date"), F.lit("1900-01-01").cast("date"))).scalar()
+    slice_ = f.withColumn("freight_value", F.col("freight_value") + 1).filter(F.col("purchase_date") >= hi)
+    I.merge_into_partitions(slice_, f"{base}/table", ["order_item_key"], ["purchase_month"], f"{base}/stage")
+    out = spark.read.parquet(f"{base}/table")
+    return out.select(*[c for c in f.columns if c != "purchase_month"],
+                      F.col("purchase_month").cast("string").alias("purchase_month"))
+
+
 FOA = ("order_id, customer_id, order_status, t:purchase_date, t:approved_date, t:carrier_date, t:delivered_date, "
        "t:estimated_date, purchase_to_approve_days, approve_to_ship_days, ship_to_deliver_days, on_time_flag, "
        "t:processed_at")

@@ -481,3 +481,17 @@ def test_lake_write_empty_writes_nothing(spark, tmp_dir):
     assert path is None and n == 0
     path, n = files.lake_write(spark.range(3), tmp_dir, "t", "r2")
     assert n == 3 and spark.read.parquet(path).count() == 3
+
+
+def test_merge_into_partitions_rewrites_only_touched(spark, tmp_dir):
+    import glob
+    import os
+    t = spark.createDataFrame([(1, "a", "m1"), (2, "b", "m1"), (3, "c", "m2")], "k int, v string, p string")
+    path = f"{tmp_dir}/t"
+    I.merge_into_partitions(t, path, ["k"], ["p"], f"{tmp_dir}/s0")
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/p=m2/*.parquet")}
+    src = spark.createDataFrame([(2, "B", "m1"), (4, "d", "m1")], "k int, v string, p string")
+    I.merge_into_partitions(src, path, ["k"], ["p"], f"{tmp_dir}/s1")
+    got = sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v", "p").collect())
+    assert got == [(1, "a", "m1"), (2, "B", "m1"), (3, "c", "m2"), (4, "d", "m1")]
+    assert {f: os.path.getmtime(f) for f in glob.glob(f"{path}/p=m2/*.parquet")} == before
