@@ -29,8 +29,27 @@ CORE_CONF = {
 }
 
 
+# Sizing for the 100 TB / ~1000-executor target (applied with profile="cluster").
+# Input splits of 256 MB give ~400k scan tasks; the largest shuffle (order
+# items, tens of TB) starts at 32768 partitions and AQE coalesces toward 256 MB
+# per partition, splitting partitions above 5x the median (and 1 GB) on joins.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.shuffle.partitions": "32768",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1GB",
+    "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2",
+    "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.shuffle.service.enabled": "true",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "agora") -> SparkSession:
+                app_name: str = "agora", profile: str = "local") -> SparkSession:
     """Build (or fetch) a session with the core settings applied.
 
     ``master``/``shuffle_partitions`` are only for local runs and tests; on a
@@ -46,6 +65,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in CORE_CONF.items():
         builder = builder.config(k, v)
+    if profile == "cluster":
+        for k, v in CLUSTER_CONF.items():
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     apply_core_conf(spark)
     spark.sparkContext.setLogLevel("ERROR")
