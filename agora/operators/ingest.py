@@ -153,6 +153,7 @@ def rowcount_nonzero(tables: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("ok", F.col("row_count") > 0)
 
 
+# Fixed values normalised to NULL before a relational sink.
 NULL_TOKENS = ("NaN", "nan", "null", "")
 
 

@@ -10,6 +10,7 @@ from .catalog import register
 from .models import Warehouse
 from .oracle import enc, with_ctes
 
+# Fixed accepted order statuses of the staging tests.
 STATUSES = ["delivered", "shipped", "canceled", "processing", "invoiced", "created", "approved", "unavailable"]
 STATUS_SQL = ", ".join(f"'{s}'" for s in STATUSES)
 
@@ -120,6 +121,7 @@ def q_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.dq_quality_score(r, ["review_id"], ["review_id", "order_id", "review_comment_message"])
 
 
+# Fixed event type enumeration checked on the event stream.
 ENUM_EVENT_TYPES = ["signup", "click", "view", "purchase"]
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .cdc import DAY_MS, cdc_flatten
 
+# Fixed values of the alert jobs.
 THRESHOLD = Decimal("3000.00")
 WINDOW_DAYS = 30
 ALERT_TYPE = "HIGH_VALUE_USER"
