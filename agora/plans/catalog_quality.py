@@ -40,6 +40,15 @@ def q_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.dq_accepted_values(p, "product_category_name", ["standard", "medium", "large", "small", "economy"])
 
 
+@register("H3_dq_accepted_values_order_status", with_ctes(
+    f"""SELECT order_id, order_status FROM stg_orders
+        WHERE order_status IS NOT NULL AND order_status NOT IN ({STATUS_SQL})"""))
+def q_accepted_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared order-status list (passes: no rows)."""
+    o = Warehouse(spark, sf_dir).stg_orders.select("order_id", "order_status")
+    return H.dq_accepted_values(o, "order_status", STATUSES)
+
+
 @register("H4_dq_relationships", with_ctes(
     """SELECT c.customer_id, c.customer_zip_code_prefix FROM stg_customers c
        WHERE c.customer_zip_code_prefix IS NOT NULL
