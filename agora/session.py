@@ -63,6 +63,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Small local shuffles: keep at least one partition per core after AQE
+        # coalescing, since per-row work (hashing, JSON) is CPU-bound here.
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(shuffle_partitions))
     for k, v in CORE_CONF.items():
         builder = builder.config(k, v)
     if profile == "cluster":
