@@ -138,3 +138,18 @@ def test_alert_upsert_stream_equals_batch(spark, tmp_dir):
     want = sorted((r.user_id, str(r.total_amount), r.bucket_count, str(r.detected_at), str(r.created_at))
                   for r in b.collect())
     assert got == want
+
+
+def test_progress_log_feeds_throughput(spark, tmp_dir):
+    from agora.operators import runmetrics as L
+    src = f"{tmp_dir}/src"
+    for i, ch in enumerate(_write_envelope_files(spark, src, n_files=3)):
+        _dump(src, i, ch)
+    q = (cdc.cdc_source(spark, src, max_files_per_trigger=1).writeStream.format("noop")
+         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    log = L.progress_log(spark, q)
+    tp = L.op_throughput(log).collect()
+    assert sum(r.records for r in tp) == 1000
+    assert all(r.records_per_second >= 0 for r in tp)
+    assert L.batch_success_rate(log).first().success_rate == 100.0
