@@ -144,31 +144,34 @@ def copy_by_name(staged: DataFrame, target_schema: T.StructType) -> tuple[DataFr
     return t.filter(~F.col("_bad")).drop("_bad"), t.filter(F.col("_bad")).drop("_bad")
 
 
-def chunked_append(df: DataFrame, write_chunk: Callable[[pd.DataFrame], None], chunk_rows: int = 1000
+def chunked_append(df: DataFrame, write_chunk: Callable[[pd.DataFrame, str], None], chunk_rows: int = 1000
                    ) -> DataFrame:
     """Append in chunks from every partition; a failed chunk is reported
     and the others continue.  Returns one status row per chunk
-    (partition_chunk, rows, status, error); nothing goes through the driver.
+    (chunk_id, rows, status, error); nothing goes through the driver.
 
-    ``write_chunk`` receives a pandas chunk and writes it (JDBC executemany,
-    a Parquet file, ...); it runs on the executors.
+    ``write_chunk(pdf, chunk_id)`` runs on the executors.  Chunk ids are
+    ``<partition>-<chunk>``: a task retried after an executor loss produces
+    the same ids, so a writer keyed by them (file name, upsert key) rewrites
+    instead of appending twice.
     """
     out_schema = "chunk_id string, rows long, status string, error string"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buf: list[pd.DataFrame] = []
-        n = 0
-        task = uuid.uuid4().hex[:12]
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
         status = []
 
         def flush(part: pd.DataFrame, k: int):
+            cid = f"{pid:05d}-{k:06d}"
             try:
-                write_chunk(part)
-                status.append((f"{task}-{k}", len(part), "ok", None))
+                write_chunk(part, cid)
+                status.append((cid, len(part), "ok", None))
             except Exception as e:  # keep going with the next chunk
-                status.append((f"{task}-{k}", len(part), "failed", str(e)[:200]))
+                status.append((cid, len(part), "failed", str(e)[:200]))
 
-        k = 0
+        buf: list[pd.DataFrame] = []
+        n = k = 0
         for pdf in it:
             buf.append(pdf)
             n += len(pdf)
@@ -185,16 +188,19 @@ def chunked_append(df: DataFrame, write_chunk: Callable[[pd.DataFrame], None], c
     return df.mapInPandas(run, out_schema)
 
 
-def parquet_chunk_writer(path: str) -> Callable[[pd.DataFrame], None]:
-    """Chunk writer for ``chunked_append`` that writes one Parquet file per chunk."""
-    def write(pdf: pd.DataFrame) -> None:
+def parquet_chunk_writer(path: str) -> Callable[[pd.DataFrame, str], None]:
+    """Chunk writer for ``chunked_append``: one Parquet file per chunk id,
+    written to a temporary name and renamed, so a retry replaces the file."""
+    def write(pdf: pd.DataFrame, chunk_id: str) -> None:
         import os
 
         import pyarrow as pa
         import pyarrow.parquet as pq
         os.makedirs(path, exist_ok=True)
-        pq.write_table(pa.Table.from_pandas(pdf, preserve_index=False),
-                       f"{path.rstrip('/')}/part-{uuid.uuid4().hex}.parquet", compression="snappy")
+        final = f"{path.rstrip('/')}/part-{chunk_id}.parquet"
+        tmp = f"{final}.{uuid.uuid4().hex}.tmp"
+        pq.write_table(pa.Table.from_pandas(pdf, preserve_index=False), tmp, compression="snappy")
+        os.replace(tmp, final)
     return write
 
 

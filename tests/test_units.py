@@ -467,7 +467,7 @@ def test_chunked_append_reports_failures(spark, tmp_dir):
     df = spark.range(2500).repartition(1)
     calls = []
 
-    def writer(pdf: pd.DataFrame):
+    def writer(pdf: pd.DataFrame, chunk_id: str):
         if pdf["id"].min() >= 1000 and pdf["id"].min() < 2000:
             raise RuntimeError("boom")
 
@@ -495,3 +495,11 @@ def test_merge_into_partitions_rewrites_only_touched(spark, tmp_dir):
     got = sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v", "p").collect())
     assert got == [(1, "a", "m1"), (2, "B", "m1"), (3, "c", "m2"), (4, "d", "m1")]
     assert {f: os.path.getmtime(f) for f in glob.glob(f"{path}/p=m2/*.parquet")} == before
+
+
+def test_chunk_writer_is_idempotent_per_chunk(spark, tmp_dir):
+    df = spark.range(2500).repartition(2)
+    w = files.parquet_chunk_writer(f"{tmp_dir}/chunks")
+    files.chunked_append(df, w, 1000).collect()
+    files.chunked_append(df, w, 1000).collect()      # a full retry rewrites the same chunk files
+    assert spark.read.parquet(f"{tmp_dir}/chunks").count() == 2500
