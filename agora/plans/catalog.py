@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .export import export
 from .models import Warehouse
 from .oracle import enc, with_ctes
+from .strategy import decision_scope
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -21,7 +22,8 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 def register(key: str, sql: str | None):
     def deco(fn: Builder) -> Builder:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return export(fn(spark, sf_dir))
+            with decision_scope():
+                return export(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         REGISTRY[key] = (run, sql)

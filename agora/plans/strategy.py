@@ -8,6 +8,8 @@ runtime broadcast chosen by AQE from measured shuffle sizes).
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import DataFrame
@@ -18,9 +20,29 @@ from ..session import checkpoint_dir
 DEFAULT_MAX_ROWS = 200_000
 
 
+_decisions: contextvars.ContextVar[dict | None] = contextvars.ContextVar("agora_broadcast_decisions", default=None)
+
+
+@contextlib.contextmanager
+def decision_scope():
+    """Within one query build, the same side (same semantic plan) is checked once."""
+    token = _decisions.set({})
+    try:
+        yield
+    finally:
+        _decisions.reset(token)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    memo = _decisions.get()
+    key = (df.semanticHash(), max_rows) if memo is not None else None
+    if key is not None and key in memo:
+        small = memo[key]
+    else:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            memo[key] = small
+    return F.broadcast(df) if small else df
 
 
 def written_table(df: DataFrame, name: str) -> DataFrame:

@@ -37,9 +37,14 @@ class CommerceSource:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def t(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        # One relation per table: listing and footer reads happen once, and
+        # the same scan node lets Spark reuse exchanges built on it.
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     @cached_property
     def _nation_region(self) -> DataFrame:
