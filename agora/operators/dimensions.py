@@ -69,8 +69,9 @@ def date_spine(bounds: DataFrame, start: str = "start_date", end: str = "end_dat
     return days.select(*_spine_columns(F.col("d")))
 
 
-def dim_date(spark_or_bounds, start_date: str = "2016-01-01", end_date: str = "2021-01-01") -> DataFrame:
-    """Calendar with an exclusive end (default 2016-01-01 .. 2020-12-31)."""
+def dim_date(spark_or_bounds, start_date: str = "2016-01-01", end_date: str = "2020-12-31") -> DataFrame:
+    """Calendar with an exclusive end: the default variables 2016-01-01 and
+    2020-12-31 give 1,826 days, the last one 2020-12-30."""
     if isinstance(spark_or_bounds, DataFrame):
         return date_spine(spark_or_bounds)
     bounds = spark_or_bounds.range(1).select(

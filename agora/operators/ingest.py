@@ -153,6 +153,14 @@ def rowcount_nonzero(tables: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("ok", F.col("row_count") > 0)
 
 
+def require_nonzero(counts: DataFrame) -> None:
+    """A13 gate: fail the run when any table loaded no rows, naming them.
+    ``counts`` is ``rowcount_nonzero`` output (one row per table)."""
+    empty = [r.table_name for r in counts.filter(~F.col("ok")).select("table_name").collect()]
+    if empty:
+        raise RuntimeError(f"tables loaded with 0 rows: {', '.join(sorted(empty))}")
+
+
 # Fixed values normalised to NULL before a relational sink.
 NULL_TOKENS = ("NaN", "nan", "null", "")
 

@@ -503,3 +503,20 @@ def test_chunk_writer_is_idempotent_per_chunk(spark, tmp_dir):
     files.chunked_append(df, w, 1000).collect()
     files.chunked_append(df, w, 1000).collect()      # a full retry rewrites the same chunk files
     assert spark.read.parquet(f"{tmp_dir}/chunks").count() == 2500
+
+
+def test_dim_date_defaults_and_weekday(spark):
+    from agora.operators.dimensions import dim_date
+    d = dim_date(spark)
+    assert d.count() == 1826
+    last = d.orderBy(F.desc("date_day")).first()
+    assert str(last.date_day) == "2020-12-30"
+    sun = d.filter(F.col("date_day") == F.lit("2016-01-03").cast("date")).first()
+    assert sun.day_of_week == 0 and sun.is_weekend and str(sun.week_start) == "2015-12-28"
+
+
+def test_require_nonzero(spark):
+    df = spark.range(2)
+    A.require_nonzero(A.rowcount_nonzero({"a": df}))
+    with pytest.raises(RuntimeError, match="b"):
+        A.require_nonzero(A.rowcount_nonzero({"a": df, "b": df.limit(0)}))
