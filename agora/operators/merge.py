@@ -141,21 +141,30 @@ def merge_into_partitions(source: DataFrame, path: str, keys: Sequence[str], par
     ``path`` with dynamic partition overwrite; other partitions are not
     touched.  A key must not change partition (e.g. a purchase month).
     """
+    from ..streaming.sinks import read_partitions
+
     spark = source.sparkSession
     parts = list(partition_cols)
-    try:
-        target = spark.read.parquet(path)
-    except Exception:  # no table yet
-        target = None
-    if target is None:
+    if not _exists(spark, path):
         source.write.partitionBy(*parts).parquet(path)
         return
-    touched = source.select(*parts).distinct()
-    current = target.join(touched, parts, "left_semi")
-    merged = upsert_by_key(current.select(source.columns), source, keys)
+    # Touched partition values are few (e.g. months of a slice): read just
+    # those folders instead of listing the whole table.
+    touched = [r.asDict() for r in source.select(*parts).distinct().collect()]
+    current = read_partitions(spark, path, touched)
+    if current is None:
+        merged = source
+    else:
+        merged = upsert_by_key(current.select(source.columns), source, keys)
     # Rewritten partitions keep the table's column types, so all files agree.
-    types = {f.name: f.dataType for f in target.schema.fields}
+    types = {f.name: f.dataType for f in (current if current is not None else source).schema.fields}
     merged = merged.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in source.columns])
     merged.write.mode("overwrite").partitionBy(*parts).parquet(stage_path)
     (spark.read.parquet(stage_path).select(source.columns).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))

@@ -56,16 +56,31 @@ def write_lake_batch(batch: DataFrame, path: str, as_written: bool = False) -> N
     new = lake_dedupe(batch, as_written)
     key = (["source_topic", "year", "month", "day", "object_id", "op"] if as_written
            else ["source_topic", "partition", "offset"])
-    try:
-        old = spark.read.parquet(path)
-        touched = new.select(*LAKE_PARTITIONS).distinct()
-        old_keys = old.join(touched, LAKE_PARTITIONS, "left_semi").select(*key)
-        new = new.join(old_keys, key, "left_anti")
-    except Exception:  # no table yet
-        pass
+    # Only the day folders this batch touches are read (a handful per batch),
+    # so the lake is never listed as a whole.
+    touched = [r.asDict() for r in new.select(*LAKE_PARTITIONS).distinct().collect()]
+    old = read_partitions(spark, path, touched)
+    if old is not None:
+        new = new.join(old.select(*key), key, "left_anti")
     new.write.mode("append").partitionBy(*LAKE_PARTITIONS).parquet(path)
 
 
+def read_partitions(spark: SparkSession, path: str, partitions: list[dict]) -> DataFrame | None:
+    """Read the existing partition folders among ``partitions`` (dicts of
+    partition column -> value) of a ``partitionBy`` Parquet table."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    folders = []
+    for p in partitions:
+        f = path.rstrip("/") + "".join(f"/{k}={v}" for k, v in p.items())
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f)):
+            folders.append(f)
+    if not folders:
+        return None
+    return spark.read.option("basePath", path).parquet(*folders)
+
+
 def insert_if_absent(target: DataFrame | None, batch: DataFrame, key: Sequence[str],
                      order: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``batch`` whose key is new (ON CONFLICT DO NOTHING); inside
