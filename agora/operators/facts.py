@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_diff, surrogate_key
-from ..plans.strategy import bounded_broadcast
+from ..plans.strategy import bounded_broadcasts
 
 
 def fact_order_items(items: DataFrame, customers: DataFrame | None, sellers: DataFrame,
@@ -21,8 +21,8 @@ def fact_order_items(items: DataFrame, customers: DataFrame | None, sellers: Dat
     j = items
     if customers is not None:
         j = j.join(customers.select("customer_id"), "customer_id")
-    j = (j.join(bounded_broadcast(sellers.select("seller_id")), "seller_id")
-         .join(bounded_broadcast(products.select("product_id")), "product_id"))
+    s, p = bounded_broadcasts(sellers.select("seller_id"), products.select("product_id"))
+    j = j.join(s, "seller_id").join(p, "product_id")
     return j.select(
         surrogate_key("order_id", "order_item_id").alias("order_item_key"),
         "order_id", "order_item_id",

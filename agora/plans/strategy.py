@@ -11,6 +11,7 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +35,33 @@ def decision_scope():
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    return bounded_broadcasts(df, max_rows=max_rows)[0]
+
+
+def bounded_broadcasts(*dfs: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> list[DataFrame]:
+    """``bounded_broadcast`` for several sides; their checks run as concurrent jobs."""
     memo = _decisions.get()
-    key = (df.semanticHash(), max_rows) if memo is not None else None
-    if key is not None and key in memo:
-        small = memo[key]
+    keys = [(d.semanticHash(), max_rows) if memo is not None else None for d in dfs]
+    todo = [i for i, k in enumerate(keys) if k is None or k not in memo]
+
+    def small(d: DataFrame) -> bool:
+        return d.limit(max_rows + 1).count() <= max_rows
+
+    if len(todo) > 1:
+        with ThreadPoolExecutor(len(todo)) as ex:
+            found = dict(zip(todo, ex.map(small, [dfs[i] for i in todo])))
     else:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        if key is not None:
-            memo[key] = small
-    return F.broadcast(df) if small else df
+        found = {i: small(dfs[i]) for i in todo}
+    out = []
+    for i, d in enumerate(dfs):
+        if i in found:
+            ok = found[i]
+            if keys[i] is not None:
+                memo[keys[i]] = ok
+        else:
+            ok = memo[keys[i]]
+        out.append(F.broadcast(d) if ok else d)
+    return out
 
 
 def written_table(df: DataFrame, name: str) -> DataFrame:
