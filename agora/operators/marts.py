@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import customer_segment, day_diff, surrogate_key
 from ..functions.classify import quality_tier, sales_tier
-from ..plans.strategy import bounded_broadcast
+from ..plans.strategy import bounded_broadcasts
 
 
 def avg6(c) -> Column:
@@ -36,8 +36,8 @@ def mart_sales_metrics(fact_items: DataFrame, dim_customer: DataFrame, dim_selle
     Reviews are left-joined per order, so several reviews of one order
     multiply that order's item rows (documented behaviour).
     """
-    sellers = bounded_broadcast(dim_seller.select("seller_key", "seller_state"))
-    products = bounded_broadcast(dim_product.select("product_key", "product_category_name"))
+    sellers, products = bounded_broadcasts(dim_seller.select("seller_key", "seller_state"),
+                                           dim_product.select("product_key", "product_category_name"))
     oi = fact_items.join(sellers, "seller_key").join(products, "product_key")
     o = fact_orders.select(F.col("order_id").alias("o_order_id"), "customer_id",
                            F.col("purchase_date").alias("o_purchase_date"), "on_time_flag",
