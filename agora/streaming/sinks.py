@@ -144,3 +144,17 @@ def idempotent_parquet(path: str) -> Callable[[DataFrame, int], None]:
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     return write
+
+
+def land_invoices_into(path: str, order: Sequence[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body for S11/S12: validate a micro-batch of invoice JSON
+    and append only ids not yet in the landing table at ``path``
+    (ON CONFLICT DO NOTHING; first row per id inside the batch wins)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            existing = spark.read.parquet(path).select("invoice_id")
+        except Exception:  # no table yet
+            existing = None
+        invoice_landing(batch, existing, order=order).write.mode("append").parquet(path)
+    return write

@@ -153,3 +153,25 @@ def test_progress_log_feeds_throughput(spark, tmp_dir):
     assert sum(r.records for r in tp) == 1000
     assert all(r.records_per_second >= 0 for r in tp)
     assert L.batch_success_rate(log).first().success_rate == 100.0
+
+
+def test_invoice_landing_stream(spark, tmp_dir):
+    """S11/S12 as a stream: duplicates across micro-batches land once."""
+    src = f"{tmp_dir}/inv"
+    os.makedirs(src)
+    good = ('{"invoice_id":"%s","order_id":"o","customer_id":"c","seller_id":"s","product_category":"p",'
+            '"item_price":1.5,"freight_value":1.0,"total_amount":2.5,"payment_type":"x","payment_installments":1,'
+            '"order_status":"d","customer_city":"a","customer_state":"b","seller_city":"c","seller_state":"d",'
+            '"timestamp":"t","source_system":"pos","processing_time_ms":3}')
+    batches = [["I1", "I2", "I2"], ["I2", "I3"], ["I1", "BAD"]]
+    for i, ids in enumerate(batches):
+        with open(f"{src}/b{i}.json", "w") as f:
+            for j, x in enumerate(ids):
+                line = (good % x).replace("1.5", '"x"') if x == "BAD" else good % x
+                f.write(json.dumps({"value": line, "seq": i * 10 + j}) + "\n")
+    stream = spark.readStream.schema("value string, seq long").option("maxFilesPerTrigger", 1).json(src)
+    out = f"{tmp_dir}/landing"
+    q = sinks.checkpointed_run(stream, sinks.land_invoices_into(out, order=["seq"]), f"inv_{uuid.uuid4().hex[:6]}")
+    q.awaitTermination(300)
+    got = sorted(r.invoice_id for r in spark.read.parquet(out).collect())
+    assert got == ["I1", "I2", "I3"]
