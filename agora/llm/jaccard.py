@@ -21,16 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import components, encoded, keyed_chunks, packed, prepare, scratch, texts_of, to_arrow, unpacked, words_of
 
 #: Share of all n-grams from which an n-gram is known as frequent and put last in the order.
 FREQUENT = 2e-6
-#: Ranges of hash values counted for the suffix filter.
-RANGES = 16
+#: Ranges of hash values counted for the suffix filter, in the join and once per pair.
+RANGES, FINE = 16, 256
+#: Classes to verify up to which their ids are sent to the texts; beyond, the texts are shuffled by id.
+SENT = 500_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -40,31 +41,39 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, hashes), sorted by row and hash, distinct: every text's set of word n-grams.
+def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, hashes) of every word n-gram in order of the text, repeats too.
 
     Fewer than ``n`` words make one n-gram of them all; no words make none.
     """
     rows, values = words_of(texts)
     codes, words = encoded(values)
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in words), np.uint64, len(words))
-    hashes = own[codes] if len(codes) else np.zeros(0, np.uint64)
-    count = np.bincount(rows, minlength=len(texts)) if len(rows) else np.zeros(len(texts), np.int64)
+    if not len(rows):
+        return rows, np.zeros(0, np.uint64)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in words), np.uint64, len(words))[codes]
+    count = np.bincount(rows, minlength=len(texts))
     with np.errstate(over="ignore"):
         grams = np.full(len(hashes), n, dtype=np.uint64)
         for k in range(n):
-            # Past the end of a text stands nothing, also for the short texts whose one n-gram this is.
-            later = np.zeros(len(hashes), np.uint64)
-            later[:len(hashes) - k] = hashes[k:]
-            same = np.zeros(len(hashes), dtype=bool)
-            same[:len(hashes) - k] = rows[:len(hashes) - k] == rows[k:] if k else True
-            grams = _mixed(grams * np.uint64(0x9E3779B97F4A7C15) + np.where(same, later, np.uint64(k)))
+            # Past the end of a text stands nothing, also for short texts, whose one n-gram this is.
+            later = np.full(len(hashes), k, np.uint64)
+            same = rows[:len(rows) - k] == rows[k:]
+            later[:len(rows) - k][same] = hashes[k:][same]
+            grams = _mixed(grams * np.uint64(0x9E3779B97F4A7C15) + later)
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
-    place = np.arange(len(rows)) - first[rows] if len(rows) else rows
-    full = place <= np.maximum(count[rows] - n, 0) if len(rows) else np.zeros(0, dtype=bool)
-    rows, grams = rows[full], grams[full]
-    order = np.lexsort((grams, rows))
-    rows, grams = rows[order], grams[order]
+    full = np.arange(len(rows)) - first[rows] <= np.maximum(count - n, 0)[rows]
+    return rows[full], grams[full]
+
+
+def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, hashes), sorted by row and hash, distinct: every text's set of word n-grams."""
+    rows, grams = shingles(texts, n)
+    grams = grams.copy()
+    ends = np.cumsum(np.bincount(rows, minlength=len(texts))).tolist()
+    start = 0
+    for end in ends:
+        grams[start:end].sort()
+        start = end
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])
     return rows[new], grams[new]
@@ -74,21 +83,19 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _set_facts(rows: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size, class hash and counts by hash range of each row's set."""
+def _set_facts(rows: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and class hash of each row's set."""
     sizes = np.bincount(rows, minlength=n)
-    ranges = np.zeros((n, RANGES), np.int32)
-    np.add.at(ranges, (rows, (grams >> np.uint64(60)).astype(np.int64)), 1)
     sums = np.zeros(n, np.uint64)
     if len(rows):
         with np.errstate(over="ignore"):
             at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
             sums[rows[at]] = np.add.reduceat(_mixed(grams), at)
-    return sizes, _mixed(sums ^ sizes.astype(np.uint64)), ranges
+    return sizes, _mixed(sums ^ sizes.astype(np.uint64))
 
 
-def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of frequent n-grams with their rank by count: (hash, rank) columns.
+def frequent_grams(docs: DataFrame, n: int) -> pa.Table:
+    """(gram, rank): frequent n-grams, sorted, with their rank by count.
 
     A chunk reports the n-grams that it holds at least twice and in at least half of
     ``FREQUENT`` of its own n-grams; reports are summed. Those with at least half of
@@ -98,7 +105,7 @@ def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in keyed_chunks(batches):
-            grams = shingle_sets(texts_of(part), n)[1]
+            grams = shingles(texts_of(part), n)[1]
             found, count = np.unique(grams, return_counts=True)
             often = count >= max(2, FREQUENT / 2 * len(grams))
             # The chunk's number of n-grams goes with a null.
@@ -116,47 +123,77 @@ def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
     return pa.table({"gram": grams[order], "rank": rank[order]})
 
 
+class _Ranks:
+    """Rank of frequent n-grams, 0 for others; a bit table of their low bits spares most searches."""
+
+    def __init__(self, frequent: pa.Table):
+        self.grams, self.ranks = frequent["gram"].to_numpy(), frequent["rank"].to_numpy()
+        self.low = np.zeros(1 << 22, dtype=bool)
+        self.low[self.grams & 0x3FFFFF] = True
+
+    def __call__(self, signed: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(signed), np.int32)
+        maybe = np.flatnonzero(self.low[signed & 0x3FFFFF])
+        if len(maybe) and len(self.grams):
+            asked = signed[maybe]
+            at = np.minimum(np.searchsorted(self.grams, asked), len(self.grams) - 1)
+            rank[maybe] = np.where(self.grams[at] == asked, self.ranks[at], 0)
+        return rank
+
+
 def prefix_rows(docs: DataFrame, n: int, percent: int, frequent: pa.Table) -> DataFrame:
-    """A row per document (gram null: doc_id, class, size, ranges) and a row per prefix n-gram (gram, place, class, size).
+    """A row per document (gram null: doc_id, class, size, ranges, fine) and a row per prefix n-gram (gram, place, class, size).
 
     The order is rare first: n-grams that are not frequent by hash, then frequent ones
     by count. The prefix of a set of ``s`` n-grams has s - ceil(s * t) + 1 of them.
+    ``ranges`` and ``fine`` (packed) count the set by hash range. A chunk's copies of a set give
+    prefix rows once.
     """
     sent = docs.sparkSession.sparkContext.broadcast(packed(frequent))
-    id_type = pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = unpacked(sent.value)
-        hashes, ranks = known["gram"].to_numpy(), known["rank"].to_numpy()
+        rank_of = _Ranks(unpacked(sent.value))
         for _, part in keyed_chunks(batches):
             m = part.num_rows
             rows, grams = shingle_sets(texts_of(part), n)
-            sizes, classes, ranges = _set_facts(rows, grams, m)
+            sizes, classes = _set_facts(rows, grams, m)
             signed = _signed(grams)
-            rank = np.zeros(len(grams), np.int32)
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, signed), len(hashes) - 1)
-                rank = np.where(hashes[at] == signed, ranks[at], 0)
-            order = np.lexsort((grams, rank, rows))
+            rank = rank_of(signed)
+            often = rank > 0
+            # Place in the order: the others first, sorted by hash already, then frequent ones.
             first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            place = np.arange(len(rows)) - first[rows]
+            seen = np.cumsum(~often)
+            before = np.concatenate([[0], seen])[first] if len(rows) else first
+            place = seen - 1 - before[rows] if len(rows) else rows
+            at = np.flatnonzero(often)
+            at = at[np.lexsort((grams[at], rank[at], rows[at]))]
+            if len(at):
+                kinds = np.bincount(rows[at], minlength=m)
+                start = np.concatenate([[0], np.cumsum(kinds)])[:-1]
+                place[at] = (sizes - kinds)[rows[at]] + np.arange(len(at)) - start[rows[at]]
             length = sizes - (sizes * percent + 99) // 100 + 1
-            kept = place < length[rows]
-            rows, signed, place = rows[kept], signed[order][kept], place[kept]
-            k = len(rows)
-            none = pa.nulls(m, pa.int64())
+            once = np.zeros(m, dtype=bool)
+            once[np.unique(np.stack([_signed(classes), sizes]), axis=1, return_index=True)[1]] = True
+            kept = (place < length[rows]) & once[rows] if len(rows) else np.zeros(0, dtype=bool)
+            rows2, signed, place = rows[kept], signed[kept], place[kept]
+            k = len(rows2)
+            fine = np.bincount(rows * FINE + (grams >> np.uint64(56)).astype(np.int64), minlength=m * FINE)
+            ranges = pa.array(fine.reshape(m * RANGES, FINE // RANGES).sum(1).astype(np.int32))
+            fine = np.minimum(fine, 65_535).astype("<u2").reshape(m, FINE)
             yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([none, pa.array(signed)]),
-                pa.array(np.concatenate([np.zeros(m, np.int32), place.astype(np.int32)])),
-                pa.array(np.concatenate([_signed(classes), _signed(classes)[rows]])),
-                pa.array(np.concatenate([sizes, sizes[rows]]).astype(np.int32)),
-                pa.concat_arrays([part.column("doc_id").cast(id_type), pa.nulls(k, id_type)]),
-                pa.concat_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ranges.ravel()), RANGES).cast(pa.list_(pa.int32())),
-                                  pa.nulls(k, pa.list_(pa.int32()))]),
-            ], names=["gram", "place", "c", "size", "doc_id", "ranges"])
-
+                pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int32)), pa.array(_signed(classes)), pa.array(sizes.astype(np.int32)),
+                part.column("doc_id").cast(pa.int64()), pa.FixedSizeListArray.from_arrays(ranges, RANGES).cast(pa.list_(pa.int32())),
+                pa.array([f.tobytes() for f in fine], pa.binary())], names=names)
+            for a in range(0, k, 100_000):
+                b = min(k, a + 100_000)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(signed[a:b]), pa.array(place[a:b].astype(np.int32)), pa.array(_signed(classes)[rows2[a:b]]),
+                    pa.array(sizes[rows2[a:b]].astype(np.int32)), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.list_(pa.int32())),
+                    pa.nulls(b - a, pa.binary())], names=names)
+
+    names = ["gram", "place", "c", "size", "doc_id", "ranges", "fine"]
     return docs.select("doc_id", "text").mapInArrow(
-        run, "gram long, place int, c long, size int, doc_id long, ranges array<int>")
+        run, "gram long, place int, c long, size int, doc_id long, ranges array<int>, fine binary")
 
 
 def _least_overlap(size_a: Column, size_b: Column, percent: int) -> Column:
@@ -165,7 +202,7 @@ def _least_overlap(size_a: Column, size_b: Column, percent: int) -> Column:
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length, position and suffix filters; each only rules out pairs below the threshold."""
+    """Length, position and (coarse) suffix filters; each only rules out pairs below the threshold."""
     size = lambda x: F.col(f"{x}.size")
     least = _least_overlap(size(a), size(b), percent)
     length = 100 * F.least(size(a), size(b)) >= percent * F.greatest(size(a), size(b))
@@ -175,13 +212,33 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return length & position & (common >= least)
 
 
+def _suffix_filtered(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, size_a, b, size_b) that the counts by fine hash range don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, FINE) for c in ("x", "y"))
+            # A count at its top may stand for more; the size bounds it.
+            common = np.where((x == 65_535) & (y == 65_535), 1 << 30, np.minimum(x, y).astype(np.int64)).sum(1)
+            sizes = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
+            held = common * (100 + percent) >= sizes * percent
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "size_a", "b", "size_b"]).filter(pa.array(held))
+
+    x = shape.select(F.col("c").alias("a"), F.col("size").alias("size_a"), F.col("fine").alias("x"))
+    y = shape.select(F.col("c").alias("b"), F.col("size").alias("size_b"), F.col("fine").alias("y"))
+    return pairs.join(x, ["a", "size_a"]).join(y, ["b", "size_b"]).select("a", "size_a", "b", "size_b", "x", "y").mapInArrow(
+        run, "a long, size_a int, b long, size_b int")
+
+
 def _class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(c, size, grams): the whole set of every wanted class (c, size, doc_id of one member), as packed sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in keyed_chunks(batches):
             rows, grams = shingle_sets(texts_of(part), n)
-            sizes, classes, _ = _set_facts(rows, grams, part.num_rows)
+            sizes, classes = _set_facts(rows, grams, part.num_rows)
             ends = np.cumsum(sizes)
             data = grams.astype("<u8").tobytes()
             sets = [data[8 * (e - s):8 * e] for s, e in zip(sizes.tolist(), ends.tolist())]
@@ -189,7 +246,9 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 [part.column("c"), part.column("size"), pa.array(_signed(classes)), pa.array(sizes.astype(np.int32)), pa.array(sets, pa.binary())],
                 names=["c", "size", "c2", "size2", "grams"])
 
-    texts = docs.select("doc_id", "text").alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select(
+    wanted = scratch(wanted, "wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    texts = docs.select("doc_id", "text").alias("d").join(ids.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select(
         "w.c", "w.size", "d.text")
     found = texts.mapInArrow(run, "c long, size int, c2 long, size2 int, grams binary")
     # An id may stand for several texts; only the one that has the set counts, once.
@@ -236,55 +295,48 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     docs = docs.select("doc_id", "text")
     found = scratch(prefix_rows(docs, n, percent, frequent_grams(docs, n)).withColumn("kind", F.col("gram").isNull().cast("int")),
                     "prefixes", ["kind"])
-    heads = found.where("kind = 1").select("doc_id", "c", "size", "ranges")
-    # Copies have the same rows; n-grams with one class are dropped before anything is joined to them.
-    entries = found.where("kind = 0").groupBy("gram", "c", "size").agg(F.min("place").alias("place"))
-    leaders = (entries.groupBy("gram").agg(F.count("*").alias("k"), F.min(F.struct("c", "size", "place")).alias("leader"))
-               .where("k > 1").drop("k"))
+    heads = found.where("kind = 1").select("doc_id", "c", "size", "ranges", "fine")
+    # One shuffle deals the prefix rows by n-gram; copies, group sizes and leaders are found where they are.
+    group = Window.partitionBy("gram")
+    met = (found.where("kind = 0").select("gram", "c", "size", "place").repartition("gram").groupBy("gram", "c", "size")
+           .agg(F.min("place").alias("place"))
+           .withColumns({"k": F.count("*").over(group), "leader": F.min(F.struct("c", "size", "place")).over(group)})
+           .where("k > 1").drop("k"))
+    met = scratch(met, "met")
     classes = (heads.where("size > 0").groupBy("c", "size")
-               .agg(F.first("ranges").alias("ranges"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_class")))
-    met = scratch(entries.join(leaders, "gram"), "met")
+               .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_class"),
+                    F.first("ranges").alias("ranges"), F.first("fine").alias("fine")))
     facts = scratch(classes.join(met.select("c", "size").distinct(), ["c", "size"], "left_semi"), "facts")
-    shape = facts.select("c", "size", "ranges")
-    # First meeting: each member with its group's leader.
-    stars = (met.where("c <> leader.c OR size <> leader.size")
-             .select(F.col("leader.c").alias("a"), F.col("leader.size").alias("size_a"), F.col("leader.place").alias("place_a"),
-                     F.col("c").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b")))
-    stars = _filtered(stars, shape, percent)
-    wanted = facts.select("c", "size", "doc_id")
-    sets = scratch(_class_sets(docs, wanted, n), "sets")
-    links = scratch(_verified(stars, sets, percent), "links")
+    # First meeting: each member with its group's leader, each pair once.
+    stars = (met.where("(c <> leader.c OR size <> leader.size) AND 100 * least(size, leader.size) >= "
+                       f"{percent} * greatest(size, leader.size)")
+             .select(F.col("leader.c").alias("a"), F.col("leader.size").alias("size_a"), F.col("c").alias("b"),
+                     F.col("size").alias("size_b")).distinct())
+    links = _checked(docs, stars, facts, n, percent)
     roots = _rooted(links)
     # Second meeting: members of different components, in groups that hold several.
-    placed = (met.select("gram", "c", "size", "place").join(shape, ["c", "size"])
-              .join(roots, ["c", "size"], "left").withColumn("root", F.coalesce("root", _node("c", "size"))))
-    placed = scratch(placed, "placed")
-    several = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-    open_ = placed.join(several, "gram", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
+    root = F.coalesce("root", _node("c", "size"))
+    placed = (met.select("gram", "c", "size", "place").join(roots, ["c", "size"], "left").withColumn("root", root)
+              .repartition("gram").withColumns({"r0": F.min("root").over(group), "r1": F.max("root").over(group)})
+              .where("r0 <> r1").drop("r0", "r1"))
+    placed = scratch(placed.join(facts.select("c", "size", "ranges"), ["c", "size"]), "placed")
+    x, y = placed.alias("x"), placed.alias("y")
     # The smaller set first, equal sizes by class: each pair once a group.
     ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.c") < F.col("y.c")))
     rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & ordered & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent))
     rest = rest.select(F.col("x.c").alias("a"), F.col("x.size").alias("size_a"), F.col("y.c").alias("b"),
                        F.col("y.size").alias("size_b")).distinct()
-    links = links.union(scratch(_verified(rest, sets, percent), "links"))
-    roots = _rooted(links)
-    return _labelled(heads, classes, roots)
-
-
-def _filtered(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of classes of which some meeting passes the filters."""
-    a = shape.select(F.col("c").alias("a"), F.col("size").alias("size_a"), F.col("ranges").alias("ranges_a"))
-    b = shape.select(F.col("c").alias("b"), F.col("size").alias("size_b"), F.col("ranges").alias("ranges_b"))
-    side = lambda s, c: F.struct(F.col(c).alias("c"), F.col(f"size_{c}").alias("size"), F.col(f"place_{c}").alias("place"),
-                                 F.col(f"ranges_{c}").alias("ranges")).alias(s)
-    # Length first: it needs no join.
-    near = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    near = near.groupBy("a", "size_a", "b", "size_b").agg(F.min(F.abs(F.col("place_a") - F.col("place_b"))).alias("apart"),
-                                                          F.min_by(F.struct("place_a", "place_b"), F.abs(F.col("place_a") - F.col("place_b"))).alias("p"))
-    full = (near.select("a", "size_a", "b", "size_b", "p.place_a", "p.place_b").join(a, ["a", "size_a"]).join(b, ["b", "size_b"])
-            .select("a", "size_a", "b", "size_b", side("x", "a"), side("y", "b")))
-    return full.where(_may_link("x", "y", percent)).select("a", "size_a", "b", "size_b")
+    links = links.union(_checked(docs, rest, facts, n, percent))
+    return _labelled(heads, classes, _rooted(links))
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, facts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough; sets are made only for pairs that pass the suffix filter."""
+    pairs = scratch(_suffix_filtered(pairs, facts.select("c", "size", "fine"), percent), "pairs")
+    both = pairs.select(F.col("a").alias("c"), F.col("size_a").alias("size")).union(pairs.select("b", "size_b")).distinct()
+    wanted = facts.select("c", "size", "doc_id").join(both, ["c", "size"], "left_semi")
+    sets = scratch(_class_sets(docs, wanted, n), "sets")
+    return scratch(_verified(pairs, sets, percent), "links")
 
 
 def _rooted(links: DataFrame) -> DataFrame:
