@@ -28,8 +28,10 @@ from .shared import components, encoded, keyed_chunks, packed, prepare, scratch,
 
 #: Share of all n-grams from which an n-gram is known as frequent and put last in the order.
 FREQUENT = 2e-6
-#: Ranges of hash values counted for the suffix filter, in the join and once per pair.
-RANGES, FINE = 16, 256
+#: The suffix filter: bits of parity and ranges of counts in the join, and finer ranges once per pair.
+PARITY, RANGES, FINE = 512, 16, 256
+#: Sizes from which a count of a range may not fit 16 bits; such sets skip the coarse counts.
+HUGE = 60_000
 #: Classes to verify up to which their ids are sent to the texts; beyond, the texts are shuffled by id.
 SENT = 500_000
 
@@ -142,11 +144,12 @@ class _Ranks:
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, frequent: pa.Table) -> DataFrame:
-    """A row per document (gram null: doc_id, class, size, ranges, fine) and a row per prefix n-gram (gram, place, class, size).
+    """A row per document (gram null: doc_id, class, size, sketch, fine) and a row per prefix n-gram (gram, place, class, size).
 
     The order is rare first: n-grams that are not frequent by hash, then frequent ones
     by count. The prefix of a set of ``s`` n-grams has s - ceil(s * t) + 1 of them.
-    ``ranges`` and ``fine`` (packed) count the set by hash range. A chunk's copies of a set give
+    ``sketch`` holds
+    the set's parity by hash and packed counts by hash range, ``fine`` packs finer counts. A chunk's copies of a set give
     prefix rows once.
     """
     sent = docs.sparkSession.sparkContext.broadcast(packed(frequent))
@@ -178,22 +181,25 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, frequent: pa.Table) -> Da
             rows2, signed, place = rows[kept], signed[kept], place[kept]
             k = len(rows2)
             fine = np.bincount(rows * FINE + (grams >> np.uint64(56)).astype(np.int64), minlength=m * FINE)
-            ranges = pa.array(fine.reshape(m * RANGES, FINE // RANGES).sum(1).astype(np.int32))
+            ranges = np.minimum(fine.reshape(m, RANGES, FINE // RANGES).sum(2), 65_535).astype("<u2").view("<i8")
+            odd = np.bincount(rows * PARITY + (grams >> np.uint64(55)).astype(np.int64), minlength=m * PARITY) & 1
+            odd = np.packbits(odd.astype(np.uint8).reshape(m, PARITY), axis=1, bitorder="little").view("<i8")
+            sketch = np.concatenate([odd, ranges], axis=1)
             fine = np.minimum(fine, 65_535).astype("<u2").reshape(m, FINE)
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int32)), pa.array(_signed(classes)), pa.array(sizes.astype(np.int32)),
-                part.column("doc_id").cast(pa.int64()), pa.FixedSizeListArray.from_arrays(ranges, RANGES).cast(pa.list_(pa.int32())),
+                part.column("doc_id").cast(pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), sketch.shape[1]).cast(pa.list_(pa.int64())),
                 pa.array([f.tobytes() for f in fine], pa.binary())], names=names)
             for a in range(0, k, 100_000):
                 b = min(k, a + 100_000)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(signed[a:b]), pa.array(place[a:b].astype(np.int32)), pa.array(_signed(classes)[rows2[a:b]]),
-                    pa.array(sizes[rows2[a:b]].astype(np.int32)), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.list_(pa.int32())),
+                    pa.array(sizes[rows2[a:b]].astype(np.int32)), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.list_(pa.int64())),
                     pa.nulls(b - a, pa.binary())], names=names)
 
-    names = ["gram", "place", "c", "size", "doc_id", "ranges", "fine"]
+    names = ["gram", "place", "c", "size", "doc_id", "sketch", "fine"]
     return docs.select("doc_id", "text").mapInArrow(
-        run, "gram long, place int, c long, size int, doc_id long, ranges array<int>, fine binary")
+        run, "gram long, place int, c long, size int, doc_id long, sketch array<long>, fine binary")
 
 
 def _least_overlap(size_a: Column, size_b: Column, percent: int) -> Column:
@@ -208,8 +214,14 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     length = 100 * F.least(size(a), size(b)) >= percent * F.greatest(size(a), size(b))
     left = lambda x: size(x) - F.col(f"{x}.place") - 1
     position = F.least(F.col(f"{a}.place"), F.col(f"{b}.place")) + 1 + F.least(left(a), left(b)) >= least
-    common = sum((F.least(F.col(f"{a}.ranges")[k], F.col(f"{b}.ranges")[k]) for k in range(RANGES)), F.lit(0))
-    return length & position & (common >= least)
+    # A differing n-gram flips one bit of parity and moves one count by one.
+    sketch = lambda x, k: F.col(f"{x}.sketch")[k]
+    words = PARITY // 64
+    flips = sum((F.bit_count(sketch(a, k).bitwiseXOR(sketch(b, k))) for k in range(1, words)),
+                F.bit_count(sketch(a, 0).bitwiseXOR(sketch(b, 0))))
+    count = lambda x, k: F.shiftrightunsigned(sketch(x, words + k // 4), 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF))
+    common = sum((F.least(count(a, k), count(b, k)) for k in range(1, RANGES)), F.least(count(a, 0), count(b, 0)))
+    return length & position & (size(a) + size(b) - 2 * least >= flips) & ((size(b) >= HUGE) | (common >= least))
 
 
 def _suffix_filtered(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
@@ -295,7 +307,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     docs = docs.select("doc_id", "text")
     found = scratch(prefix_rows(docs, n, percent, frequent_grams(docs, n)).withColumn("kind", F.col("gram").isNull().cast("int")),
                     "prefixes", ["kind"])
-    heads = found.where("kind = 1").select("doc_id", "c", "size", "ranges", "fine")
+    heads = found.where("kind = 1").select("doc_id", "c", "size", "sketch", "fine")
     # One shuffle deals the prefix rows by n-gram; copies, group sizes and leaders are found where they are.
     group = Window.partitionBy("gram")
     met = (found.where("kind = 0").select("gram", "c", "size", "place").repartition("gram").groupBy("gram", "c", "size")
@@ -305,7 +317,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     met = scratch(met, "met")
     classes = (heads.where("size > 0").groupBy("c", "size")
                .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_class"),
-                    F.first("ranges").alias("ranges"), F.first("fine").alias("fine")))
+                    F.first("sketch").alias("sketch"), F.first("fine").alias("fine")))
     facts = scratch(classes.join(met.select("c", "size").distinct(), ["c", "size"], "left_semi"), "facts")
     # First meeting: each member with its group's leader, each pair once.
     stars = (met.where("(c <> leader.c OR size <> leader.size) AND 100 * least(size, leader.size) >= "
@@ -319,7 +331,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     placed = (met.select("gram", "c", "size", "place").join(roots, ["c", "size"], "left").withColumn("root", root)
               .repartition("gram").withColumns({"r0": F.min("root").over(group), "r1": F.max("root").over(group)})
               .where("r0 <> r1").drop("r0", "r1"))
-    placed = scratch(placed.join(facts.select("c", "size", "ranges"), ["c", "size"]), "placed")
+    placed = scratch(placed.join(facts.select("c", "size", "sketch"), ["c", "size"]), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     # The smaller set first, equal sizes by class: each pair once a group.
     ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.c") < F.col("y.c")))
