@@ -24,11 +24,11 @@ from pyspark.sql import types as T
 from .shared import prepare, scratch
 
 #: Neighbours of a node in the graph; reverse neighbours that a node adds in a round.
-NEIGHBOURS, REVERSE = 20, 12
-#: Rounds of NN-descent, and nodes of a starting block.
-ROUNDS, START = 6, 256
+NEIGHBOURS, REVERSE = 24, 16
+#: Rounds of NN-descent, random dealings of the start, and nodes of a dealing's block.
+ROUNDS, DEALINGS, START = 6, 3, 256
 #: Nodes of a query's beam, and rounds of widening at most (a beam that is done sooner ends sooner).
-BEAM, WIDENINGS = 96, 12
+BEAM, WIDENINGS = 384, 16
 #: Nodes of the beam that are measured exactly, as a multiple of k.
 EXACT = 4
 
@@ -45,7 +45,10 @@ def _packed_matrix(column: pa.Array) -> np.ndarray:
 
 
 def _start(nodes: DataFrame) -> DataFrame:
-    """Exact neighbours inside blocks of a random dealing: (u, v, d)."""
+    """Exact neighbours inside blocks of several random dealings: (u, v, d).
+
+    One dealing's blocks have no links to each other; the blocks of another cross them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -68,7 +71,13 @@ def _start(nodes: DataFrame) -> DataFrame:
         if count:
             yield block(pa.Table.from_batches(held))
 
-    return nodes.select("node", "small").mapInArrow(run, "u long, v long, d double")
+    found = None
+    for dealing in range(DEALINGS):
+        mixed = F.xxhash64(F.lit(dealing), F.col("node"))
+        dealt = nodes.select("node", "small").withColumn("m", mixed).repartition("m").sortWithinPartitions("m")
+        near = dealt.select("node", "small").mapInArrow(run, "u long, v long, d double")
+        found = near if found is None else found.union(near)
+    return _nearest(found.groupBy("u", "v").agg(F.min("d").alias("d")), "u", ["d", "v"], NEIGHBOURS)
 
 
 def _top(ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
