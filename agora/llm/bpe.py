@@ -120,22 +120,18 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed as by ``piece_ids``."""
-        known, out = self.known, []
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
         pieces = self.pattern.findall(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self.piece_ids(p)
-                if len(p) <= 64:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        new = set(pieces).difference(known)
+        for p in new:
+            known[p] = self.piece_ids(p)
+        ids = b"".join([known[p] for p in pieces])
+        for p in new:
+            if len(p) > 64:  # long pieces hardly come again
+                del known[p]
+        return ids
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
