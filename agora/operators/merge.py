@@ -67,7 +67,7 @@ def merge_orders(target: DataFrame | None, source: DataFrame, lifecycle: DataFra
     """slice = purchase_date > max(target) OR order_id among orders placed
     in the 7 days before ``as_of``; merged on order_id.  An empty target makes
     the first arm NULL, so only the 7-day arm selects."""
-    recent = lifecycle.filter(F.col("purchase_date") >= F.date_sub(F.lit(as_of).cast("date"), 7)).select("order_id")
+    recent = lifecycle.filter(F.col("purchase_date") >= F.date_sub(F.lit(as_of).cast("date"), 7)).select("order_id").distinct()
     if target is None:
         hi = F.lit(None).cast("timestamp_ntz")
     else:

@@ -1,10 +1,9 @@
 """Document chunking, exact nearest-neighbour retrieval and conversation jobs
 (R1-R7).
 
-Retrieval is exact: the (bounded, size-checked) query set is broadcast, every
-partition of the vector table computes its distances with numpy and keeps
-only its own top-k per query, and a final window picks the global top-k from
-those few rows.  No pair table is materialised and no vector is dropped.
+Retrieval is exact: blocks of queries meet blocks of vectors in tasks of their
+own, each task keeps its top-k per query, and a final window picks the global
+top-k from those few rows.  No pair table is materialised, no vector dropped.
 """
 
 from __future__ import annotations
@@ -13,12 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CHUNK_OVERLAP, CHUNK_SIZE, split_text
+from ..functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_spans
 
-MAX_QUERIES = 100_000          # broadcast bound for the query set
 MAX_DISTANCE = 10.0            # results at or beyond this distance are dropped
 
 
@@ -27,13 +25,13 @@ MAX_DISTANCE = 10.0            # results at or beyond this distance are dropped
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                     text_col: str = "text", id_col: str = "doc_id",
                     meta: Sequence[str] = ("source", "lang")) -> DataFrame:
-    """One row per chunk (doc_id, chunk_no, chunk_text, chunk_chars, meta...).
+    """One row per chunk (doc_id, chunk_no, chunk_start, chunk_end, chunk_text, chunk_chars, meta...).
 
     Documents stay where Spark put them; each task splits its own documents
     (whole texts), so the work spreads with the number of partitions.
     """
     meta = [m for m in meta if m in docs.columns]
-    schema = (f"{id_col} long, chunk_no int, chunk_text string, chunk_chars int"
+    schema = (f"{id_col} long, chunk_no int, chunk_start int, chunk_end int, chunk_text string, chunk_chars int"
               + "".join(f", {m} string" for m in meta))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,9 +39,10 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
             rows = []
             for r in pdf.itertuples(index=False):
                 d = r._asdict()
-                for i, ch in enumerate(split_text(d[text_col] or "", size, overlap)):
-                    rows.append((d[id_col], i, ch, len(ch), *[d[m] for m in meta]))
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "chunk_text", "chunk_chars", *meta])
+                text = d[text_col] or ""
+                for i, (a, b) in enumerate(chunk_spans(text, size, overlap)):
+                    rows.append((d[id_col], i, a, b, text[a:b], b - a, *[d[m] for m in meta]))
+            yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "chunk_start", "chunk_end", "chunk_text", "chunk_chars", *meta])
 
     return docs.select(id_col, text_col, *meta).mapInPandas(run, schema)
 
@@ -55,22 +54,38 @@ def index_rebuild(chunks: DataFrame, path: str) -> int:
 
 
 def index_append(chunks: DataFrame, path: str) -> int:
-    """R2: add chunks to the index; returns the new total."""
-    chunks.write.mode("append").parquet(path)
-    return chunks.sparkSession.read.parquet(path).count()
+    """R2: add chunks that the index lacks (by document and chunk number), so a
+    repeated append adds nothing; returns the new total."""
+    spark = chunks.sparkSession
+    held = spark.read.parquet(path).select("doc_id", "chunk_no")
+    chunks.join(held, ["doc_id", "chunk_no"], "left_anti").write.mode("append").parquet(path)
+    return spark.read.parquet(path).count()
+
+
+def chunk_coverage(chunks: DataFrame) -> DataFrame:
+    """Per document: longest chunk, largest overlap of neighbours, and the
+    characters other than blanks that the chunks hold, overlaps once."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_no")
+    before = F.coalesce(F.lag("chunk_end").over(w), F.lit(0))
+    shared = F.greatest(before - F.col("chunk_start"), F.lit(0))
+    new = F.expr("substring(chunk_text, shared + 1)")
+    return (chunks.withColumn("shared", shared)
+            .withColumn("new_chars", F.length(F.regexp_replace(new, r"[\x20\x09-\x0D]+", "")))
+            .groupBy("doc_id").agg(F.sum("new_chars").alias("covered_chars"),
+                                   (F.max("chunk_chars") <= CHUNK_SIZE).alias("sizes_hold"),
+                                   (F.max("shared") <= CHUNK_OVERLAP).alias("overlaps_hold")))
 
 
 # ------------------------------------------------------------------ R3 / R4
 
-def _broadcast_queries(queries: DataFrame, qid: str, vec: str, filt: str | None):
-    cols = [qid, vec] + ([filt] if filt else [])
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries exceed the broadcast bound {MAX_QUERIES}; split the query set")
-    pdf = queries.select(*cols).toPandas()
-    q = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]]) if n else np.zeros((0, 0))
-    f = pdf[filt].to_numpy() if filt else None
-    return pdf[qid].to_numpy(), q, f
+QUERY_BLOCK = 1_024            # queries and vectors that one task compares;
+VECTOR_BLOCK = 16_384          # they bound memory, not the input
+
+
+def _in_blocks(df: DataFrame, key: str, block_rows: int, name: str) -> tuple[DataFrame, int]:
+    """Deal rows to as many blocks as keep a block near ``block_rows`` rows."""
+    blocks = max(1, -(-df.count() // block_rows))
+    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), blocks
 
 
 def topk_similar(queries: DataFrame, vectors: DataFrame, k: int = 4, max_distance: float = MAX_DISTANCE,
@@ -83,75 +98,67 @@ def topk_similar(queries: DataFrame, vectors: DataFrame, k: int = 4, max_distanc
     dropped.  With ``query_filter``/``vector_filter`` (R4) a vector is a
     candidate of a query only when the two filter values are equal, applied
     before ranking.  Ties are broken by the smaller vector id.
+
+    Queries and vectors are dealt to blocks; each pair of blocks meets in one
+    task, which returns its own top k per query.  Any number of queries works.
     """
-    spark = queries.sparkSession
-    qids, q, qf = _broadcast_queries(queries, query_id, query_vec, query_filter)
-    bq = spark.sparkContext.broadcast((qids, q, qf))
-    cols = [vec_id, vec] + ([vector_filter] if vector_filter else [])
-
-    def part_topk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_q, qm, fq = bq.value
-        best: dict = {}
-        for pdf in it:
-            if not len(pdf) or not len(ids_q):
-                continue
-            v = np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[vec]])
-            # Direct sum of squared differences (no |q|^2+|v|^2-2qv cancellation),
-            # in blocks of queries to bound memory.
-            d = np.empty((len(ids_q), len(v)))
-            for s in range(0, len(ids_q), 32):
-                diff = qm[s:s + 32, None, :] - v[None, :, :]
-                d[s:s + 32] = np.einsum("qvd,qvd->qv", diff, diff)
-            if fq is not None:
-                d = np.where(fq[:, None] == pdf[vector_filter].to_numpy()[None, :], d, np.inf)
-            vids = pdf[vec_id].to_numpy()
-            for i in range(len(ids_q)):
-                row = d[i]
-                ok = np.isfinite(row) & (row < max_distance)
-                if not ok.any():
-                    continue
-                cand = np.nonzero(ok)[0]
-                order = np.lexsort((vids[cand], row[cand]))[:k]
-                prev = best.get(i)
-                new = pd.DataFrame({"qi": i, "vid": vids[cand][order], "dist": row[cand][order]})
-                both = new if prev is None else pd.concat([prev, new])
-                best[i] = both.sort_values(["dist", "vid"]).head(k)
-        if best:
-            allb = pd.concat(best.values())
-            yield pd.DataFrame({query_id: ids_q[allb["qi"].to_numpy()], vec_id: allb["vid"].to_numpy(),
-                                "distance": allb["dist"].to_numpy()})
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qv"),
+                       (F.col(query_filter) if query_filter else F.lit(None).cast("int")).alias("qf"))
+    v = vectors.select(F.col(vec_id).alias("vid"), F.col(vec).alias("vv"),
+                       (F.col(vector_filter) if vector_filter else F.lit(None).cast("int")).alias("vf"))
+    q, q_blocks = _in_blocks(q, "qid", QUERY_BLOCK, "qb")
+    v, v_blocks = _in_blocks(v, "vid", VECTOR_BLOCK, "vb")
+    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
+    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    filtered = query_filter is not None
+
+    def block_topk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("vid")  # a stable sort by distance then breaks ties by id
+            vm = np.vstack([np.asarray(x, dtype=np.float64) for x in b["vv"]])
+            ids, kinds = b["vid"].to_numpy(), b["vf"].to_numpy()
+            for qid, qv, qf in zip(a["qid"], a["qv"], a["qf"]):
+                diff = vm - np.asarray(qv, dtype=np.float64)
+                d = np.einsum("vd,vd->v", diff, diff)
+                ok = d < max_distance
+                if filtered:
+                    ok &= kinds == qf
+                at = np.flatnonzero(ok)
+                at = at[np.argsort(d[at], kind="stable")[:k]]
+                out.append(pd.DataFrame({"qid": qid, "vid": ids[at], "distance": d[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "vid": [], "distance": []})
 
     qtype = queries.schema[query_id].dataType.simpleString()
     vtype = vectors.schema[vec_id].dataType.simpleString()
-    partial = vectors.select(*cols).mapInPandas(part_topk, f"{query_id} {qtype}, {vec_id} {vtype}, distance double")
-    w = Window.partitionBy(query_id).orderBy("distance", vec_id)
+    partial = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(
+        block_topk, f"qid {qtype}, vid {vtype}, distance double")
+    w = Window.partitionBy("qid").orderBy("distance", "vid")
     top = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(query_id, "rank", vec_id, F.round("distance", 6).alias("distance"),
+    return top.select(F.col("qid").alias(query_id), "rank", F.col("vid").alias(vec_id),
+                      F.round("distance", 6).alias("distance"),
                       F.round(F.greatest(F.lit(0.0), 2 - F.col("distance")), 6).alias("similarity"))
 
 
-def brute_force_topk(queries: pd.DataFrame, vectors: pd.DataFrame, k: int = 4) -> pd.DataFrame:
-    """Reference answer for tests: all distances, sorted (small inputs only)."""
-    rows = []
-    for qid, qv in zip(queries["query_id"], queries["query_vec"]):
-        qa = np.asarray(qv, dtype=np.float64)
-        ds = [(float(((np.asarray(v, dtype=np.float64) - qa) ** 2).sum()), vid)
-              for vid, v in zip(vectors["vec_id"], vectors["embedding"])]
-        ds = sorted(d for d in ds if d[0] < MAX_DISTANCE)[:k]
-        rows += [(qid, r + 1, vid, d) for r, (d, vid) in enumerate(ds)]
-    return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "distance"])
+# ------------------------------------------------------------------ R5 / R6 / R7
 
+# Fixed value: the context of a query that found nothing.
+NO_HITS = "No relevant documents found."
 
-# ------------------------------------------------------------------ R5 / R6 / R7
 
-def context_format(ranked: DataFrame, query_id: str = "query_id") -> DataFrame:
+def context_format(ranked: DataFrame, query_id: str = "query_id", queries: DataFrame | None = None) -> DataFrame:
     """Per query, '[Document i - source (relevance: x.xx)]\\ncontent\\n'
-    blocks joined by newlines in rank order (at most k rows per query)."""
+    blocks joined by newlines in rank order (at most k rows per query).  With
+    ``queries``, every query has a row; those without hits say so."""
     block = F.format_string("[Document %d - %s (relevance: %.2f)]\n%s\n", F.col("rank"),
                             F.coalesce(F.col("source"), F.lit("unknown")), F.col("similarity"),
                             F.coalesce(F.col("content"), F.lit("")))
     g = ranked.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("bs"))
-    return g.select(query_id, F.array_join(F.transform("bs", lambda x: x["b"]), "\n").alias("context"))
+    found = g.select(query_id, F.array_join(F.transform("bs", lambda x: x["b"]), "\n").alias("context"))
+    if queries is None:
+        return found
+    return queries.select(query_id).join(found, query_id, "left").select(
+        query_id, F.coalesce("context", F.lit(NO_HITS)).alias("context"))
 
 
 # Fixed keyword lists of the rule-based router.
@@ -191,19 +198,28 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int
     return d.withColumn("_rank", F.row_number().over(w2)).filter(F.col("_rank") <= k).drop("_salt", "_r1")
 
 
+TURN_SPAN = 1_024               # turns that one window holds
+
+
 def recent_exchanges(turns: DataFrame, keep: int = 10, show: int = 3) -> DataFrame:
-    """Pair each user turn with the assistant turn right after it, keep the
-    last ``keep`` exchanges per conversation and render the last ``show`` as
-    'User: ...' / 'Assistant: ...' lines, oldest first.
+    """Pair each user turn with the next turn if that is the assistant's,
+    keep the last ``keep`` exchanges per conversation and render the last
+    ``show`` as 'User: ...' / 'Assistant: ...' lines, oldest first.
 
-    The next turn is found by an equi-join on (conv_id, turn + 1) instead of a
-    per-conversation window, and the last ``keep`` by a two-round top-k.
+    Turn numbers may have gaps.  The next turn is found inside spans of turns,
+    and for a span's last turn in the first turn of the span after it, so a
+    long conversation is no single task.
     """
-    t = turns.select("conv_id", "turn", "role", "text")
-    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"),
-                       F.col("text").alias("next_text"))
-    ex = (t.filter(F.col("role") == "user").join(nxt, ["conv_id", "turn"])
-          .filter(F.col("next_role") == "assistant"))
+    t = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / TURN_SPAN).alias("span"))
+    one = F.struct("turn", "role", "text")
+    inside = Window.partitionBy("conv_id", "span").orderBy("turn")
+    firsts = t.groupBy("conv_id", "span").agg(F.min(one).alias("first"))
+    later = firsts.select("conv_id", "span", F.lead("first").over(
+        Window.partitionBy("conv_id").orderBy("span")).alias("later"))
+    ex = (t.withColumn("next", F.lead(one).over(inside)).join(later, ["conv_id", "span"])
+          .withColumn("next", F.coalesce("next", "later"))
+          .filter("role = 'user' AND next.role = 'assistant'")
+          .select("conv_id", "turn", "role", "text", F.col("next.text").alias("next_text")))
     ex = top_k_per_group(ex, ["conv_id"], [F.desc("turn")], keep, salt_col="turn").withColumnRenamed("_rank", "k")
     pair = F.concat(F.lit("User: "), F.col("text"), F.lit("\nAssistant: "), F.col("next_text"))
     g = ex.groupBy("conv_id").agg(
@@ -219,7 +235,3 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedd
     m = e.groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return m.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs")).select(
         F.col(label).alias("query_id"), F.transform("xs", lambda s: s["x"]).alias("query_vec"))
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

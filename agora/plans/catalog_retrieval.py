@@ -23,6 +23,28 @@ def q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chunk_documents(read_table(spark, sf_dir, "documents"))
 
 
+COVERAGE_SQL = r"""SELECT doc_id, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT)
+    AS covered_chars, true AS sizes_hold, true AS overlaps_hold FROM documents
+  WHERE regexp_matches(text, '[^\x20\x09-\x0D]')"""
+
+
+@register("R1_chunk_coverage", COVERAGE_SQL)
+def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every document hold all its text, within the limits."""
+    return R.chunk_coverage(R.chunk_documents(read_table(spark, sf_dir, "documents")))
+
+
+@register("R2_index_coverage", COVERAGE_SQL)
+def q_index_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As R1_chunk_coverage, over an index whose append ran twice."""
+    docs = read_table(spark, sf_dir, "documents")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/agora/index/{uuid.uuid4().hex}"
+    R.index_rebuild(R.chunk_documents(docs.filter(F.col("lang") == "en")), path)
+    for _ in range(2):
+        R.index_append(R.chunk_documents(docs.filter(F.col("lang") != "en")), path)
+    return R.chunk_coverage(spark.read.parquet(path))
+
+
 @register("R2_index_rebuild_append", None)
 def q_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index rebuilt from English documents, then the others appended; read back."""
@@ -71,10 +93,11 @@ def q_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context text of each centroid search; vector ids name documents."""
     v = read_table(spark, sf_dir, "embeddings")
-    ranked = R.topk_similar(R.label_centroids(v), v, k=4)
+    queries = R.label_centroids(v)
+    ranked = R.topk_similar(queries, v, k=4)
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source",
                                                          F.col("text").alias("content"))
-    return R.context_format(ranked.join(docs, "vec_id", "left"))
+    return R.context_format(ranked.join(docs, "vec_id", "left"), queries=queries)
 
 
 def _contains_any(words) -> str:

@@ -33,7 +33,7 @@ ENV_SQL = """env AS (SELECT event_id AS "offset",
     CAST(CAST(CASE WHEN event_type = 'error' THEN -value ELSE value END AS DECIMAL(10,2)) AS VARCHAR) AS amount,
     'USD' AS currency, epoch_us(ts) AS "timestamp" FROM events),
   flat AS (SELECT transaction_id, user_id, amount, currency, "timestamp", op, "offset" FROM env
-    WHERE op IN ('c', 'u', 'r') AND user_id <> '' AND amount <> '' AND amount <> '0'
+    WHERE op IN ('c', 'u', 'r') AND user_id <> '' AND amount <> ''
       AND "timestamp" <> 0)"""
 
 FLAT_COLS = 'transaction_id, user_id, amount, currency, "timestamp", op, "offset"'

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Settings the semantics depend on: zone-less timestamps, UTC, ANSI errors.
@@ -84,18 +85,22 @@ def apply_core_conf(spark: SparkSession) -> None:
             continue
         try:
             spark.conf.set(k, v)
-        except Exception:  # static conf of an already running session
-            pass
+        except AnalysisException as e:
+            # Only settings that a running session can't change may stay as they are.
+            if e.getCondition() not in ("CANNOT_MODIFY_CONFIG", "CANNOT_MODIFY_STATIC_CONFIG"):
+                raise
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` as the cluster names it; only when it is
-    unset (local runs, tests) a fresh local folder is created and registered.
+    unset in local mode (tests) a fresh local folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="agora-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -94,24 +94,40 @@ CONTRACTS: dict[str, Contract] = {c.table: c for c in [
 ]}
 
 
+def _named(columns: list | dict) -> list[dict]:
+    """Columns as dicts that hold their name; a mapping's value may be the type alone."""
+    if isinstance(columns, dict):
+        return [{"name": k, **(c if isinstance(c, dict) else {"type": c})} for k, c in columns.items()]
+    return columns
+
+
+def _type_or_text(name: str) -> T.DataType:
+    name = name.lower().strip().replace("numeric", "decimal")
+    try:
+        return spark_type(name)
+    except (KeyError, ValueError):
+        return T.StringType()
+
+
 def schema_from_metadata(meta: str | dict, add_ingested: bool = True) -> tuple[T.StructType, list[str]]:
     """Metadata JSON -> (StructType, primary key).
 
-    ``{"columns": [{"name", "type", "nullable", "primary_key"}...]}``; OBJECT
-    columns with ``fields`` become ``<col>_<field>`` columns; an
+    ``{"columns": ...}`` holds a list of ``{"name", "type", "nullable",
+    "primary_key"}`` or a mapping from names to the rest; a type that is not
+    known becomes text.  OBJECT columns with ``fields`` (list or mapping) become ``<col>_<field>`` columns; an
     ``ingested_datetime`` timestamp is appended when absent.
     """
     m = json.loads(meta) if isinstance(meta, str) else meta
     fields: list[T.StructField] = []
     pk: list[str] = []
-    for c in m["columns"]:
+    for c in _named(m["columns"]):
         if c.get("primary_key"):
             pk.append(c["name"])
         if c["type"].lower() in ("object", "jsonb") and c.get("fields"):
-            for f in c["fields"]:
-                fields.append(T.StructField(f"{c['name']}_{f['name']}", spark_type(f["type"]), True))
+            for f in _named(c["fields"]):
+                fields.append(T.StructField(f"{c['name']}_{f['name']}", _type_or_text(f["type"]), True))
             continue
-        t = T.StringType() if c["type"].lower() in ("object", "jsonb") else spark_type(c["type"])
+        t = T.StringType() if c["type"].lower() in ("object", "jsonb") else _type_or_text(c["type"])
         fields.append(T.StructField(c["name"], t, bool(c.get("nullable", True)) and not c.get("primary_key")))
     if add_ingested and "ingested_datetime" not in {f.name for f in fields}:
         fields.append(T.StructField("ingested_datetime", T.TimestampNTZType(), True))

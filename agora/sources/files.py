@@ -168,7 +168,7 @@ def chunked_append(df: DataFrame, write_chunk: Callable[[pd.DataFrame, str], Non
                 write_chunk(part, cid)
                 status.append((cid, len(part), "ok", None))
             except Exception as e:  # keep going with the next chunk
-                status.append((cid, len(part), "failed", str(e)[:200]))
+                status.append((cid, len(part), "failed", str(e)))
 
         buf: list[pd.DataFrame] = []
         n = k = 0

@@ -89,8 +89,13 @@ def cdc_source(spark: SparkSession, path_or_topic: str, fmt: str = "json", boots
 
 
 def _present(c: Column) -> Column:
-    """Python truthiness of a JSON field: not NULL, not '', not 0."""
-    return c.isNotNull() & (c.cast("string") != "") & (c.cast("string") != "0")
+    """Truthiness of a text field: not NULL, not ''. The text '0' is there."""
+    return c.isNotNull() & (c != "")
+
+
+def _nonzero(c: Column) -> Column:
+    """Truthiness of a number: not NULL, not 0."""
+    return c.isNotNull() & (c != 0)
 
 
 def cdc_flatten(env: DataFrame, strict_truthiness: bool = True) -> DataFrame:
@@ -100,8 +105,8 @@ def cdc_flatten(env: DataFrame, strict_truthiness: bool = True) -> DataFrame:
             & F.col("after.user_id").isNotNull() & F.col("after.amount").isNotNull())
     if strict_truthiness:
         keep = (keep & _present(F.col("after.user_id")) & _present(F.col("after.amount"))
-                & _present(F.col("after.timestamp")))
-    extra = [c for c in ("offset",) if c in env.columns]
+                & _nonzero(F.col("after.timestamp")))
+    extra = [c for c in ("topic", "partition", "offset") if c in env.columns]
     return env.filter(keep).select("after.*", "op", *extra)
 
 
@@ -111,8 +116,8 @@ def cdc_rejects(env: DataFrame) -> DataFrame:
     reason = (F.when(~F.col("op").isin("c", "u", "r") | F.col("op").isNull(), "operation")
               .when(F.col("after").isNull(), "no_after")
               .when(~(_present(F.col("after.user_id")) & _present(F.col("after.amount"))
-                      & _present(F.col("after.timestamp"))), "missing_field"))
-    extra = [c for c in ("offset",) if c in env.columns]
+                      & _nonzero(F.col("after.timestamp"))), "missing_field"))
+    extra = [c for c in ("topic", "partition", "offset") if c in env.columns]
     return env.select(reason.alias("reject_reason"), "op", "ts_ms", *extra).filter(F.col("reject_reason").isNotNull())
 
 
@@ -121,7 +126,7 @@ def cdc_to_json(flat: DataFrame, key: str = "user_id") -> DataFrame:
     with its message key (as a Kafka sink expects: ``key``, ``value``)."""
     value = F.to_json(F.struct(
         "user_id", "amount", F.col("timestamp").alias("timestamp_micros"), "currency", "op"))
-    extra = [c for c in ("offset",) if c in flat.columns]
+    extra = [c for c in ("topic", "partition", "offset") if c in flat.columns]
     return flat.select(F.col(key).cast("string").alias("key"), value.alias("value"), *extra)
 
 
@@ -131,7 +136,7 @@ def json_parse(messages: DataFrame, col: str = "value") -> DataFrame:
     p = messages.select(F.from_json(F.col(col), SIMPLE_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"),
                         *[c for c in messages.columns if c != col and c != "key"])
     j = F.col
-    ok = (_present(j("j.user_id")) & _present(j("j.amount")) & _present(j("j.timestamp_micros")))
+    ok = (_present(j("j.user_id")) & _present(j("j.amount")) & _nonzero(j("j.timestamp_micros")))
     return p.filter(ok).select(
         j("j.user_id").alias("user_id"), j("j.amount").alias("amount"),
         F.floor(j("j.timestamp_micros") / 1000).alias("event_time_ms"),

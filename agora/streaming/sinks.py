@@ -18,14 +18,20 @@ LAKE_PARTITIONS = ["source_topic", "year", "month", "day"]
 def lake_records(env: DataFrame, topic: str, processed_ms: str = "ts_ms", partition: int = 0) -> DataFrame:
     """S10 enrichment: {source_topic, partition, offset, timestamp, payload}
     plus the object-path parts (year/month/day of the processing time) and the
-    object id: transaction_id, else user_id, else detail_id, else offset."""
+    object id: transaction_id, else user_id, else detail_id, else offset.
+
+    A source that delivers ``topic`` and ``partition`` columns decides them;
+    the arguments stand in where it does not."""
     ts = F.timestamp_millis(F.col(processed_ms)).cast("timestamp_ntz")
     after_fields = {f.name for f in env.schema["after"].dataType.fields}
     ids = [F.col(f"after.{c}") for c in ("transaction_id", "user_id", "detail_id") if c in after_fields]
     uid = F.coalesce(*[F.when(c != "", c) for c in ids], F.col("offset").cast("string"))
-    payload = F.to_json(F.struct(*[c for c in env.columns if c != "offset"]))
+    placed = ("topic", "partition", "offset")
+    payload = F.to_json(F.struct(*[c for c in env.columns if c not in placed]))
+    from_topic = F.col("topic") if "topic" in env.columns else F.lit(topic)
+    from_partition = F.col("partition") if "partition" in env.columns else F.lit(partition)
     return env.select(
-        F.lit(topic).alias("source_topic"), F.lit(partition).alias("partition"), "offset",
+        from_topic.alias("source_topic"), from_partition.alias("partition"), "offset",
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         payload.alias("payload"),
         F.year(ts).alias("year"), F.lpad(F.month(ts).cast("string"), 2, "0").alias("month"),
