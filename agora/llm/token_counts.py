@@ -61,9 +61,11 @@ def piece_counts(path: str):
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sp = processor(path)
         for terms in batches:
-            # The model itself puts one blank first; a line feed keeps it off a word that has none.
-            found = sp.encode([t[1:] if t[0] == " " else "\n" + t for t in terms], num_threads=1)
-            yield pd.Series([len(f) - (0 if t[0] == " " else 2) for f, t in zip(found, terms)], dtype="int32")
+            # The model itself puts one blank before a text that is not empty; a line feed
+            # keeps it off a word that has none and off a blank that stands alone.
+            own = [t[0] == " " and t != " " for t in terms]
+            found = sp.encode([t[1:] if o else "\n" + t for t, o in zip(terms, own)], num_threads=1)
+            yield pd.Series([len(f) - (0 if o else 2) for f, o in zip(found, own)], dtype="int32")
 
     return count
 
