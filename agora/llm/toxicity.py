@@ -1,7 +1,8 @@
 """Operator 4: toxicity by a classifier chain.
 
 Categories are predicted one after another: the linear model of a category sees the
-words of the text and the probabilities of all earlier categories. In training, those
+words of the text, their beginnings (so that forms of a word that training never saw
+count too) and the probabilities of all earlier categories. In training, those
 probabilities are out-of-fold predictions, so later models learn from probabilities of
 the quality that they meet on new texts. Fitting runs in one task on a bounded sample
 of labelled rows; scoring reads every whole text once.
@@ -26,8 +27,12 @@ from .shared import encoded, flat_tokens, keyed_chunks, packed, prepare, texts_o
 SAMPLE = 8_000
 #: Folds of the out-of-fold predictions.
 FOLDS = 4
-#: Documents of the sample in which a word must occur to be a feature.
+#: Documents of the sample in which a word or beginning must occur to be a feature.
 LEAST_DOCS = 5
+#: Lengths of the beginnings of words that are features, in characters.
+BEGINNINGS = (3, 4, 5, 6, 7)
+#: Features that a model is fitted on: those that part its training rows' classes best, one by one.
+FEATURES = 3_000
 #: Strength of the L1 and L2 penalties, and steps of the solver.
 L1, L2, STEPS = 2e-4, 1e-4, 150
 #: Probability of the last category from which a document is toxic.
@@ -44,36 +49,92 @@ CATEGORY_WORDS = {
 CHAIN = (*CATEGORY_WORDS, "toxic")
 
 
-def word_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(rows, codes, words): each text's distinct lower-case words without marks at their ends."""
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of each key's counts."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, weights=counts, minlength=len(found))
+
+
+def value_of(counts: np.ndarray) -> np.ndarray:
+    """A feature's value in a text, by its occurrences there."""
+    return np.log2(1.0 + counts)
+
+
+def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(rows, codes, counts, words): each text's distinct lower-case words without marks at their ends."""
     rows, values = flat_tokens(pc.ascii_split_whitespace(pc.utf8_lower(texts)))
     codes, words = encoded(values)
     again, words = encoded(pc.utf8_trim(words.cast(pa.string()), characters=MARKS))
     codes = again[codes] if len(codes) else codes
-    pairs = np.unique(rows * max(1, len(words)) + codes)
+    pairs, counts = np.unique(rows * max(1, len(words)) + codes, return_counts=True)
     rows, codes = np.divmod(pairs, max(1, len(words)))
-    return rows, codes, words
+    return rows, codes, counts, words
+
+
+def beginnings(words: pa.Array, length: int) -> pa.Array:
+    """Each word's first ``length`` characters and a star, null for shorter words; no word ends in a star (``MARKS``)."""
+    cut = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, length), "*", "")
+    return pc.if_else(pc.greater_equal(pc.utf8_length(words), length), cut, pa.scalar(None, pa.string()))
+
+
+def forms(words: pa.Array) -> Iterator[pa.Array]:
+    """The words, then their beginnings of every length."""
+    yield words
+    for length in BEGINNINGS:
+        yield beginnings(words, length)
+
+
+def features_of(texts: pa.Array, least: int) -> tuple[Sparse, pa.Array]:
+    """Values of the words and beginnings that occur in at least ``least`` of the texts, and those words and beginnings."""
+    rows, codes, counts, words = word_counts(texts)
+    all_rows, all_codes, all_counts, names, start = [], [], [], [pa.array([], pa.string())], 0
+    for form in forms(words):
+        has = form.is_valid().to_numpy(zero_copy_only=False)
+        of, found = encoded(form.filter(pa.array(has)))
+        at = np.full(len(words), -1)
+        at[has] = of
+        mask = at[codes] >= 0
+        pairs, n = summed(rows[mask] * max(1, len(found)) + at[codes[mask]], counts[mask])
+        r, f = np.divmod(pairs, max(1, len(found)))
+        kept = np.bincount(f, minlength=len(found)) >= least
+        held = kept[f]
+        all_rows.append(r[held])
+        all_codes.append((start + np.cumsum(kept) - 1)[f[held]])
+        all_counts.append(n[held])
+        names.append(found.filter(pa.array(kept)).cast(pa.string()))
+        start += int(kept.sum())
+    return Sparse(np.concatenate(all_rows), np.concatenate(all_codes), value_of(np.concatenate(all_counts)), len(texts), start), pa.concat_arrays(names)
 
 
 @dataclass
 class Sparse:
-    """Rows of 0/1 features as flat indices."""
+    """Rows of features as flat indices and values."""
 
     rows: np.ndarray
     cols: np.ndarray
+    values: np.ndarray
     n: int
     width: int
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights=w[self.cols], minlength=self.n)
+        return np.bincount(self.rows, weights=w[self.cols] * self.values, minlength=self.n)
 
     def dot_t(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, weights=r[self.rows], minlength=self.width)
+        return np.bincount(self.cols, weights=r[self.rows] * self.values, minlength=self.width)
+
+    def squared_t(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, weights=r[self.rows] * self.values ** 2, minlength=self.width)
 
     def take(self, mask: np.ndarray) -> Sparse:
         at = np.cumsum(mask) - 1
         held = mask[self.rows]
-        return Sparse(at[self.rows[held]], self.cols[held], int(mask.sum()), self.width)
+        return Sparse(at[self.rows[held]], self.cols[held], self.values[held], int(mask.sum()), self.width)
+
+    def only(self, cols: np.ndarray) -> Sparse:
+        at = np.full(self.width, -1)
+        at[cols] = np.arange(len(cols))
+        held = at[self.cols] >= 0
+        return Sparse(self.rows[held], at[self.cols[held]], self.values[held], self.n, len(cols))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -83,8 +144,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_linear(x: Sparse, dense: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression with L1 and L2 penalties by accelerated proximal steps.
 
-    Classes weigh the same. Returns weights of words, then of dense features, then the bias.
+    Classes weigh the same. Of wide ``x``, only the ``FEATURES`` columns take part that
+    part the classes best by themselves. Returns weights of ``x``, then of dense features, then the bias.
     """
+    if x.width > FEATURES and x.n and y.min() < y.max():
+        share = np.where(y == 1, 1 / y.sum(), 1 / (1 - y).sum())
+        score = np.abs(x.dot_t(np.where(y == 1, share, -share))) / np.sqrt(np.maximum(x.squared_t(share * share), 1e-300))
+        best = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
+        found = fit_linear(x.only(best), dense, y)
+        w = np.zeros(x.width)
+        w[best] = found[:FEATURES]
+        return np.concatenate([w, found[FEATURES:]])
     d, m = x.width, dense.shape[1]
     if x.n == 0 or y.min() == y.max():
         w = np.zeros(d + m + 1)
@@ -130,13 +200,9 @@ def fit_chain(x: Sparse, labels: dict[str, np.ndarray], folds: np.ndarray) -> li
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
     """The sample's rows (doc order by hash) to one row per word that has a weight, and one for the rest."""
     group = group.sort_values(["h", "doc_id"]).reset_index(drop=True)
-    rows, codes, words = word_sets(pa.array(group["text"].fillna(""), pa.string()))
-    documents = np.bincount(codes, minlength=len(words))
-    kept = np.flatnonzero(documents >= min(LEAST_DOCS, max(1, len(group) // 50)))
-    at = np.full(len(words), -1)
-    at[kept] = np.arange(len(kept))
-    held = at[codes] >= 0 if len(codes) else np.zeros(0, dtype=bool)
-    x = Sparse(rows[held], at[codes[held]], len(group), len(kept))
+    texts = pa.array(group["text"].fillna(""), pa.string())
+    x, names = features_of(texts, min(LEAST_DOCS, max(1, len(group) // 50)))
+    rows, codes, _, words = word_counts(texts)
     toxic = group["toxic"].to_numpy().astype(float)
     labels = {}
     for name, listed in CATEGORY_WORDS.items():
@@ -146,19 +212,19 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
         labels[name] = toxic * has
     labels["toxic"] = toxic
     models = fit_chain(x, labels, np.arange(len(group)) % FOLDS)
-    used = np.flatnonzero(np.any([m[:x.width] != 0 for m in models], axis=0)) if len(kept) else np.zeros(0, np.int64)
-    out = {"word": [*words.take(pa.array(kept[used])).to_pylist(), None],
+    used = np.flatnonzero(np.any([m[:x.width] != 0 for m in models], axis=0)) if x.width else np.zeros(0, np.int64)
+    out = {"word": [*names.take(pa.array(used)).to_pylist(), None],
            "weights": [*[[float(m[j]) for m in models] for j in used],
                        [float(v) for m in models for v in m[x.width:]]]}
     return pd.DataFrame(out)
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pa.Table:
-    """(word, weights by category), and a row without word: each model's weights of earlier categories and bias.
+    """(word or beginning, weights by category), and a row without word: each model's weights of earlier categories and bias.
 
     The sample is the ``sample`` labelled documents of smallest id hash, a bound on
-    rows that does not depend on the table. The model has a row per word of the sample
-    at most.
+    rows that does not depend on the table. The model has ``FEATURES`` rows
+    per category at most.
     """
     named = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample))
@@ -187,13 +253,20 @@ def score_toxicity(docs: DataFrame, model: pa.Table, name: str = "_toxicity") ->
         if rest is None:
             return out
         weights = np.array(known["weights"].to_pylist()).reshape(-1, len(CHAIN))
-        rows, codes, found = word_sets(texts)
-        at = pc.fill_null(pc.index_in(found, value_set=known["word"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
-        at = at[codes] if len(codes) else np.zeros(0, np.int64)
-        rows, at = rows[at >= 0], at[at >= 0].astype(np.int64)
+        rows, codes, counts, found = word_counts(texts)
+        value_set = known["word"].combine_chunks()
+        pairs, n = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for form in forms(found):
+            at = pc.fill_null(pc.index_in(form, value_set=value_set, skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+            at = at.astype(np.int64)[codes]
+            pairs.append(rows[at >= 0] * len(value_set) + at[at >= 0])
+            n.append(counts[at >= 0])
+        pairs, n = summed(np.concatenate(pairs), np.concatenate(n))
+        rows, at = np.divmod(pairs, max(1, len(value_set)))
+        values = value_of(n)
         place = 0
         for k in range(len(CHAIN)):
-            z = np.bincount(rows, weights=weights[at, k], minlength=len(texts)) if len(at) else np.zeros(len(texts))
+            z = np.bincount(rows, weights=weights[at, k] * values, minlength=len(texts)) if len(at) else np.zeros(len(texts))
             # Weights of the earlier categories, then the bias.
             z = z + out[:, :k] @ np.array(rest[place:place + k]) + rest[place + k]
             place += k + 1

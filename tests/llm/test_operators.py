@@ -169,9 +169,24 @@ def test_toxicity_on_labels_not_seen(unseen):
     assert sum(f == y for f, y in unseen) >= 0.9 * len(unseen)
 
 
-@pytest.mark.xfail(reason="95 of 147 with two thirds of the labels of sf0.1; words that training never saw are missed")
 def test_toxicity_finds_most_toxic_documents_not_seen(unseen):
-    assert sum(f for f, y in unseen if y) >= 0.8 * sum(y for _, y in unseen)
+    # Of 147 toxic documents, 10 share no form of a toxic word with any other.
+    assert sum(f for f, y in unseen if y) >= 0.9 * sum(y for _, y in unseen)
+    assert sum(f for f, y in unseen if not y) <= 0.01 * len(unseen)
+
+
+def test_toxicity_counts_forms_of_a_word(spark):
+    r = random.Random(3)
+    plain = lambda: ["w%d" % r.randint(0, 60) for _ in range(30)]
+    rows = []
+    for i in range(400):
+        w = plain()
+        if i % 8 == 0:
+            w[5] = "schimpf" + "".join(r.choice("aeiourst") for _ in range(5))
+        rows.append((i, " ".join(w), int(i % 8 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.toxicity(table, table.where("doc_id < 240").select("doc_id", "toxic")).where("doc_id >= 240").collect()
+    assert all(f.toxic == (f.doc_id % 8 == 0) for f in found) and len(found) == 160
 
 
 def test_toxicity_odd_rows(spark, docs, none):
@@ -190,7 +205,7 @@ def test_chain_feeds_earlier_probabilities():
     has = np.zeros((n, width), bool)
     has[rows, cols] = True
     labels = {"a": has[:, 0].astype(float), "b": (has[:, 0] & has[:, 1]).astype(float)}
-    models = toxicity.fit_chain(toxicity.Sparse(rows, cols, n, width), labels, np.arange(n) % toxicity.FOLDS)
+    models = toxicity.fit_chain(toxicity.Sparse(rows, cols, np.ones(len(rows)), n, width), labels, np.arange(n) % toxicity.FOLDS)
     assert [len(m) for m in models] == [width + 1, width + 2] and models[1][width] > 0
 
 
