@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import components, encoded, keyed_chunks, packed, prepare, scratch, texts_of, to_arrow, unpacked, words_of
 
 #: Share of all n-grams from which an n-gram is known as frequent and put last in the order.
-FREQUENT = 2e-6
+FREQUENT = 5e-7
 #: The suffix filter: bits of parity and ranges of counts in the join, and finer ranges once per pair.
 PARITY, RANGES, FINE = 512, 16, 256
 #: Sizes from which a count of a range may not fit 16 bits; such sets skip the coarse counts.
