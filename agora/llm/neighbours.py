@@ -5,9 +5,8 @@ neighbours inside random blocks; each round joins every node's neighbours and re
 neighbours with their vectors, compares them with each other (neighbours of
 neighbours), and keeps each node's nearest. Queries search the graph greedily: a beam
 of the nearest nodes found so far, from the query's own node on, is widened by the
-neighbours of its nodes until it has no node that was not widened. Distances between
-components rounded to 8 bits guide both; results are measured exactly on the original
-vectors.
+neighbours of its nodes until it has no node that was not widened. Both are guided by
+distances in double precision on the original vectors, which are also the results'.
 """
 
 from __future__ import annotations
@@ -29,9 +28,6 @@ NEIGHBOURS, REVERSE = 24, 16
 ROUNDS, DEALINGS, START = 6, 3, 256
 #: Nodes of a query's beam, and rounds of widening at most (a beam that is done sooner ends sooner).
 BEAM, WIDENINGS = 384, 16
-#: Nodes of the beam that are measured exactly, as a multiple of k.
-EXACT = 4
-
 
 def _nearest(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
     """The first k rows of each key; Spark trims before the shuffle too, so a hub is no large group."""
@@ -39,12 +35,27 @@ def _nearest(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def _packed_matrix(column: pa.Array) -> np.ndarray:
+def _packed_matrix(column: pa.Array, kind: str) -> np.ndarray:
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.int8).reshape(len(values), -1).astype(np.float64)
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distance of each row of ``a`` to that of ``b``: the same for a pair wherever it is met."""
+    return ((a - b) ** 2).sum(1)
+
+
+def _about(x: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs by one product, and a bound of their rounding errors."""
+    y = x - middle
+    square = (y * y).sum(1)
+    both = square[:, None] + square[None, :]
+    d = both - 2.0 * y @ y.T
+    np.fill_diagonal(d, np.inf)
+    return d, both * (4.0 * (x.shape[1] + 4) * np.finfo(np.float64).eps)
 
 
-def _start(nodes: DataFrame) -> DataFrame:
+def _start(nodes: DataFrame, kind: str) -> DataFrame:
     """Exact neighbours inside blocks of several random dealings: (u, v, d).
 
     One dealing's blocks have no links to each other; the blocks of another cross them.
@@ -55,7 +66,7 @@ def _start(nodes: DataFrame) -> DataFrame:
         count = 0
 
         def block(table: pa.Table) -> pa.RecordBatch:
-            ids, x = table["node"].to_numpy(), _packed_matrix(table["small"].combine_chunks())
+            ids, x = table["node"].to_numpy(), _packed_matrix(table["vector"].combine_chunks(), kind)
             return _top(ids, x, NEIGHBOURS)
 
         for batch in batches:
@@ -74,35 +85,34 @@ def _start(nodes: DataFrame) -> DataFrame:
     found = None
     for dealing in range(DEALINGS):
         mixed = F.xxhash64(F.lit(dealing), F.col("node"))
-        dealt = nodes.select("node", "small").withColumn("m", mixed).repartition("m").sortWithinPartitions("m")
-        near = dealt.select("node", "small").mapInArrow(run, "u long, v long, d double")
+        dealt = nodes.select("node", "vector").withColumn("m", mixed).repartition("m").sortWithinPartitions("m")
+        near = dealt.select("node", "vector").mapInArrow(run, "u long, v long, d double")
         found = near if found is None else found.union(near)
     return _nearest(found.groupBy("u", "v").agg(F.min("d").alias("d")), "u", ["d", "v"], NEIGHBOURS)
 
 
 def _top(ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
     """Each row's k nearest others."""
-    square = (x * x).sum(1)
-    d = square[:, None] + square[None, :] - 2.0 * x @ x.T
-    np.fill_diagonal(d, np.inf)
+    d, _ = _about(x, np.median(x, axis=0))
     k = min(k, len(ids) - 1)
     if k <= 0:
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["u", "v", "d"])
     at = np.argpartition(d, k - 1, axis=1)[:, :k]
     rows = np.repeat(np.arange(len(ids)), k)
-    return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ids[at.ravel()]), pa.array(d[rows, at.ravel()])], names=["u", "v", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ids[at.ravel()]), pa.array(_apart(x[rows], x[at.ravel()]))],
+                                      names=["u", "v", "d"])
 
 
-def _round(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def _round(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     """One round: neighbours of a common node that are nearer to each other than what they have."""
     worst = graph.groupBy(F.col("u").alias("node")).agg(F.max("d").alias("worst"), F.count("*").alias("have"))
-    known = nodes.select("node", "small").join(worst, "node", "left").select(
-        "node", "small", F.when(F.col("have") < NEIGHBOURS, F.lit(float("inf"))).otherwise(
+    known = nodes.select("node", "vector").join(worst, "node", "left").select(
+        "node", "vector", F.when(F.col("have") < NEIGHBOURS, F.lit(float("inf"))).otherwise(
             F.coalesce("worst", F.lit(float("inf")))).alias("worst"))
     back = _nearest(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), "u", ["d", "v"], REVERSE)
     around = graph.select("u", "v").union(back.select("u", "v")).distinct()
     full = (around.join(known.withColumnRenamed("node", "v"), "v").groupBy("u")
-            .agg(F.collect_list(F.struct("v", "worst", "small")).alias("near")))  # NEIGHBOURS + REVERSE at most
+            .agg(F.collect_list(F.struct("v", "worst", "vector")).alias("near")))  # NEIGHBOURS + REVERSE at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,45 +120,44 @@ def _round(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             offsets = lists.offsets.to_numpy()
             flat = lists.values
             ids, worst = flat.field("v").to_numpy(), flat.field("worst").to_numpy()
-            x = _packed_matrix(flat.field("small")) if len(flat) else np.zeros((0, 1))
-            square = (x * x).sum(1)
+            x = _packed_matrix(flat.field("vector"), kind) if len(flat) else np.zeros((0, 1))
             us, vs, ds = [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 y = x[a:b]
-                d = square[a:b, None] + square[None, a:b] - 2.0 * y @ y.T
-                np.fill_diagonal(d, np.inf)
-                p, q = np.nonzero(d < worst[a:b, None])
-                us.append(ids[a:b][p])
-                vs.append(ids[a:b][q])
-                ds.append(d[p, q])
+                d, error = _about(y, y.mean(0))
+                p, q = np.nonzero(d < worst[a:b, None] + error)
+                d = _apart(y[p], y[q])
+                less = d < worst[a:b][p]
+                us.append(ids[a:b][p[less]])
+                vs.append(ids[a:b][q[less]])
+                ds.append(d[less])
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)),
                                                   pa.array(np.concatenate(ds))], names=["u", "v", "d"])
 
     better = full.mapInArrow(run, "u long, v long, d double")
-    # Whole numbers, so the same pair has the same distance wherever it was met.
     every = graph.union(better).groupBy("u", "v").agg(F.min("d").alias("d"))
     return _nearest(every, "u", ["d", "v"], NEIGHBOURS)
 
 
-def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v, d): the approximate nearest neighbours of every node (node, small)."""
-    graph = scratch(_start(nodes), "graph")
+def neighbour_graph(nodes: DataFrame, kind: str, rounds: int = ROUNDS) -> DataFrame:
+    """(u, v, d): the approximate nearest neighbours of every node (node, vector as numpy's ``kind``)."""
+    graph = scratch(_start(nodes, kind), "graph")
     for _ in range(rounds):
-        graph = scratch(_round(graph, nodes), "graph")
+        graph = scratch(_round(graph, nodes, kind), "graph")
     return graph
 
 
-def _search(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+def _search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, kind: str) -> DataFrame:
     """(q, node, d): the beam of each query node at its end; ``starts`` has (q)."""
-    asked = starts.join(nodes.select(F.col("node").alias("q"), F.col("small").alias("asked")), "q")
+    asked = starts.join(nodes.select(F.col("node").alias("q"), F.col("vector").alias("asked")), "q")
     beam = scratch(starts.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "beam")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = _packed_matrix(batch.column("asked")), _packed_matrix(batch.column("small"))
-                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(((a - b) ** 2).sum(1)),
+                a, b = (_packed_matrix(batch.column(c), kind) for c in ("asked", "vector"))
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(_apart(a, b)),
                                                   pa.array(np.zeros(batch.num_rows, bool))], names=["q", "node", "d", "done"])
 
     for _ in range(WIDENINGS):
@@ -157,8 +166,8 @@ def _search(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
             break
         found = (open_.join(graph, open_["node"] == graph["u"]).select("q", F.col("v").alias("node")).distinct()
                  .join(beam.select("q", "node"), ["q", "node"], "left_anti"))
-        measured = (found.join(nodes.select("node", "small"), "node").join(asked, "q")
-                    .select("q", "node", "small", "asked").mapInArrow(run, "q long, node long, d double, done boolean"))
+        measured = (found.join(nodes.select("node", "vector"), "node").join(asked, "q")
+                    .select("q", "node", "vector", "asked").mapInArrow(run, "q long, node long, d double, done boolean"))
         beam = scratch(_nearest(beam.withColumn("done", F.lit(True)).union(measured), "q", ["d", "node"], BEAM), "beam")
     return beam.select("q", "node", "d")
 
@@ -186,45 +195,32 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100) -> Dat
     fine = (F.col("vec_id").isNotNull() & (F.size(e) > 0)
             & ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0))
     rows = vectors.select("vec_id", "embedding").where(fine).withColumn("node", F.xxhash64("embedding"))
-    facts = rows.groupBy(F.size("embedding").alias("width")).agg(
-        F.count("*").alias("n"), F.max(F.array_max(F.transform("embedding", lambda v: F.abs(v)))).alias("most")).orderBy(
-        F.desc("n"), "width").first()
+    facts = rows.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
     out = "query_id long, rank int, vec_id long, score double"
     if facts is None:
         return spark.createDataFrame([], out)
-    width, most = facts["width"], float(facts["most"])
+    width = facts["width"]
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
-            y = np.rint(x / most * 127.0).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("node"), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()),
-                pa.array([v.tobytes() for v in y], pa.binary())], names=["node", "vector", "small"])
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())],
+                                             names=["node", "vector"])
 
     rows = rows.where(F.size("embedding") == width)
     nodes = rows.groupBy("node").agg(F.first("embedding").alias("embedding")).mapInArrow(
-        small, "node long, vector binary, small binary")
+        pack, "node long, vector binary")
     nodes = scratch(nodes.repartition("node"), "nodes")
     ids = rows.select("node", "vec_id").distinct()
     starts = scratch(ids.where(F.col("vec_id") % every == 0).select("vec_id", "node"), "queries")
-    graph = neighbour_graph(nodes)
-    beam = _search(graph, nodes, starts.select(F.col("node").alias("q")).distinct())
-    beam = _nearest(beam, "q", ["d", "node"], EXACT * k)
+    graph = neighbour_graph(nodes, kind)
+    beam = _search(graph, nodes, starts.select(F.col("node").alias("q")).distinct(), kind)
+    # Every node that ties with the last one that can count: the smaller vec_id decides.
+    reach = Window.partitionBy("q").orderBy("d")
+    beam = beam.withColumn("_r", F.rank().over(reach)).where(F.col("_r") <= k + 1)
     members = _nearest(ids, "node", ["vec_id"], k + 1)
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(-1, width).astype(np.float64)
-                        for c in ("asked", "vector"))
-                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(np.sqrt(((a - b) ** 2).sum(1)))],
-                                                 names=["q", "node", "score"])
-
-    measured = (beam.select("q", "node").join(nodes.select("node", "vector"), "node")
-                .join(nodes.select(F.col("node").alias("q"), F.col("vector").alias("asked")), "q")
-                .select("q", "node", "asked", "vector").mapInArrow(exact, "q long, node long, score double"))
-    every_ = (measured.join(starts.select(F.col("node").alias("q"), F.col("vec_id").alias("query_id")), "q")
+    every_ = (beam.select("q", "node", F.sqrt("d").alias("score"))
+              .join(starts.select(F.col("node").alias("q"), F.col("vec_id").alias("query_id")), "q")
               .join(members, "node").where("vec_id <> query_id").select("query_id", "vec_id", "score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return every_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(

@@ -289,6 +289,34 @@ def test_neighbours_against_brute_force(spark):
     assert [g.vec_id for g in got if g.query_id == 1000] == list(range(1001, 1011))
 
 
+def recall(spark, x, every=100):
+    """Share of the 10 nearest of every 100th row that are found."""
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for g in neighbours.nearest_neighbours(df, 10, every).collect():
+        got[g.query_id].append(g)
+    hits = []
+    for q in range(0, len(x), every):
+        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+        d[q] = np.inf
+        assert len(got[q]) == 10 and all(abs(d[g.vec_id] - g.score) <= 1e-12 * max(1.0, g.score) for g in got[q])
+        hits += [g.score <= np.sort(d)[9] for g in got[q]]
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("times", [100, 1_000, 1e9])
+def test_neighbours_beside_a_long_vector(spark, times):
+    x = np.random.RandomState(6).normal(size=(2_001, 16)).astype(np.float32)
+    x[7] *= times
+    assert recall(spark, x) >= 0.9
+
+
+def test_neighbours_in_groups_of_near_copies(spark):
+    r = np.random.RandomState(8)
+    x = np.repeat(r.normal(size=(4, 16)), 500, axis=0) + 1e-4 * r.normal(size=(2_000, 16))
+    assert recall(spark, x[r.permutation(2_000)].astype(np.float32)) >= 0.9
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(g.rank, g.vec_id, round(g.score, 6)) for g in neighbours.nearest_neighbours(df).orderBy("rank").collect()]
