@@ -3,8 +3,10 @@
 Native: DataFrame functions only. Lines that begin with ``>`` marks are quotations;
 the number of marks is the level. Neighbouring lines of one level are a passage. A
 passage is normalised, hashed and joined, inside its conversation, to the first
-earlier message that says the same in its own words: as a whole, as a paragraph or as
-a line. Threads are followed by pointer doubling.
+earlier message that says the same in its own words: as a whole, as a paragraph, as a
+line or as a sentence. A passage that no message has as one is joined by its own
+paragraphs, lines and sentences, to the earlier message that has most of them.
+Threads are followed by pointer doubling.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from .shared import prefix_offsets, scratch
 
 #: Marks at the start of a quoted line, with blanks between them.
 QUOTE = r"^[ \t]*((?:>[ \t]*)+)(.*)$"
+#: Blank lines between paragraphs; what parts sentences in normalised text.
+BLANK, SENTENCE = r"\n[\x20\x09-\x0D]*\n", r"(?<=[.!?\u2026]|[.!?\u2026][\"')\]\u201d\u2019]) |(?<=[\u3002\uff01\uff1f])"
 #: Turns counted together when messages are numbered.
 SPAN = 64
 
@@ -44,11 +48,48 @@ def _passages(lines: Column) -> Column:
     ).otherwise(F.concat(a, one(x))))
 
 
+def _units(text: Column) -> Column:
+    """Hashes of the whole text, its paragraphs, its lines, and the sentences of both."""
+    parts = F.concat(F.split(text, BLANK), F.split(text, "\n"))
+    sentences = F.flatten(F.transform(parts, lambda x: F.split(normalised(x), SENTENCE)))
+    full = F.filter(F.transform(F.concat(F.array(text), parts, sentences), normalised), lambda x: x != "")
+    return F.array_distinct(F.transform(full, lambda x: F.md5(x)))
+
+
+def _origins(quotes: DataFrame, said: DataFrame) -> DataFrame:
+    """(conv, at, raw, origin): the earlier message of each quoted passage that has one.
+
+    ``quotes`` has (conv, at, raw, hash, units), ``said`` the distinct (conv, at, unit).
+    The first message with the whole passage; else the one with most of its units, the
+    first of equals. A message with c of the k units that anyone said has one of the
+    k - c + 1 rarest, so only their messages are compared: c is what a unit's first
+    message reaches at least, and a common line is no candidate where others are found.
+    """
+    one = ["conv", "at", "raw"]
+    passages = quotes.select(*one, "hash", "units").distinct()
+    known = scratch(said.groupBy("conv", "unit").agg(F.min("at").alias("origin"), F.count("*").alias("n")), "units")
+    whole = scratch(passages.join(known.withColumnRenamed("unit", "hash"), ["conv", "hash"]).where("origin < at").select(*one, "origin"), "whole")
+    parts = passages.join(whole, one, "left_anti").select(*one, F.explode("units").alias("unit"))
+    parts = scratch(parts.join(known, ["conv", "unit"]).where("origin < at"), "parts")
+    reached = (parts.groupBy(*one, "origin").agg(F.count("*").alias("c")).groupBy(*one)
+               .agg((F.sum("c") - F.max("c") + 1).alias("rarest")))
+    rank = F.row_number().over(Window.partitionBy(*one).orderBy("n", "unit"))
+    rare = parts.withColumn("r", rank).join(reached, one).where("r <= rarest").select(*one, "unit")
+    there = said.select("conv", "unit", F.col("at").alias("origin"))
+    candidates = rare.join(there, ["conv", "unit"]).where("origin < at").select(*one, "origin").distinct()
+    most = (candidates.join(parts.select(*one, "unit"), one).join(there, ["conv", "unit", "origin"])
+            .groupBy(*one, "origin").agg((-F.count("*")).alias("c"))
+            .groupBy(*one).agg(F.min(F.struct("c", "origin"))["origin"].alias("origin")))
+    return whole.union(most)
+
+
 def reply_order(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, parent_turn, thread_turn, position, n_quotes, n_linked, max_level, body.
 
     ``body`` is the message without quotations (and without blank lines at its ends).
-    ``parent_turn`` is the turn of the latest original among the passages of level 1,
+    The original of a passage is the first earlier message that has it as one (whole,
+    paragraph, line or sentence), or else the one that has most of its paragraphs, lines
+    and sentences. ``parent_turn`` is the turn of the latest original among the passages of level 1,
     or, where none is found, among deeper ones; null where nothing is quoted or no
     original is earlier. ``thread_turn`` is the first message reached by parents, itself
     if it has none. ``position`` (from 0) orders a conversation by thread, then by turn,
@@ -73,14 +114,13 @@ def reply_order(messages: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("one")), "messages")
     real = rows.where(F.col("at") < 2**62)
     quotes = (real.where("passages IS NOT NULL").select("conv", "at", F.explode("passages").alias("p"))
-              .select("conv", "at", "p.level", F.md5(normalised(F.array_join("p.said", " "))).alias("hash"),
-                      (normalised(F.array_join("p.said", " ")) != "").alias("full")).where("full").drop("full"))
+              .select("conv", "at", "p.level", F.array_join("p.said", "\n").alias("text")).where(normalised(F.col("text")) != ""))
+    quotes = scratch(quotes.select("conv", "at", "level", F.md5("text").alias("raw"), F.md5(normalised(F.col("text"))).alias("hash"),
+                                   _units(F.col("text")).alias("units")), "quotes")
     # Only conversations that quote need an index of what was said in them.
     said = real.join(quotes.select("conv").distinct(), "conv", "left_semi")
-    units = F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n[\x20\x09-\x0D]*\n"), F.split("body", "\n")))
-    first = (said.select("conv", "at", F.explode(units).alias("unit")).select("conv", "at", normalised(F.col("unit")).alias("unit"))
-             .where("unit <> ''").groupBy("conv", F.md5("unit").alias("hash")).agg(F.min("at").alias("origin")))
-    linked = quotes.join(first, ["conv", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("at"), F.col("origin")))
+    said = scratch(said.select("conv", "at", F.explode(_units(F.col("body"))).alias("unit")).distinct(), "said")
+    linked = quotes.join(_origins(quotes, said), ["conv", "at", "raw"], "left")
     by_message = linked.groupBy("conv", "at").agg(
         F.count("origin").alias("_linked"),
         F.coalesce(F.max(F.when(F.col("level") == 1, F.col("origin"))), F.max("origin")).alias("parent"))

@@ -152,6 +152,34 @@ def test_quotations_are_linked_and_left_out(spark):
     assert sorted(r.position for r in got if r.conv_id == 2) == [0, 1]
 
 
+def test_trimmed_quotations_are_linked(spark):
+    long = "Line one of it\nline two here\nline three there\nline four.\n\nSecond paragraph.\n\nThird one!"
+    rows = [(1, 0, "user", long), (1, 1, "user", "> line two here\n> line three there\nlines"),
+            (1, 2, "user", "> Second paragraph.\n>\n> Third one!\nparagraphs"),
+            (1, 3, "user", "Title\nWe met on Monday. It rained (a lot!) all day. Then we left."),
+            (1, 4, "user", "> It rained (a lot!)  all day.\na sentence"), (1, 5, "user", "> we met on Monday. It rained (a lot!)\n> all day.\nwrapped"),
+            # Three have parts of a passage, and a later one all of it among others.
+            (2, 0, "user", "a\nb\nx"), (2, 1, "user", "b\nc\ny"), (2, 2, "user", "a\nz"), (2, 3, "user", "q\na\nb\nc\nr"),
+            (2, 4, "user", "a\nb\nc\nr\nagain"), (2, 5, "user", "> a\n> b\n> c\nso"), (2, 6, "user", "> a\n> never said\nso"),
+            (2, 7, "user", "> never\n> said\nso")]
+    got = quotation.reply_order(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()
+    by = {(r.conv_id, r.turn): (r.parent_turn, r.n_linked) for r in got}
+    assert [by[1, i] for i in (1, 2, 4, 5)] == [(0, 1), (0, 1), (3, 1), (3, 1)]
+    assert [by[2, i] for i in (5, 6, 7)] == [(3, 1), (0, 1), (None, 0)]
+
+
+def test_originals_have_most_units_of_a_passage(spark):
+    r = random.Random(4)
+    rows = [(c, t, "user", "\n".join(r.choices("abcdefgh", [9, 5, 3, 2, 1, 1, 1, 1], k=3))) for c in range(20) for t in range(12)]
+    rows += [(c, 12 + t, "user", "\n".join("> " + x for x in r.choices("abcdefghi", k=4))) for c in range(20) for t in range(3)]
+    got = quotation.reply_order(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()
+    lines = {(c, t): text.split("\n") for c, t, _, text in rows}
+    for g in (g for g in got if g.turn >= 12):
+        quoted = {x[2:] for x in lines[g.conv_id, g.turn]}
+        found = [(-len(quoted & set(lines[g.conv_id, t])), t) for t in range(12)]
+        assert g.parent_turn == (min(found)[1] if min(found)[0] else None)
+
+
 # ---- 4
 
 
