@@ -273,57 +273,6 @@ def test_class_probabilities_add_up_and_exchange_helps(spark, docs):
     assert all(abs(v + 1 / (model.sizes[c] + model.words[c] + 1) - 1) < 1e-9 for c, v in sums.items())
 
 
-def test_best_class_of_a_word_as_by_moving_it():
-    r = np.random.RandomState(2)
-    size = lm.CLASSES + lm.ENDINGS + 1
-    n = r.randint(0, 4, (300, 300)) * (r.rand(300, 300) < 0.05)
-    np.fill_diagonal(n, 0)
-    c = np.where(np.arange(300) < 200, np.arange(300) % lm.CLASSES, lm.CLASSES + np.arange(300) % lm.ENDINGS)
-    counts = lambda c: sum(np.eye(size)[c[i]][:, None] * (np.eye(size)[c].T @ n[i])[None] for i in range(300))
-    g, chosen = counts(c), [0, 1, 70, 250]
-    word, side, other = np.array([(k, d, j) for k, i in enumerate(chosen) for d in (0, 1) for j in range(300) if (n[i, j], n[j, i])[d]]).T
-    many = np.array([n[chosen[k], j] if d == 0 else n[j, chosen[k]] for k, d, j in zip(word, side, other)])
-    got = lm._best_classes(g, c[chosen], word, side, c[other], many)
-    for i, to in zip(chosen, got):
-        values = [lm._likelihood(counts(np.where(np.arange(300) == i, k, c))) for k in range(lm.CLASSES)]
-        assert values[to] >= max(values) - 1e-6
-
-
-@pytest.mark.parametrize("heavy", [lm.HEAVY, 2e-3])
-def test_rare_words_are_clustered_and_scored(spark, monkeypatch, heavy):
-    """Words of two kinds in turn, each below CORE of all tokens; some not heavy, so that tables are joined."""
-    monkeypatch.setattr(lm, "HEAVY", heavy)
-    monkeypatch.setattr("agora.llm.terms.HEAVY", heavy)
-    monkeypatch.setattr(lm, "CORE", 2e-3)
-    r = random.Random(3)
-    noun, verb = ["n%03d" % i for i in range(150)], ["v%03d" % i for i in range(150)]
-    often = [8] * 40 + [1] * 110
-    one = lambda of: r.choices(of, often)[0]
-    texts = [" ".join(f"the {one(noun)} will {one(verb)}" for _ in range(10)) for _ in range(300)] + ["the once", None, "will n001 never"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    train = df.where(~lm.held_out(F.col("doc_id")))
-    model = lm.train_classes(train, lm.count_terms(train, lm.with_end).cache())
-    c = {x.term: x for x in model.classes.collect()}
-    often = [x for w, x in c.items() if x.n >= lm.FLOOR and w != lm.END]
-    assert len(often) > 250 and all(x.c < lm.CLASSES for x in often)
-    kinds = collections.Counter((x.c, x.term[0]) for x in often if x.term[0] in "nv")
-    assert sum(min(kinds[k, "n"], kinds[k, "v"]) for k in range(lm.CLASSES)) <= 0.05 * len(often)
-    size = len(model.transitions)
-    counts = np.zeros((size, size))
-    of = lambda w: c[w].c if w in c else lm.ending_class_of(w)
-    for i, t in enumerate(texts):
-        s = [lm.END, *words(t), lm.END]
-        for a, b in zip(s, s[1:]) if crc(i) % 7 != 2 else ():
-            counts[of(a), of(b)] += 1
-    p = np.log10((counts + lm.ALPHA) / (counts.sum(1, keepdims=True) + lm.ALPHA * size))
-    assert np.allclose(p, model.transitions)
-    for g in lm.score_documents(df).collect():
-        s = [lm.END, *words(texts[g.doc_id]), lm.END]
-        want = sum(p[of(a), of(b)] + (0 if b == lm.END else math.log10(((c[b].n if b in c else 0) + 1) / (model.sizes[of(b)] + model.words[of(b)] + 1)))
-                   for a, b in zip(s, s[1:]))
-        assert abs(g.score - want) < 1e-6 and g.n_known == sum(w in c for w in s[1:])
-
-
 # ---- 6
 
 
