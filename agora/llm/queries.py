@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from agora.sources.tables import read_table
 
-from . import bpe, embedding_dedup, jaccard, lm, mixing, neighbours, quotation, sharding, token_counts, toxicity
+from . import (alignment, bpe, embedding_dedup, fingerprints, jaccard, lm, merkle, mixing, neighbours, quotation, sharding, token_counts, toxicity)
 
-BPE_RANKS, PIECE_MODEL = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+BPE_RANKS, BPE_FILE, PIECE_MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), 4096)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), merkle.one_in_five()).drop("path")
+
+
+def op12_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE),
+                                     public_tokenizers.PATTERN, public_tokenizers.path(PIECE_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sharding, op2_embedding_dedup, op3_quotation_linking, op4_toxicity, op5_class_lm, op6_byte_bpe,
-    op7_nn_descent, op8_jaccard_join, op9_source_mix, op10_token_counts)}
+    op7_nn_descent, op8_jaccard_join, op9_source_mix, op10_token_counts, op11_merkle_manifest, op12_weighted_fingerprints,
+    op13_token_alignment)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": merkle.ORACLE}
