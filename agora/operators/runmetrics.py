@@ -1,19 +1,16 @@
 """Pipeline and stream metrics (L1-L7) computed from run logs and event tables.
 
-Trailing-time and trailing-row windows are computed without a global
-single-partition window: time windows use hour partitions with a 60-second
-halo copied from the previous hour; row windows use a global rank (two-level
-prefix count) and an equi-join on ``rank - n``.
+Trailing-time and trailing-row windows are read off running counts (``operators.ordered``):
+rows are dealt out by ranges of time, so a busy hour is spread over as many tasks as its
+share of the rows. No window sees the whole stream or a whole hour.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming.alerts import running_totals
-
-HOUR_US = 3_600_000_000
+from .ordered import running_totals
 
 
 def op_throughput(run_log: DataFrame) -> DataFrame:
@@ -48,34 +45,28 @@ def stream_throughput(events: DataFrame, ts: str = "ts", window_s: int = 60, id_
     """L4: per event, events in the trailing ``window_s`` seconds (inclusive)
     and that count / ``window_s``.
 
-    Hour partitions with a halo: events of the last ``window_s`` seconds of
-    every hour are copied into the next hour's partition (as context only),
-    so each partition's range window is exact and no task sees the stream.
+    Each event leaves three marks on the time axis: itself, one before all events of
+    the moment its window begins, and one behind all events of its own moment. The
+    window's events are the difference of the running counts at the latter two.
+    Events without a time have none.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp_ltz"))
-    e = events.select(id_col, ts, us.alias("_us"), F.floor(us / HOUR_US).alias("_h"))
-    halo = (e.filter((F.col("_us") % HOUR_US) >= HOUR_US - window_s * 1_000_000)
-            .withColumn("_h", F.col("_h") + 1).withColumn("_own", F.lit(0)))
-    both = e.withColumn("_own", F.lit(1)).unionByName(halo)
-    w = Window.partitionBy("_h").orderBy("_us").rangeBetween(-window_s * 1_000_000, 0)
-    c = both.withColumn("events_in_window", F.count(F.lit(1)).over(w)).filter(F.col("_own") == 1)
+    mark = lambda at, place, n, sign: F.struct(at.alias("_us"), F.lit(place).alias("_at"), F.lit(n).alias("_n"), F.lit(sign).alias("_sign"))
+    marks = events.withColumn("_row", F.monotonically_increasing_id()).select(id_col, ts, "_row", F.inline(F.array(
+        mark(us - window_s * 1_000_000, 0, 0, -1), mark(us, 1, 1, 0), mark(us, 2, 0, 1)))).where("_us is not null")
+    r = running_totals(marks, [], ["_us", "_at"], "_n")
+    c = r.where("_sign <> 0").groupBy("_row").agg(F.first(id_col).alias(id_col), F.first(ts).alias(ts),
+                                                  F.sum(F.col("_sign") * F.col("run_sum")).alias("events_in_window"))
     return c.select(id_col, ts, "events_in_window",
                     F.round(F.col("events_in_window") / float(window_s), 6).alias("events_per_second"))
 
 
-def global_rank(df: DataFrame, order: list[str], split: Column, value: str) -> DataFrame:
-    """Global 1-based rank and prefix sum of ``value`` in ``order`` (two levels)."""
-    d = df.withColumn("_all", F.lit(0))
-    r = running_totals(d, ["_all"], split, order, value)
-    return r.drop("_all").withColumnRenamed("run_n", "g_rank").withColumnRenamed("run_sum", "g_sum")
-
-
 def stream_latency_avg(events: DataFrame, latency: str = "latency_ms", ts: str = "ts", id_col: str = "event_id",
                        last_n: int = 100) -> DataFrame:
     """Per event, the mean of the last ``last_n`` latencies (itself included)."""
     us = F.unix_micros(F.col(ts).cast("timestamp_ltz"))
     e = events.select(id_col, ts, F.col(latency).cast("double").alias("_lat"), us.alias("_us"))
-    r = global_rank(e, ["_us", id_col], F.floor(F.col("_us") / HOUR_US), "_lat")
+    r = running_totals(e, [], ["_us", id_col], "_lat").withColumnsRenamed({"run_n": "g_rank", "run_sum": "g_sum"})
     back = r.select((F.col("g_rank") + last_n).alias("g_rank"), F.col("g_sum").alias("_s_back"))
     j = r.join(back, "g_rank", "left")
     n = F.least(F.col("g_rank"), F.lit(last_n))

@@ -105,30 +105,38 @@ def q_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.with_event_time(p)
 
 
-def _alert_sql(window_days: int, threshold: str) -> str:
-    return f"""WITH {ENV_SQL},
+def _alert_sql(window_days: int, threshold: str, where: str = "true") -> str:
+    """Window totals, then one step per event of a user: the last alerted total is carried along."""
+    return f"""WITH RECURSIVE {ENV_SQL},
   tx AS (SELECT user_id, abs(CAST(amount AS DECIMAL(12,2))) AS amount, "timestamp" // 1000 AS ms,
-           "offset" AS tie, ("timestamp" // 1000) // 86400000 AS day FROM flat),
+           "offset" AS tie, ("timestamp" // 1000) // 86400000 AS day FROM flat WHERE {where}),
   dayc AS (SELECT user_id, day, count(*) OVER (PARTITION BY user_id ORDER BY day
              RANGE BETWEEN {window_days} PRECEDING AND 1 PRECEDING) AS prev_days
            FROM (SELECT DISTINCT user_id, day FROM tx)),
   w AS (SELECT tx.*, d.prev_days,
-      coalesce(sum(amount) OVER (PARTITION BY tx.user_id ORDER BY tx.day
+      CAST(coalesce(sum(amount) OVER (PARTITION BY tx.user_id ORDER BY tx.day
                RANGE BETWEEN {window_days} PRECEDING AND 1 PRECEDING), 0)
-        + sum(amount) OVER (PARTITION BY tx.user_id, tx.day ORDER BY ms, tie ROWS UNBOUNDED PRECEDING) AS total,
+        + sum(amount) OVER (PARTITION BY tx.user_id, tx.day ORDER BY ms, tie ROWS UNBOUNDED PRECEDING)
+        AS DECIMAL(12,2)) AS total,
       coalesce(count(*) OVER (PARTITION BY tx.user_id ORDER BY tx.day
                RANGE BETWEEN {window_days} PRECEDING AND 1 PRECEDING), 0)
-        + row_number() OVER (PARTITION BY tx.user_id, tx.day ORDER BY ms, tie) AS n
+        + row_number() OVER (PARTITION BY tx.user_id, tx.day ORDER BY ms, tie) AS n,
+      row_number() OVER (PARTITION BY tx.user_id ORDER BY ms, tie) AS i
       FROM tx JOIN dayc d ON tx.user_id = d.user_id AND tx.day = d.day),
-  l AS (SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY ms, tie) AS prev_total FROM w)
-  SELECT user_id, CAST(CAST(total AS DECIMAL(12,2)) AS DOUBLE) AS total_amount,
+  step AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS DECIMAL(12,2)) AS last, false AS alert
+           FROM (SELECT DISTINCT user_id FROM w)
+    UNION ALL SELECT w.user_id, w.i,
+      CASE WHEN w.total < {threshold} THEN NULL WHEN s.last IS NULL OR abs(w.total - s.last) > 0.01 THEN w.total
+           ELSE s.last END,
+      w.total >= {threshold} AND (s.last IS NULL OR abs(w.total - s.last) > 0.01)
+    FROM step s JOIN w ON w.user_id = s.user_id AND w.i = s.i + 1)
+  SELECT w.user_id, CAST(total AS DOUBLE) AS total_amount,
     CAST(prev_days + 1 AS INT) AS bucket_count, CAST(n AS INT) AS transaction_count,
     'HIGH_VALUE_USER' AS alert_type,
-    'User spent $' || CAST(CAST(total AS DECIMAL(12,2)) AS VARCHAR) || ' in last {window_days} days' AS message,
+    'User spent $' || CAST(total AS VARCHAR) || ' in last {window_days} days' AS message,
     'HIGH' AS severity, strftime(epoch_ms(ms), '%Y-%m-%d %H:%M:%S.%f') AS detected_at,
     {window_days} AS window_days, CAST({threshold} AS DOUBLE) AS threshold_amount
-  FROM l WHERE total >= {threshold}
-    AND (prev_total IS NULL OR prev_total < {threshold} OR abs(total - prev_total) > 0.01)"""
+  FROM w JOIN step ON w.user_id = step.user_id AND w.i = step.i AND alert"""
 
 
 @register("S7_rolling_alert", _alert_sql(30, "3000.00"))

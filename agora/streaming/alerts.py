@@ -1,22 +1,22 @@
-"""Spending alerts: rolling bucketed window (S7), cumulative (S8), upsert.
+"""Spending alerts: rolling bucketed window (S7), cumulative (S8), upsert (S9), idle users.
 
-Batch forms are window plans.  Per-user running sums are computed in two
-levels so that no single task has to hold a user's whole history: first
-per (key, split) aggregates and their prefix offsets (few rows per key),
-then a running sum inside each (key, split) slice.  A user holding a third
-of all events is therefore spread over all of its day/hour slices.
+Batch forms are scans over rows dealt out by ranges of (user, time) (``operators.ordered``):
+no task has to hold a user's history. Streaming forms keep state per user and work on a
+micro-batch's amounts as whole arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from decimal import ROUND_HALF_UP, Decimal
+from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import inside, running, running_totals, slices
 from .cdc import DAY_MS, cdc_flatten
 
 # Fixed values of the alert jobs.
@@ -27,54 +27,99 @@ SEVERITY = "HIGH"
 MONEY = "decimal(12,2)"
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], split: Column, order: Sequence[str],
-                   value: str) -> DataFrame:
-    """Add ``run_sum`` / ``run_n``: running sum and count of ``value`` within
-    ``keys`` in ``order`` (ties must not occur in ``order``).
-
-    ``split`` must be monotone in ``order`` within a key (e.g. hour of the
-    event); it only sets the granularity of the second level.
-    """
-    d = df.withColumn("_split", split)
-    per = d.groupBy(*keys, "_split").agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select(*keys, "_split", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off_s"),
-                      F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"))
-    inner = Window.partitionBy(*keys, "_split").orderBy(*order)
-    j = d.join(offs, [*keys, "_split"])
-    return j.select(*df.columns,
-                    (F.col("_off_s") + F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-                    .alias("run_sum"),
-                    (F.col("_off_n") + F.row_number().over(inner)).alias("run_n"))
-
-
-def transactions(env_or_flat: DataFrame, strict_truthiness: bool = True) -> DataFrame:
+def transactions(env_or_flat: DataFrame, strict_truthiness: bool = True, with_arrival: bool = False) -> DataFrame:
     """Accepted transactions as (user_id, amount=|amount| decimal, event_time_ms, tie).
+    ``with_arrival`` adds arrived_ms, the envelope's own time.
 
     Amounts arrive as text; text that is not a number is dropped here (it
     would stop the original job).  ``strict_truthiness=False`` is the SQL
     job's filter (NULL checks only) used by the cumulative alert.
     """
-    flat = (cdc_flatten(env_or_flat, strict_truthiness) if "after" in env_or_flat.columns else env_or_flat)
+    kept = ("topic", "partition", "offset", "ts_ms") if with_arrival else ("topic", "partition", "offset")
+    flat = (cdc_flatten(env_or_flat, strict_truthiness, kept) if "after" in env_or_flat.columns else env_or_flat)
     tie = F.col("offset") if "offset" in flat.columns else F.col("transaction_id")
     return flat.select(
         "user_id",
         F.abs(F.col("amount").try_cast(MONEY)).alias("amount"),
         F.floor(F.col("timestamp") / 1000).alias("event_time_ms"),
-        tie.alias("tie")).filter(F.col("amount").isNotNull())
+        tie.alias("tie"), *([F.col("ts_ms").alias("arrived_ms")] if with_arrival else [])).filter(F.col("amount").isNotNull())
 
 
-def rolling_alert(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD,
-                  split_ms: int = 3_600_000) -> DataFrame:
+def fired(totals: np.ndarray, threshold: int, last: int | None) -> tuple[np.ndarray, int | None]:
+    """Which totals (cents, in order) alert, and the last alerted total after them.
+
+    A total alerts when it reaches the threshold and no alert stands or it differs by
+    more than a cent from the last alerted one; a total below the threshold takes the
+    alert back. Behind a total below, or a step of more than two cents, the alert is
+    certain whatever came before; only smaller steps ask for the last alerted total.
+    """
+    n = len(totals)
+    over = totals >= threshold
+    step = np.abs(np.diff(totals))
+    certain = np.zeros(n, dtype=bool)
+    certain[1:] = over[1:] & (~over[:-1] | (step > 2))
+    certain[0] = over[0] and (last is None or abs(int(totals[0]) - last) > 1)
+    latest = np.maximum.accumulate(np.where(certain, np.arange(n), -1))
+    alert, small = certain.copy(), -1
+    for i in np.flatnonzero(over[1:] & ~certain[1:] & (step > 0)) + 1:
+        j = max(int(latest[i]), small)
+        held = int(totals[j]) if j >= 0 else last
+        if held is None or abs(int(totals[i]) - held) > 1:
+            alert[i], small = True, int(i)
+    if not over[-1]:
+        return alert, None
+    hits = np.flatnonzero(alert)
+    return alert, int(totals[hits[-1]]) if len(hits) else last
+
+
+def small_step_alerts(small: DataFrame, threshold: int) -> DataFrame:
+    """Alerts among steps of one or two cents, where the last alerted total decides.
+
+    ``small`` has user_id, chain (what the steps since one certain alert share), _slice,
+    cents (total), prev_cents (the one before), event_time_ms, tie, _place. After a total T the
+    last alerted total is T, a cent more or a cent less; so a slice's part of a chain is
+    a map of three cases. The maps of a chain are put one after another (one row per
+    slice), then every part runs from the case that its predecessors lead to.
+    """
+    order = ["event_time_ms", "tie", "_place"]
+    part = ["user_id", "chain", "_slice"]
+
+    def mapped(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        totals, before = pdf["cents"].to_numpy(), int(pdf["prev_cents"].iloc[0])
+        ends = [fired(totals, threshold, before + case)[1] - int(totals[-1]) for case in (-1, 0, 1)]
+        return pdf[part].head(1).assign(ends=[ends])
+
+    def led(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_slice")
+        case, start = 0, []
+        for ends in pdf["ends"]:
+            start.append(case)
+            case = int(ends[case + 1])
+        return pdf[part].assign(case=start)
+
+    def applied(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        alert, _ = fired(pdf["cents"].to_numpy(), threshold, int(pdf["prev_cents"].iloc[0]) + int(pdf["case"].iloc[0]))
+        return pdf[alert].drop(columns="case")
+
+    keys = ", ".join(f"{c} {small.schema[c].dataType.simpleString()}" for c in part)
+    maps = small.select(*part, *order, "cents", "prev_cents").groupBy(*part).applyInPandas(mapped, f"{keys}, ends array<int>")
+    starts = maps.groupBy("user_id", "chain").applyInPandas(led, f"{keys}, case int")
+    return small.join(starts, part).groupBy(*part).applyInPandas(applied, small.schema)
+
+
+def rolling_alert(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD) -> DataFrame:
     """S7 batch form: per-user day buckets over [day - window_days, day].
 
-    Arrival order is taken as (event_time_ms, tie).  An event alerts when its
-    window total reaches ``threshold`` and the previous total of that user was
-    below it or differs by more than 0.01 (decimal arithmetic).
-    ``bucket_count`` is the number of active days in the window (what the
+    Arrival order is taken as (event_time_ms, tie). An event alerts when its window
+    total reaches ``threshold`` and there is no alert since the user's total was last
+    below it, or the last *alerted* total differs by more than 0.01 (decimal
+    arithmetic). ``bucket_count`` is the number of active days in the window (what the
     alert row calls transaction_count); ``transaction_count`` counts events.
     """
-    t = tx.withColumn("day", F.floor(F.col("event_time_ms") / DAY_MS).cast("int"))
+    t = slices(tx.filter(F.col("user_id").isNotNull()).withColumn("day", F.floor(F.col("event_time_ms") / DAY_MS).cast("int")),
+               ["user_id"], ["event_time_ms", "tie"], "alerts")
     days = t.groupBy("user_id", "day").agg(F.sum("amount").alias("ds"), F.count(F.lit(1)).alias("dn"))
     back = Window.partitionBy("user_id").orderBy("day").rangeBetween(-window_days, -1)
     days = days.select(
@@ -85,22 +130,37 @@ def rolling_alert(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRES
         "ds")
     # Total at the last event of the previous active day, for the first event of a day.
     days = days.withColumn("prev_day_end", F.lag(F.col("prev_sum") + F.col("ds")).over(
-        Window.partitionBy("user_id").orderBy("day")))
-    r = running_totals(t, ["user_id", "day"], F.floor((F.col("event_time_ms") % DAY_MS) / split_ms),
-                       ["event_time_ms", "tie"], "amount")
-    j = r.join(days, ["user_id", "day"])
+        Window.partitionBy("user_id").orderBy("day"))).drop("ds")
+    keys, order = ["user_id", "day"], ["event_time_ms", "tie"]
+    j = running(t, keys, order, "amount", days, keys)
+    cents = lambda c: (c * 100).cast("long")
     total = (F.col("prev_sum") + F.col("run_sum")).cast(MONEY)
-    prev_total = F.when(F.col("run_n") > 1, total - F.col("amount")).otherwise(F.col("prev_day_end"))
+    j = j.withColumn("total", total).withColumn("prev_total", F.when(F.col("run_n") > 1, F.col("total") - F.col("amount"))
+                                                .otherwise(F.col("prev_day_end")))
+    j = j.withColumn("cents", cents(F.col("total"))).withColumn("prev_cents", cents(F.col("prev_total")))
     th = F.lit(threshold).cast(MONEY)
-    fire = (total >= th) & (prev_total.isNull() | (prev_total < th) | (F.abs(total - prev_total) > F.lit("0.01").cast(MONEY)))
-    out = j.filter(fire)
-    return out.select(
+    step = F.abs(F.col("cents") - F.col("prev_cents"))
+    over, known = F.col("total") >= th, F.coalesce(F.col("prev_total") >= th, F.lit(False))
+    j = j.withColumn("certain", over & (~known | (step > 2)))
+    # Steps of one or two cents belong to the chain of the last certain alert before them.
+    window, _ = inside(keys, order)
+    at = F.struct("event_time_ms", "tie", "_place")
+    j = j.withColumn("chain", F.max(F.when(F.col("certain"), at)).over(window))
+    fields = ["user_id", "day", "_slice", "event_time_ms", "tie", "_place", "total", "cents", "prev_cents", "prev_days", "prev_n", "run_n"]
+    small = j.filter(over & known & (step > 0) & (step <= 2)).select(*fields, "chain")
+    ends = j.groupBy("user_id", "day", "_slice").agg(F.max(F.when(F.col("certain"), at)).alias("end"))
+    earlier = ends.withColumn("carried", F.max("end").over(
+        Window.partitionBy("user_id").orderBy("day", "_slice").rowsBetween(Window.unboundedPreceding, -1))).drop("end")
+    small = small.join(earlier, ["user_id", "day", "_slice"]).withColumn("chain", F.xxhash64(F.coalesce("chain", "carried"))).drop("carried")
+    alerts = j.filter("certain").select(*fields).unionByName(
+        small_step_alerts(small, int(Decimal(str(threshold)) * 100)).select(*fields))
+    return alerts.select(
         "user_id",
-        total.alias("total_amount"),
+        F.col("total").alias("total_amount"),
         (F.col("prev_days") + 1).cast("int").alias("bucket_count"),
         (F.col("prev_n") + F.col("run_n")).cast("int").alias("transaction_count"),
         F.lit(ALERT_TYPE).alias("alert_type"),
-        F.concat(F.lit("User spent $"), total.cast("string"), F.lit(f" in last {window_days} days")).alias("message"),
+        F.concat(F.lit("User spent $"), F.col("total").cast("string"), F.lit(f" in last {window_days} days")).alias("message"),
         F.lit(SEVERITY).alias("severity"),
         F.timestamp_millis("event_time_ms").cast("timestamp_ntz").alias("detected_at"),
         F.lit(window_days).alias("window_days"),
@@ -108,12 +168,16 @@ def rolling_alert(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRES
     )
 
 
-def cumulative_alert(tx: DataFrame, threshold=THRESHOLD, split_ms: int = DAY_MS) -> DataFrame:
+def cumulative_alert(tx: DataFrame, threshold=THRESHOLD) -> DataFrame:
     """S8 batch form: lifetime running sum and count per user in arrival order;
     every transaction at or above the threshold emits (updates count again)."""
-    r = running_totals(tx, ["user_id"], F.floor(F.col("event_time_ms") / split_ms),
-                       ["event_time_ms", "tie"], "amount")
-    total = r.run_sum.cast(MONEY)
+    r = running_totals(tx.filter(F.col("user_id").isNotNull()), ["user_id"], ["event_time_ms", "tie"], "amount")
+    return cumulative_rows(r.withColumn("total", F.col("run_sum").cast(MONEY)), threshold)
+
+
+def cumulative_rows(r: DataFrame, threshold=THRESHOLD) -> DataFrame:
+    """Alert rows of running totals (user_id, total, run_n, event_time_ms)."""
+    total = F.col("total")
     th = F.lit(threshold).cast(MONEY)
     ts = F.timestamp_millis("event_time_ms").cast("timestamp_ntz")
     return r.filter(total >= th).select(
@@ -144,81 +208,128 @@ def alert_upsert(alerts: DataFrame, target: DataFrame | None = None) -> DataFram
 
 
 # ---------------------------------------------------------------------------
-# Streaming form of S7: keyed state with day buckets (applyInPandasWithState)
+# Streaming forms: keyed state per user (RocksDB state store)
 # ---------------------------------------------------------------------------
-STATE_SCHEMA = T.StructType([
-    T.StructField("days", T.ArrayType(T.LongType())),
-    T.StructField("sums", T.ArrayType(T.StringType())),   # exact decimals as text
-    T.StructField("last_alert", T.StringType()),
-])
-STREAM_OUT_SCHEMA = T.StructType([
-    T.StructField("user_id", T.StringType()),
-    T.StructField("total_amount", T.StringType()),
-    T.StructField("bucket_count", T.IntegerType()),
-    T.StructField("event_time_ms", T.LongType()),
-])
-
-
-def _bucket_state_fn(window_days: int, threshold: Decimal, ttl: bool = False):
-    cent = Decimal("0.01")
+BUCKET_STATE = "days array<long>, cents array<long>, last_alert long, offset long"
+ROLLING_OUT = "user_id string, kind string, cents long, bucket_count int, event_time_ms long"
+TOTAL_STATE = "cents long, n long, offset long"
+TOTAL_OUT = "user_id string, cents long, run_n long, event_time_ms long"
+
+
+def arrivals(pdfs: Iterator[pd.DataFrame], seen: int | None) -> pd.DataFrame:
+    """A user's rows of a micro-batch in order of arrival; offsets seen before are redeliveries."""
+    rows = pd.concat(list(pdfs), ignore_index=True).drop_duplicates("offset").sort_values("offset")
+    return rows if seen is None else rows[rows["offset"] > seen]
+
+
+def window_totals(buckets: dict[int, int], days: np.ndarray, cents: np.ndarray, window_days: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window total and number of active days at each amount, in order; ``buckets`` become those left.
+
+    Amounts of one day that follow each other share their other buckets, so each such
+    stretch is one running sum. Buckets before a stretch's window are dropped for good;
+    those after its day (it came late) wait.
+    """
+    totals, active = np.empty(len(days), dtype=np.int64), np.empty(len(days), dtype=np.int32)
+    starts = np.flatnonzero(np.diff(days, prepend=days[0] - 1))
+    for start, stop in zip(starts, [*starts[1:], len(days)]):
+        day = int(days[start])
+        for old in [d for d in buckets if d < day - window_days]:
+            del buckets[old]
+        sums = buckets.get(day, 0) + np.cumsum(cents[start:stop])
+        totals[start:stop] = sums + sum(c for d, c in buckets.items() if d < day)
+        active[start:stop] = 1 + sum(d < day for d in buckets)
+        buckets[day] = int(sums[-1])
+    return totals, active
+
+
+def _rolling_state(window_days: int, threshold: int, expire: bool):
+    columns = [c.split()[0] for c in ROLLING_OUT.split(", ")]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if ttl and state.hasTimedOut:
-            # Watermark passed the end of the user's newest window: nothing in
-            # this state can count again for in-order events, so drop it.
+        if state.hasTimedOut:
+            # The arrival clock has passed the user's last window: nothing left counts any more.
+            last_day = max(state.get[0])
             state.remove()
-            yield pd.DataFrame(columns=["user_id", "total_amount", "bucket_count", "event_time_ms"])
+            yield pd.DataFrame([(key[0], "expired", None, None, (last_day + window_days + 1) * DAY_MS)], columns=columns)
             return
-        if state.exists:
-            days, sums, last = state.get
-            buckets = {int(d): Decimal(s) for d, s in zip(days, sums)}
-            last = Decimal(last) if last is not None else None
-        else:
-            buckets, last = {}, None
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["event_time_ms", "tie"])
-        out = []
-        for amount, ms in zip(batch["amount"], batch["event_time_ms"]):
-            day = int(ms) // DAY_MS
-            buckets[day] = buckets.get(day, Decimal(0)) + abs(Decimal(str(amount)))
-            cutoff = day - window_days
-            for d in [d for d in buckets if d < cutoff]:
-                del buckets[d]
-            inside = [s for d, s in buckets.items() if cutoff <= d <= day]
-            total = sum(inside, Decimal(0))
-            if total >= threshold:
-                if last is None or abs(total - last) > cent:
-                    last = total
-                    out.append((key[0], str(total.quantize(cent, ROUND_HALF_UP)), len(inside), int(ms)))
-            else:
-                last = None
-        ds = sorted(buckets)
-        state.update((ds, [str(buckets[d]) for d in ds], None if last is None else str(last)))
-        if ttl and ds:
-            state.setTimeoutTimestamp((ds[-1] + window_days + 1) * DAY_MS)
-        yield pd.DataFrame(out, columns=["user_id", "total_amount", "bucket_count", "event_time_ms"])
+        days, held, last, seen = state.get if state.exists else ([], [], None, None)
+        buckets = dict(zip(days, held))
+        rows, late = arrivals(pdfs, seen), None
+        if expire and len(rows):
+            # Behind the watermark: buckets that count with it may be gone.
+            is_late = rows["event_time_ms"] < state.getCurrentWatermarkMs()
+            late, rows = rows[is_late], rows[~is_late]
+        seen = max([x for x in (seen, *([int(r["offset"].max()) for r in (rows, late) if r is not None and len(r)])) if x is not None],
+                   default=None)
+        if len(rows):
+            ms = rows["event_time_ms"].to_numpy(np.int64)
+            totals, active = window_totals(buckets, ms // DAY_MS, rows["cents"].to_numpy(np.int64), window_days)
+            alert, last = fired(totals, threshold, last)
+            yield pd.DataFrame({"user_id": key[0], "kind": "alert", "cents": totals[alert], "bucket_count": active[alert], "event_time_ms": ms[alert]})
+        if late is not None and len(late):
+            yield pd.DataFrame({"user_id": key[0], "kind": "late", "cents": late["cents"], "bucket_count": 0, "event_time_ms": late["event_time_ms"]})
+        if buckets:
+            state.update((sorted(buckets), [buckets[d] for d in sorted(buckets)], last, seen))
+            if expire:
+                state.setTimeoutTimestamp(max((max(buckets) + window_days + 1) * DAY_MS, state.getCurrentWatermarkMs() + 1))
 
     return fn
 
 
-def rolling_alert_stream(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD,
-                         state_ttl: str | None = None) -> DataFrame:
-    """S7 streaming form: ``groupBy(user).applyInPandasWithState`` with at most
-    ``window_days + 1`` buckets of state per user (RocksDB state store).
-
-    ``state_ttl`` (S6), e.g. ``'5 seconds'``: an event-time watermark with that
-    delay; a user's state is dropped once the watermark passes the end of its
-    newest window.  Events are never dropped for being late (the watermark only
-    bounds state), unless they arrive after their user's state expired.
-    Without it, idle users keep their (bounded) state forever, as the original.
+def _stateful_input(tx: DataFrame) -> DataFrame:
+    arrived = F.col("arrived_ms") if "arrived_ms" in tx.columns else F.col("event_time_ms")
+    return tx.select("user_id", (F.abs("amount") * 100).cast("long").alias("cents"), "event_time_ms", F.col("tie").cast("long").alias("offset"),
+                     arrived.alias("arrived_ms"))
+
+
+def rolling_state_stream(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD, state_ttl: str | None = None) -> DataFrame:
+    """S7 streaming form with everything its state tells: rows of ``kind`` alert, late, expired.
+
+    Events count in order of arrival (``tie``, the offset); offsets that were seen are
+    skipped. State is at most ``window_days + 1`` buckets per user. With ``state_ttl``
+    (S6, e.g. ``'5 seconds'``) a watermark with that delay follows the clock of arrival
+    (``arrived_ms``; where it is missing the event time, and Spark drops what is late
+    itself): a user whose last window it has passed leaves an ``expired`` row and no
+    state, and an event whose own time is behind it is a ``late`` row that counts in no
+    total. Without it nothing expires and nothing is late, as in the original.
     """
-    fn = _bucket_state_fn(window_days, Decimal(str(threshold)), ttl=state_ttl is not None)
-    t = tx.select("user_id", F.col("amount").cast("string").alias("amount"), "event_time_ms",
-                  F.col("tie").cast("long").alias("tie"))
-    timeout = "NoTimeout"
+    fn = _rolling_state(window_days, int(Decimal(str(threshold)) * 100), state_ttl is not None)
+    t, timeout = _stateful_input(tx), "NoTimeout"
     if state_ttl is not None:
-        t = t.withColumn("event_time", F.timestamp_millis("event_time_ms")).withWatermark("event_time", state_ttl)
+        t = t.withColumn("arrived_at", F.timestamp_millis("arrived_ms")).withWatermark("arrived_at", state_ttl)
         timeout = "EventTimeTimeout"
-    return t.groupBy("user_id").applyInPandasWithState(fn, STREAM_OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+    return t.groupBy("user_id").applyInPandasWithState(fn, ROLLING_OUT, BUCKET_STATE, "append", timeout)
+
+
+def rolling_alert_stream(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD,
+                         state_ttl: str | None = None) -> DataFrame:
+    """S7 streaming form: the alerts of ``rolling_state_stream`` (total_amount as text)."""
+    found = rolling_state_stream(tx, window_days, threshold, state_ttl).filter("kind = 'alert'")
+    return found.select("user_id", (F.col("cents").cast("decimal(20,0)") / 100).cast(MONEY).cast("string").alias("total_amount"),
+                        "bucket_count", "event_time_ms")
+
+
+def _total_state(threshold: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, n, seen = state.get if state.exists else (0, 0, None)
+        rows = arrivals(pdfs, seen)
+        if len(rows):
+            totals = held + np.cumsum(rows["cents"].to_numpy(np.int64))
+            count = n + np.arange(1, len(rows) + 1)
+            over = totals >= threshold
+            state.update((int(totals[-1]), int(count[-1]), int(rows["offset"].iloc[-1])))
+            yield pd.DataFrame({"user_id": key[0], "cents": totals[over], "run_n": count[over],
+                                "event_time_ms": rows["event_time_ms"].to_numpy(np.int64)[over]})
+
+    return fn
+
+
+def cumulative_alert_stream(tx: DataFrame, threshold=THRESHOLD) -> DataFrame:
+    """S8 streaming form: state is a user's total, number of transactions and last offset;
+    every transaction that arrives at or above the threshold gives an alert row."""
+    fn = _total_state(int(Decimal(str(threshold)) * 100))
+    found = _stateful_input(tx).groupBy("user_id").applyInPandasWithState(fn, TOTAL_OUT, TOTAL_STATE, "append", "NoTimeout")
+    return cumulative_rows(found.withColumn("total", (F.col("cents").cast("decimal(20,0)") / 100).cast(MONEY)), threshold)
 
 
 def stream_alert_rows(out: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD) -> DataFrame:

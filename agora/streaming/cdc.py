@@ -98,16 +98,17 @@ def _nonzero(c: Column) -> Column:
     return c.isNotNull() & (c != 0)
 
 
-def cdc_flatten(env: DataFrame, strict_truthiness: bool = True) -> DataFrame:
+def cdc_flatten(env: DataFrame, strict_truthiness: bool = True,
+                kept: Sequence[str] = ("topic", "partition", "offset")) -> DataFrame:
     """Keep creates/updates/snapshot reads with an ``after`` image and the
-    required fields; project ``after.*`` plus ``op``. Deletes are ignored."""
+    required fields; project ``after.*`` plus ``op`` and the envelope's ``kept``
+    columns. Deletes are ignored."""
     keep = (F.col("op").isin("c", "u", "r") & F.col("after").isNotNull()
             & F.col("after.user_id").isNotNull() & F.col("after.amount").isNotNull())
     if strict_truthiness:
         keep = (keep & _present(F.col("after.user_id")) & _present(F.col("after.amount"))
                 & _nonzero(F.col("after.timestamp")))
-    extra = [c for c in ("topic", "partition", "offset") if c in env.columns]
-    return env.filter(keep).select("after.*", "op", *extra)
+    return env.filter(keep).select("after.*", "op", *[c for c in kept if c in env.columns])
 
 
 def cdc_rejects(env: DataFrame) -> DataFrame:

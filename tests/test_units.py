@@ -296,39 +296,69 @@ def _tx(spark, rows):
 
 def test_rolling_alert_edges(spark):
     rows = [("u", "1500.00", 0, 1), ("u", "1500.00", 0, 2),   # exactly 3000 -> alert
-            ("u", "0.01", 0, 3),                              # change of 0.01 -> no alert
-            ("u", "0.01", 0, 4),                              # +0.02 vs last alert, but lag rule sees 0.01
+            ("u", "0.01", 0, 3),                              # a cent from the alerted total -> none
+            ("u", "0.01", 0, 4),                              # two cents from the alerted total -> alert
+            ("u", "0.01", 0, 5),                              # a cent from that one -> none
+            ("u", "0.00", 0, 6),                              # no change -> none
             ("u", "100.00", 31, 1),                           # day 0 is 31 days old -> evicted, below
-            ("u", "3000.00", 30, 5)]                          # late event: day 30 window includes day 0
+            ("u", "3000.00", 31, 5)]                          # back over the threshold -> alert
     out = S.rolling_alert(_tx(spark, rows)).orderBy("detected_at").collect()
-    totals = [str(r.total_amount) for r in out]
-    assert totals[0] == "3000.00"
-    assert "3000.01" not in totals
+    assert [str(r.total_amount) for r in out] == ["3000.00", "3000.02", "3100.00"]
     # 31-day window: an event on day 30 still sees day 0
-    assert any(r.bucket_count == 2 for r in out)
-
-
-def test_rolling_alert_stream_equals_batch_in_order(spark):
-    rng = np.random.default_rng(1)
-    rows = []
-    for i in range(400):
-        rows.append((f"u{i % 5}", f"{rng.uniform(1, 400):.2f}", int(i // 15), int(i % 24)))
-    rows.sort(key=lambda r: (r[2], r[3]))
-    tx = _tx(spark, rows)
-    batch = sorted((r.user_id, str(r.total_amount), r.bucket_count)
-                   for r in S.rolling_alert(tx, window_days=7, threshold=900).collect())
-    # The state function run as a batch grouped map over the same events.
-    fn = S._bucket_state_fn(7, Decimal(900))
-
-    class St:
-        exists = False
-        def update(self, v): self.v = v  # noqa: E704
-
-    got = []
-    for u, g in tx.toPandas().groupby("user_id"):
-        for out in fn((u,), iter([g.assign(amount=g.amount.astype(str))]), St()):
-            got += [(x.user_id, x.total_amount, x.bucket_count) for x in out.itertuples()]
-    assert sorted(got) == batch
+    late = S.rolling_alert(_tx(spark, [("u", "1.00", 0, 1), ("u", "3000.00", 30, 5), ("u", "1.00", 31, 5)])).orderBy("detected_at").collect()
+    assert [(str(r.total_amount), r.bucket_count) for r in late] == [("3001.00", 2)]
+
+
+def test_small_steps_across_slices(spark):
+    """A chain of cent steps over many slices: the last alerted total is carried from slice to slice."""
+    n = 3_000
+    steps = [1, 1, 2, 0, 1, 2, 1, 1, 0, 1]
+    rows = [("u", "3000.00", 0, 0)] + [("u", f"0.0{steps[i % 10]}", 0, 1) for i in range(n)]
+    total = last = 300_000
+    want = [total]
+    for i in range(n):
+        total += steps[i % 10]
+        if abs(total - last) > 1:
+            last = total
+            want.append(total)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = S.rolling_alert(_tx(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(int(r.total_amount * 100) for r in got) == want
+
+
+def test_hot_user_and_hot_moment_are_spread(spark):
+    """A user with a third of the rows, and a moment with a third of them, fill no slice by themselves."""
+    from agora.operators.ordered import running_totals, slices
+    n = 24_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 500)).alias("user_id"),
+                               F.when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("at"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keys, order in ((["user_id"], ["at"]), ([], ["at"])):
+            shares = slices(df, keys, order).groupBy("_slice").count().collect()
+            assert len(shares) == 8 and max(r["count"] for r in shares) < 2 * n / 8
+        tot = running_totals(df, ["user_id"], ["at"], "v")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    last = {r.user_id: (r.s, r.n) for r in tot.groupBy("user_id").agg(F.max("run_sum").alias("s"), F.max("run_n").alias("n")).collect()}
+    size = {r.user_id: r["count"] for r in df.groupBy("user_id").count().collect()}
+    assert last == {u: (c, c) for u, c in size.items()}
+    assert tot.groupBy("user_id", "run_n").count().where("count > 1").count() == 0
+
+
+def test_stream_metrics_with_equal_times(spark):
+    """L4/L5 on rows of one moment, and on events at both ends of a window."""
+    from agora.operators import runmetrics as L
+    secs = [0, 0, 0, 59, 60, 60, 61, 200]
+    df = spark.createDataFrame([(i, s, float(i)) for i, s in enumerate(secs)], "event_id long, s long, latency_ms double").select(
+        "event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "latency_ms")
+    got = {r.event_id: r.events_in_window for r in L.stream_throughput(df).collect()}
+    assert got == {i: sum(s - 60 <= x <= s for x in secs) for i, s in enumerate(secs)}
+    avg = {r.event_id: r.avg_latency_ms for r in L.stream_latency_avg(df, last_n=3).collect()}
+    assert avg == {i: round(sum(range(max(0, i - 2), i + 1)) / min(i + 1, 3), 6) for i in range(len(secs))}
 
 
 def test_cumulative_alert(spark):
