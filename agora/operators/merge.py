@@ -1,17 +1,16 @@
 """Incremental models: keyed upsert (I4), schema sync (I5) and the three
-incremental facts (I1-I3), plus versioned table folders to store them.
+incremental facts (I1-I3), and the partitioned tables that store them.
 
 There is no row-level MERGE for plain Parquet folders, so an upsert is
-``target LEFT ANTI source  UNION  source`` written as a new version; readers
-take the newest complete version, so a failed write never shows half a table.
+``target LEFT ANTI source  UNION  source`` over the partitions that the source
+touches, which replace their former folders (dynamic partition overwrite).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,48 +88,8 @@ def merge_reviews(target: DataFrame | None, source: DataFrame, key: str = "revie
     return upsert_by_key(target, s, [key])
 
 
-# ---------------------------------------------------------------------------
-# Versioned table folders
-# ---------------------------------------------------------------------------
-_V = re.compile(r"v=(\d+)$")
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = _V.search(st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    """Newest complete version of a versioned table folder (None if empty)."""
-    v = _versions(spark, path)
-    return spark.read.parquet(f"{path.rstrip('/')}/v={v[-1]:06d}") if v else None
-
-
-def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as the next version; the job commit's ``_SUCCESS`` marker
-    makes it visible to ``read_current`` only once complete."""
-    spark = df.sparkSession
-    v = _versions(spark, path)
-    out = f"{path.rstrip('/')}/v={(v[-1] + 1 if v else 1):06d}"
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(out)
-    return out
-
-
 def merge_into_partitions(source: DataFrame, path: str, keys: Sequence[str], partition_cols: Sequence[str],
-                          stage_path: str) -> None:
+                          stage_path: str, update_cols: Sequence[str] | None = None) -> None:
     """I4 on a partitioned Parquet table: rewrite only the partitions the
     source touches.
 
@@ -140,31 +99,23 @@ def merge_into_partitions(source: DataFrame, path: str, keys: Sequence[str], par
     location: Spark cannot overwrite a path it is reading), and moved into
     ``path`` with dynamic partition overwrite; other partitions are not
     touched.  A key must not change partition (e.g. a purchase month).
+    ``update_cols``: matched rows take only these from the source.
     """
-    from ..streaming.sinks import read_partitions
+    from ..streaming.sinks import read_partitions, table_at, touched_partitions
 
     spark = source.sparkSession
     parts = list(partition_cols)
-    if not _exists(spark, path):
-        source.write.partitionBy(*parts).parquet(path)
+    if table_at(spark, path) is None:
+        source.hint("rebalance", *parts).write.partitionBy(*parts).parquet(path)
         return
-    # Touched partition values are few (e.g. months of a slice): read just
-    # those folders instead of listing the whole table.
-    touched = [r.asDict() for r in source.select(*parts).distinct().collect()]
-    current = read_partitions(spark, path, touched)
+    current = read_partitions(spark, path, touched_partitions(source, parts))
     if current is None:
         merged = source
     else:
-        merged = upsert_by_key(current.select(source.columns), source, keys)
+        merged = upsert_by_key(current.select(source.columns), source, keys, update_cols)
     # Rewritten partitions keep the table's column types, so all files agree.
     types = {f.name: f.dataType for f in (current if current is not None else source).schema.fields}
     merged = merged.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in source.columns])
-    merged.write.mode("overwrite").partitionBy(*parts).parquet(stage_path)
+    merged.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(stage_path)
     (spark.read.parquet(stage_path).select(source.columns).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))

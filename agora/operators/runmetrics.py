@@ -101,29 +101,3 @@ def backlog_by_minute(events: DataFrame, ts: str = "ts", as_written: bool = Fals
     peak = m.select(F.max("events")).scalar()
     pct = F.round(F.col("events") * 100.0 / peak, 6)
     return m.select("minute", "events", pct.alias("backlog_pct"), backlog_level(pct, as_written).alias("level"))
-
-
-def run_log_from_orders(orders: DataFrame) -> DataFrame:
-    """A run log derived from the orders: one load operation per (status,
-    purchase year) with its row count, a duration from the delivery days,
-    and failed status for unfinished work."""
-    y = F.year("order_purchase_timestamp")
-    g = orders.groupBy("order_status", y.alias("year")).agg(
-        F.count(F.lit(1)).alias("records"),
-        F.round(F.coalesce(F.sum("delivery_days"), F.lit(0)) / 1000.0, 3).alias("duration_seconds"))
-    return g.select(F.concat(F.lit("load_"), F.col("order_status"), F.lit("_"), F.col("year").cast("string"))
-                    .alias("operation"), "records", "duration_seconds",
-                    F.when(F.col("order_status") == "processing", "failed").otherwise("ok").alias("status"))
-
-
-def progress_log(spark, query) -> DataFrame:
-    """L1/L4 live: a run log from a streaming query's recent progress reports
-    (bounded by Spark's progress retention): one row per micro-batch with its
-    input rows and trigger duration, ready for ``op_throughput``."""
-    rows = []
-    for p in query.recentProgress:
-        d = p if isinstance(p, dict) else __import__("json").loads(p.json)
-        dur = (d.get("durationMs") or {}).get("triggerExecution", 0) / 1000.0
-        rows.append((f"{d.get('name') or 'query'}_batch_{d['batchId']}", int(d.get("numInputRows", 0)),
-                     float(dur), "ok"))
-    return spark.createDataFrame(rows, "operation string, records long, duration_seconds double, status string")

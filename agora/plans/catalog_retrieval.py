@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as R
 from ..operators import runmetrics as L
 from ..session import checkpoint_dir
+from ..sources.changes import run_log_from_orders
 from ..sources.tables import read_table
 from .catalog import register
 from .models import Warehouse
@@ -143,7 +144,7 @@ def _log_sql(body: str) -> str:
 
 
 def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.run_log_from_orders(Warehouse(spark, sf_dir).stg_orders)
+    return run_log_from_orders(Warehouse(spark, sf_dir).stg_orders)
 
 
 @register("L1_op_throughput", _log_sql("""SELECT *, CASE WHEN duration_seconds > 0

@@ -1,4 +1,4 @@
-"""Registered queries: CDC and alert jobs in batch form.
+"""Registered queries: CDC and alert jobs in batch form (S2-S15); the streams are in ``catalog_live``.
 
 The envelopes are derived from the ``events`` table (see
 ``envelopes_from_events``); the same functions run on streaming DataFrames.
@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.changes import envelopes_from_events
 from ..sources.tables import read_table
 from ..streaming import alerts as S
 from ..streaming import cdc, sinks
 from .catalog import register
 from .oracle import enc
+from .strategy import written_table
 
 TOPIC = "cdc.streaming.transactions"
 
 
 def _env(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.envelopes_from_events(read_table(spark, sf_dir, "events"))
+    return envelopes_from_events(read_table(spark, sf_dir, "events"))
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,25 +41,6 @@ ENV_SQL = """env AS (SELECT event_id AS "offset",
 FLAT_COLS = 'transaction_id, user_id, amount, currency, "timestamp", op, "offset"'
 
 
-@register("S1_cdc_source", f"""WITH {ENV_SQL}
-  SELECT "offset", op, ts_ms, CASE WHEN op <> 'c' THEN transaction_id END AS before_transaction_id,
-    CASE WHEN op <> 'd' THEN transaction_id END AS after_transaction_id,
-    CASE WHEN op <> 'd' THEN user_id END AS after_user_id,
-    CASE WHEN op <> 'd' THEN amount END AS after_amount,
-    CASE WHEN op <> 'd' THEN "timestamp" END AS after_timestamp,
-    'transactions' AS source_table FROM env""")
-def q_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Envelopes of the transactions topic, key fields flattened."""
-    e = _env(spark, sf_dir)
-    return e.select("offset", "op", "ts_ms",
-                    F.col("before.transaction_id").alias("before_transaction_id"),
-                    F.col("after.transaction_id").alias("after_transaction_id"),
-                    F.col("after.user_id").alias("after_user_id"),
-                    F.col("after.amount").alias("after_amount"),
-                    F.col("after.timestamp").alias("after_timestamp"),
-                    F.col("source.table").alias("source_table"))
-
-
 @register("S2_cdc_flatten", f"WITH {ENV_SQL} SELECT {FLAT_COLS} FROM flat")
 def q_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir)
@@ -96,15 +79,6 @@ def q_event_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.abs(F.col("amount").cast("decimal(12,2)"))).alias("volume"))
 
 
-@register("S6_watermark", f"""WITH {ENV_SQL}
-  SELECT user_id, "timestamp" // 1000 AS event_time_ms, {enc('t:event_time')} FROM (
-    SELECT user_id, "timestamp", epoch_ms("timestamp" // 1000) AS event_time FROM flat)""")
-def q_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-time column (the watermark is a no-op on a static DataFrame)."""
-    p = cdc.json_parse(cdc.cdc_to_json(_flat(spark, sf_dir))).select("user_id", "event_time_ms")
-    return cdc.with_event_time(p)
-
-
 def _alert_sql(window_days: int, threshold: str, where: str = "true") -> str:
     """Window totals, then one step per event of a user: the last alerted total is carried along."""
     return f"""WITH RECURSIVE {ENV_SQL},
@@ -181,6 +155,25 @@ def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.alert_upsert(S.rolling_alert(S.transactions(_env(spark, sf_dir))))
 
 
+@register("S9_alert_upsert_into_target", f"""WITH a AS ({_alert_sql(7, "900.00")}),
+  cut AS (SELECT strftime(min(ts) + (max(ts) - min(ts)) / 2, '%Y-%m-%d %H:%M:%S.%f') AS at FROM events),
+  old AS (SELECT user_id, min(detected_at) AS created_at FROM a, cut WHERE detected_at < cut.at GROUP BY user_id),
+  new AS (SELECT user_id, min(detected_at) AS created_at FROM a, cut WHERE detected_at >= cut.at GROUP BY user_id),
+  last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY detected_at DESC, total_amount DESC) AS rn FROM a)
+  SELECT user_id, total_amount, bucket_count, transaction_count, alert_type, message, severity, detected_at, window_days,
+    threshold_amount, coalesce(old.created_at, new.created_at) AS created_at, detected_at AS updated_at
+  FROM last LEFT JOIN old USING (user_id) LEFT JOIN new USING (user_id) WHERE rn = 1""")
+def q_upsert_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of the second half of the time put into the table of the first half's: users
+    without a new alert stay, others keep when they were created."""
+    events = read_table(spark, sf_dir, "events")
+    cut = events.select((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("at")).scalar()
+    found = S.rolling_alert(S.transactions(_env(spark, sf_dir)), window_days=7, threshold=900)
+    before = F.col("detected_at") < F.lit(cut).cast("timestamp_ntz")
+    table = written_table(S.alert_upsert(found.filter(before)), "user_alerts")
+    return S.alert_upsert(found.filter(~before), table)
+
+
 LAKE_SQL = f"""WITH {ENV_SQL},
   rec AS (SELECT '{TOPIC}' AS source_topic, 0 AS "partition", "offset",
     strftime(epoch_ms(ts_ms), '%Y-%m-%dT%H:%M:%S.%f') AS "timestamp",
@@ -245,6 +238,17 @@ def _invoice_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.when(k % 97 == 0, bad).otherwise(good).alias("value"), "l_orderkey", *order[1:])
 
 
+def _wrong_types(messages: DataFrame) -> DataFrame:
+    """Every 83rd order sends a numeric id, every 79th an object as city, every 73rd a fraction of
+    instalments, every 71st a number as text of a text field's neighbour; every 67th a whole price (which is right)."""
+    k, v = F.col("l_orderkey"), F.col("value")
+    return messages.withColumn("value", F.when(k % 83 == 0, F.regexp_replace(v, '"invoice_id":"I([0-9]+)-([0-9]+)"', '"invoice_id":$1$2'))
+                               .when(k % 79 == 0, F.regexp_replace(v, '"customer_city":"([^"]*)"', '"customer_city":{"name":"$1"}'))
+                               .when(k % 73 == 0, F.regexp_replace(v, '"payment_installments":([0-9]+)', '"payment_installments":$1.5'))
+                               .when(k % 71 == 0, F.regexp_replace(v, '"freight_value":([0-9.]+)', '"freight_value":"$1"'))
+                               .when(k % 67 == 0, F.regexp_replace(v, '"item_price":([0-9]+)[.][0-9]+', '"item_price":$1')).otherwise(v))
+
+
 INVOICE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount",
                  "l_tax", "l_returnflag", "l_linestatus"]
 
@@ -272,6 +276,29 @@ def q_invoice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*sinks.INVOICE_STORED)
 
 
+@register("S11_invoice_landing_strict", f"""SELECT invoice_id, order_id, customer_id, seller_id, product_category,
+    item_price, freight_value, total_amount, payment_type, payment_installments, order_status, customer_city,
+    customer_state, seller_city, seller_state, "timestamp" FROM (
+  SELECT 'I' || l_orderkey || '-' || l_linenumber AS invoice_id, 'O' || l_orderkey AS order_id,
+    'C' || o_custkey AS customer_id, 'S' || l_suppkey AS seller_id, 'part_' || (l_partkey % 50) AS product_category,
+    CASE WHEN l_orderkey % 67 = 0 THEN floor(l_extendedprice) ELSE l_extendedprice END AS item_price, l_quantity AS freight_value, round(l_extendedprice + l_quantity, 2) AS total_amount,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'credit_card' WHEN '2-HIGH' THEN 'boleto' WHEN '3-MEDIUM'
+      THEN 'debit_card' WHEN '5-LOW' THEN 'voucher' ELSE 'not_defined' END AS payment_type,
+    l_orderkey % 12 + 1 AS payment_installments,
+    CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'processing' END AS order_status,
+    'city_' || (o_custkey % 25) AS customer_city, 'st_' || (o_custkey % 5) AS customer_state,
+    'city_' || (l_suppkey % 25) AS seller_city, 'st_' || (l_suppkey % 5) AS seller_state,
+    strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS "timestamp",
+    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(INVOICE_ORDER)}) AS rn
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0
+    AND l_orderkey % 83 <> 0 AND l_orderkey % 79 <> 0 AND l_orderkey % 73 <> 0 AND l_orderkey % 71 <> 0)
+  WHERE rn = 1""")
+def q_invoice_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, with fields of wrong JSON types: those invoices don't land."""
+    m = _wrong_types(_invoice_messages(spark, sf_dir))
+    return sinks.invoice_landing(m, None, order=INVOICE_ORDER).select(*sinks.INVOICE_STORED)
+
+
 @register("S12_insert_if_absent", f"""WITH {ENV_SQL},
   t AS (SELECT *, ("timestamp" // 1000) // 86400000 AS day FROM flat)
   SELECT transaction_id, user_id, amount, day FROM (

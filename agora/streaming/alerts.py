@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.merge import merge_into_partitions
 from ..operators.ordered import inside, running, running_totals, slices
 from .cdc import DAY_MS, cdc_flatten
+from .sinks import bucket_of
 
 # Fixed values of the alert jobs.
 THRESHOLD = Decimal("3000.00")
@@ -345,14 +347,17 @@ def stream_alert_rows(out: DataFrame, window_days: int = WINDOW_DAYS, threshold=
         F.lit(window_days).alias("window_days"), F.lit(threshold).cast(MONEY).alias("threshold_amount"))
 
 
-def upsert_alerts_into(path: str):
-    """foreachBatch body for S9: merge a micro-batch of alerts into the alert
-    table (one row per user) kept as versioned folders under ``path``.
-    Replaying a batch gives the same table (newest alert wins, first
-    ``created_at`` kept)."""
-    from ..operators.merge import read_current, write_version
-
+def upsert_alerts_into(path: str, stage_path: str):
+    """foreachBatch body for S9: merge a micro-batch of alerts into the alert table at
+    ``path`` (one row per user, partitioned by a hash of the user). Only the buckets of
+    the batch's users are read and replaced, by way of ``stage_path``. Replaying a batch
+    gives the same table (newest alert wins, first ``created_at`` and ``severity`` kept)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = read_current(batch.sparkSession, path)
-        write_version(alert_upsert(batch, target), path)
+        new = alert_upsert(batch).withColumn("bucket", bucket_of("user_id")).persist()
+        try:
+            if not new.isEmpty():
+                replaced = [c for c in new.columns if c not in ("user_id", "bucket", "created_at", "severity")]
+                merge_into_partitions(new, path, ["user_id"], ["bucket"], f"{stage_path}/{batch_id}", replaced)
+        finally:
+            new.unpersist()
     return write

@@ -41,39 +41,13 @@ SIMPLE_SCHEMA = T.StructType([
 DAY_MS = 86_400_000
 
 
-def envelopes_from_events(events: DataFrame) -> DataFrame:
-    """S1 fixture adapter: the ``events`` table as CDC envelopes of a
-    ``transactions`` table (fixed mapping: every 50th event is a delete,
-    views are updates, errors carry a negative amount)."""
-    eid = F.col("event_id")
-    amount = F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value"))
-    row = F.struct(
-        F.concat(F.lit("T"), eid.cast("string")).alias("transaction_id"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
-        amount.cast("decimal(10,2)").cast("string").alias("amount"),
-        F.lit("USD").alias("currency"),
-        F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("timestamp"),
-    )
-    op = F.when(eid % 50 == 0, "d").when(F.col("event_type") == "view", "u").otherwise("c")
-    ts_ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp_ltz")) / 1000)
-    return events.select(
-        F.when(op != "c", row).alias("before"),
-        F.when(op != "d", row).alias("after"),
-        F.struct(F.lit("streaming").alias("db"), F.lit("transactions").alias("table"),
-                 ts_ms.alias("ts_ms")).alias("source"),
-        op.alias("op"),
-        ts_ms.alias("ts_ms"),
-        eid.alias("offset"),
-    )
-
-
 def cdc_source(spark: SparkSession, path_or_topic: str, fmt: str = "json", bootstrap: str | None = None,
                starting_offsets: str = "earliest", max_files_per_trigger: int | None = None) -> DataFrame:
     """A streaming envelope source.
 
     ``fmt='kafka'`` reads a topic from the earliest offset (needs the Kafka
     connector on the classpath) and decodes JSON values; ``fmt='json'`` reads
-    JSON-lines files with the fixed envelope schema (used in tests).
+    JSON-lines files of any folder below with the fixed envelope schema.
     """
     if fmt == "kafka":
         raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
@@ -82,7 +56,7 @@ def cdc_source(spark: SparkSession, path_or_topic: str, fmt: str = "json", boots
         return raw.select(env.alias("e"), "offset", "partition", "topic").select("e.*", "offset", "partition",
                                                                                "topic")
     schema = T.StructType(ENVELOPE_SCHEMA.fields + [T.StructField("offset", T.LongType())])
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.json(path_or_topic)

@@ -3,9 +3,11 @@ checkpointed, idempotent micro-batch runs (S16)."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -54,37 +56,44 @@ def lake_dedupe(records: DataFrame, as_written: bool = False) -> DataFrame:
     return r.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_no_after")
 
 
+def table_at(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame | None:
+    """The Parquet files at ``paths`` (folders of the table ``base``); None where nothing is written yet."""
+    reader = spark.read.option("basePath", base) if base else spark.read
+    try:
+        return reader.parquet(*paths)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def read_partitions(spark: SparkSession, path: str, partitions: list[dict]) -> DataFrame | None:
+    """The existing folders among ``partitions`` (dicts of partition column -> value) of a
+    ``partitionBy`` Parquet table; the table is not listed as a whole."""
+    folders = [path.rstrip("/") + "".join(f"/{k}={v}" for k, v in p.items()) for p in partitions]
+    found = [f for f in folders if table_at(spark, f) is not None]
+    return table_at(spark, *found, base=path) if found else None
+
+
+def touched_partitions(batch: DataFrame, columns: Sequence[str]) -> list[dict]:
+    """Partition values of a micro-batch or slice: a handful of days, or at most the number of buckets."""
+    return [r.asDict() for r in batch.select(*columns).distinct().collect()]
+
+
 def write_lake_batch(batch: DataFrame, path: str, as_written: bool = False) -> None:
     """foreachBatch body: dedupe, skip keys already in the touched day
     partitions (existence check = anti join on the partition-pruned read),
-    append partitioned by topic/year/month/day."""
-    spark = batch.sparkSession
-    new = lake_dedupe(batch, as_written)
+    append partitioned by topic/year/month/day. The micro-batch is computed once; its
+    rows are rebalanced by day, so that a hot day is several files and a small one a single."""
+    new = lake_dedupe(batch, as_written).persist()
     key = (["source_topic", "year", "month", "day", "object_id", "op"] if as_written
            else ["source_topic", "partition", "offset"])
-    # Only the day folders this batch touches are read (a handful per batch),
-    # so the lake is never listed as a whole.
-    touched = [r.asDict() for r in new.select(*LAKE_PARTITIONS).distinct().collect()]
-    old = read_partitions(spark, path, touched)
-    if old is not None:
-        new = new.join(old.select(*key), key, "left_anti")
-    new.write.mode("append").partitionBy(*LAKE_PARTITIONS).parquet(path)
-
-
-def read_partitions(spark: SparkSession, path: str, partitions: list[dict]) -> DataFrame | None:
-    """Read the existing partition folders among ``partitions`` (dicts of
-    partition column -> value) of a ``partitionBy`` Parquet table."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
-    folders = []
-    for p in partitions:
-        f = path.rstrip("/") + "".join(f"/{k}={v}" for k, v in p.items())
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f)):
-            folders.append(f)
-    if not folders:
-        return None
-    return spark.read.option("basePath", path).parquet(*folders)
+    try:
+        old = read_partitions(batch.sparkSession, path, touched_partitions(new, LAKE_PARTITIONS))
+        add = new if old is None else new.join(old.select(*key), key, "left_anti").select(new.columns)
+        add.hint("rebalance", *LAKE_PARTITIONS).write.mode("append").partitionBy(*LAKE_PARTITIONS).parquet(path)
+    finally:
+        new.unpersist()
 
 
 def insert_if_absent(target: DataFrame | None, batch: DataFrame, key: Sequence[str],
@@ -117,18 +126,34 @@ INVOICE_SCHEMA = T.StructType([
 INVOICE_STORED = [f.name for f in INVOICE_SCHEMA.fields][:16]
 
 
+#: JSON types that a strictly typed field takes: a whole number is a number too, text and booleans are not.
+JSON_TYPES = {"string": "STRING$", "double": "(BIGINT|DOUBLE|DECIMAL.*)$", "bigint": "BIGINT$"}
+
+
+def strict_fields(value: Column, schema: T.StructType) -> tuple[Column, list[Column]]:
+    """Whether a parsed JSON value (VARIANT) has every field in its JSON type, and the fields.
+
+    A message that is no JSON object, repeats a key, or holds an integer of more than 64
+    bits in an integer field is not accepted.
+    """
+    ok, fields = F.lit(True), []
+    for f in schema.fields:
+        kind = f.dataType.simpleString()
+        of = F.schema_of_variant(F.try_variant_get(value, f"$.{f.name}", "variant"))
+        ok = ok & F.coalesce(of.rlike("^" + JSON_TYPES[kind]), F.lit(False))
+        fields.append(F.try_variant_get(value, f"$.{f.name}", kind).alias(f.name))
+    return ok, fields
+
+
 def invoice_landing(messages: DataFrame, existing: DataFrame | None = None, col: str = "value",
                     order: Sequence[str] | None = None) -> DataFrame:
     """Parse JSON strictly against the 18-field contract (a field of the
-    wrong type or a missing field rejects the record), keep the 16 stored
-    fields, insert only new invoice ids."""
-    j = F.from_json(F.col(col), INVOICE_SCHEMA, {"mode": "PERMISSIVE"})
+    wrong JSON type or a missing field rejects the record: a numeric id is no text, an
+    object no city), keep the 16 stored fields, insert only new invoice ids."""
     extra = [c for c in messages.columns if c != col]
-    p = messages.select(j.alias("j"), *extra)
-    ok = F.col("j").isNotNull()
-    for f in INVOICE_SCHEMA.fields:
-        ok = ok & F.col(f"j.{f.name}").isNotNull()
-    good = p.filter(ok).select(*[F.col(f"j.{c}").alias(c) for c in INVOICE_STORED], *extra)
+    parsed = messages.select(F.try_parse_json(F.col(col)).alias("_json"), *extra)
+    ok, fields = strict_fields(F.col("_json"), INVOICE_SCHEMA)
+    good = parsed.filter(ok).select(*fields[:len(INVOICE_STORED)], *extra)
     return insert_if_absent(existing, good, ["invoice_id"], order)
 
 
@@ -152,15 +177,52 @@ def idempotent_parquet(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+#: Folders of a landing table: an id is looked for in its own bucket only.
+BUCKETS = 64
+
+
+def bucket_of(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 def land_invoices_into(path: str, order: Sequence[str] | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch body for S11/S12: validate a micro-batch of invoice JSON
     and append only ids not yet in the landing table at ``path``
-    (ON CONFLICT DO NOTHING; first row per id inside the batch wins)."""
+    (ON CONFLICT DO NOTHING; first row per id inside the batch wins). The table is
+    partitioned by a hash of the id: only the batch's buckets and their id column are read."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        new = invoice_landing(batch, None, order=order).withColumn("bucket", bucket_of("invoice_id")).persist()
         try:
-            existing = spark.read.parquet(path).select("invoice_id")
-        except Exception:  # no table yet
-            existing = None
-        invoice_landing(batch, existing, order=order).write.mode("append").parquet(path)
+            old = read_partitions(batch.sparkSession, path, touched_partitions(new, ["bucket"]))
+            add = new if old is None else new.join(old.select("bucket", "invoice_id"), ["bucket", "invoice_id"], "left_anti").select(new.columns)
+            add.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+        finally:
+            new.unpersist()
     return write
+
+
+RUN_LOG = "operation string, batch_id long, records long, duration_seconds double, status string"
+
+
+def logged(write_batch: Callable[[DataFrame, int], None], path: str, operation: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer that also writes its run row (L1-L3): rows, seconds and outcome of each
+    micro-batch, under ``path``. A batch that is run again replaces its row, one that fails
+    leaves a ``failed`` row and the error."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, began, n, status = batch.sparkSession, time.time(), 0, "failed"
+        batch = batch.persist()
+        try:
+            n = batch.count()
+            write_batch(batch, batch_id)
+            status = "ok"
+        finally:
+            batch.unpersist()
+            spark.createDataFrame([(operation, batch_id, n, time.time() - began, status)], RUN_LOG).write.mode("overwrite").parquet(
+                f"{path.rstrip('/')}/{operation}/{batch_id}")
+    return write
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The run rows that ``logged`` writers left under ``path``."""
+    found = spark.read.option("recursiveFileLookup", "true").schema(RUN_LOG).parquet(path)
+    return found.withColumn("operation", F.concat_ws("_batch_", "operation", F.col("batch_id").cast("string"))).drop("batch_id")

@@ -8,6 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from agora.sources.changes import envelopes_from_events
 from agora.sources.tables import read_table
 from agora.streaming import alerts as S
 from agora.streaming import cdc, sinks
@@ -16,7 +17,7 @@ from conftest import SF_SMALL
 
 def _write_envelope_files(spark, path, n_files=4):
     """Envelopes derived from events, split by time into ``n_files`` JSON files."""
-    env = cdc.envelopes_from_events(read_table(spark, SF_SMALL, "events"))
+    env = envelopes_from_events(read_table(spark, SF_SMALL, "events"))
     rows = [json.loads(r[0]) for r in env.select(F.to_json(F.struct(*env.columns))).collect()]
     rows.sort(key=lambda r: (r["ts_ms"], r["offset"]))
     os.makedirs(path, exist_ok=True)
@@ -40,7 +41,7 @@ def _alert_stream(spark, src, ttl=None):
 
 
 def _batch_alerts(spark):
-    env = cdc.envelopes_from_events(read_table(spark, SF_SMALL, "events"))
+    env = envelopes_from_events(read_table(spark, SF_SMALL, "events"))
     b = S.rolling_alert(S.transactions(env), window_days=7, threshold=900)
     return sorted((r.user_id, str(r.total_amount), r.bucket_count) for r in b.collect())
 
@@ -98,63 +99,98 @@ def test_lake_sink_foreach_batch(spark, tmp_dir):
     assert set(stored.columns) >= {"source_topic", "year", "month", "day", "payload"}
 
 
-def test_cumulative_alert_streaming_aggregate(spark, tmp_dir):
-    """S8 in update mode: per-user running totals as a stateful aggregate."""
-    src = f"{tmp_dir}/src"
-    for i, ch in enumerate(_write_envelope_files(spark, src, n_files=3)):
+def test_cumulative_alert_stream_skips_what_it_has_seen(spark, tmp_dir):
+    """An alert row per transaction over the threshold; a file delivered again changes nothing."""
+    src, name, out = f"{tmp_dir}/src", f"cum_{uuid.uuid4().hex[:6]}", f"{tmp_dir}/out"
+    chunks = _write_envelope_files(spark, src, n_files=3)
+    for i, ch in enumerate([chunks[0], chunks[1], chunks[0] + chunks[1], chunks[2]]):
         _dump(src, i, ch)
-    tx = S.transactions(cdc.cdc_source(spark, src, max_files_per_trigger=1))
-    agg = tx.groupBy("user_id").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n"))
-    name = f"cum_{uuid.uuid4().hex[:6]}"
-    q = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = {r.user_id: (r.total, r.n) for r in spark.sql(f"SELECT * FROM {name}").collect()}
-    env = cdc.envelopes_from_events(read_table(spark, SF_SMALL, "events"))
-    b = S.transactions(env).groupBy("user_id").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n"))
-    assert got == {r.user_id: (r.total, r.n) for r in b.collect()}
+        rows = S.cumulative_alert_stream(S.transactions(cdc.cdc_source(spark, src)), threshold=500)
+        sinks.checkpointed_run(rows, sinks.idempotent_parquet(out), name, spark=spark).awaitTermination(300)
+    pick = ["user_id", "total_amount", "transaction_count", "detected_at"]
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select(*pick).collect())
+    env = envelopes_from_events(read_table(spark, SF_SMALL, "events"))
+    want = sorted(tuple(r) for r in S.cumulative_alert(S.transactions(env), threshold=500).select(*pick).collect())
+    assert got == want and len(got) > 0
 
 
 @pytest.mark.parametrize("mode,expect_snapshot", [("initial", True), ("never", False)])
 def test_snapshot_modes(spark, mode, expect_snapshot):
-    env = cdc.envelopes_from_events(read_table(spark, SF_SMALL, "events"))
+    env = envelopes_from_events(read_table(spark, SF_SMALL, "events"))
     snap = cdc.cdc_flatten(env).limit(5)
     out = cdc.snapshot_then_stream(snap, env.limit(3), mode)
     assert out.filter("op = 'r'").count() == (5 if expect_snapshot else 0)
 
 
 def test_alert_upsert_stream_equals_batch(spark, tmp_dir):
-    """S7 stream -> S9 upsert per micro-batch into a versioned table == batch S9."""
-    from agora.operators.merge import read_current
+    """S7 stream -> S9 upsert per micro-batch into a bucketed table == batch S9."""
     src = f"{tmp_dir}/src"
     for i, ch in enumerate(_write_envelope_files(spark, src)):
         _dump(src, i, ch)
     table = f"{tmp_dir}/alerts"
     rows = S.stream_alert_rows(_alert_stream(spark, src), window_days=7, threshold=900)
-    q = sinks.checkpointed_run(rows, S.upsert_alerts_into(table), f"upsert_{uuid.uuid4().hex[:6]}")
+    q = sinks.checkpointed_run(rows, S.upsert_alerts_into(table, f"{tmp_dir}/stage"), f"upsert_{uuid.uuid4().hex[:6]}")
     q.awaitTermination(300)
     got = sorted((r.user_id, str(r.total_amount), r.bucket_count, str(r.detected_at), str(r.created_at))
-                 for r in read_current(spark, table).collect())
-    env = cdc.envelopes_from_events(read_table(spark, SF_SMALL, "events"))
+                 for r in spark.read.parquet(table).collect())
+    env = envelopes_from_events(read_table(spark, SF_SMALL, "events"))
     b = S.alert_upsert(S.rolling_alert(S.transactions(env), window_days=7, threshold=900).drop("transaction_count"))
     want = sorted((r.user_id, str(r.total_amount), r.bucket_count, str(r.detected_at), str(r.created_at))
                   for r in b.collect())
     assert got == want
 
 
-def test_progress_log_feeds_throughput(spark, tmp_dir):
+def test_run_log_of_a_sink(spark, tmp_dir):
+    """Run rows are written by the sink itself: rows and outcome of each batch; a failed batch leaves its row."""
     from agora.operators import runmetrics as L
-    src = f"{tmp_dir}/src"
+    src, log = f"{tmp_dir}/src", f"{tmp_dir}/log"
     for i, ch in enumerate(_write_envelope_files(spark, src, n_files=3)):
         _dump(src, i, ch)
-    q = (cdc.cdc_source(spark, src, max_files_per_trigger=1).writeStream.format("noop")
-         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    log = L.progress_log(spark, q)
-    tp = L.op_throughput(log).collect()
-    assert sum(r.records for r in tp) == 1000
-    assert all(r.records_per_second >= 0 for r in tp)
-    assert L.batch_success_rate(log).first().success_rate == 100.0
+
+    def fails_late(df, batch_id):
+        if batch_id == 2:
+            raise RuntimeError("sink is full")
+        df.write.mode("overwrite").parquet(f"{tmp_dir}/out/batch_id={batch_id}")
+
+    def run(write):
+        q = sinks.checkpointed_run(cdc.cdc_source(spark, src, max_files_per_trigger=1), sinks.logged(write, log, "load"), name, spark=spark)
+        q.awaitTermination(300)
+
+    name = f"logged_{uuid.uuid4().hex[:6]}"
+    with pytest.raises(Exception, match="sink is full"):
+        run(fails_late)
+    found = sinks.run_log(spark, log)
+    assert L.batch_success_rate(found).first().success_rate == 66.67
+    run(lambda df, batch_id: df.write.mode("overwrite").parquet(f"{tmp_dir}/out/batch_id={batch_id}"))
+    tp = L.op_throughput(sinks.run_log(spark, log)).collect()
+    assert sorted(r.operation for r in tp) == ["load_batch_0", "load_batch_1", "load_batch_2"]
+    assert sum(r.records for r in tp) == 1000 and all(r.records_per_second > 0 for r in tp)
+    assert L.batch_success_rate(sinks.run_log(spark, log)).first().success_rate == 100.0
+
+
+def test_state_of_an_idle_user_is_gone(spark, tmp_dir):
+    """The watermark passes a user's last window, the state store has no row of it any more; late events don't count."""
+    day = 86_400_000
+
+    def change(offset, user, at, arrived):
+        row = {"transaction_id": f"T{offset}", "user_id": user, "amount": "600.00", "currency": "USD", "timestamp": at * day * 1000}
+        return {"after": row, "op": "c", "ts_ms": arrived, "offset": offset}
+
+    files = [[change(1, "idle", 10, 10 * day), change(2, "busy", 10, 10 * day + 1)],
+             [change(3, "busy", 15, 15 * day)],
+             [change(4, "busy", 11, 15 * day + 10), change(5, "idle", 15, 15 * day + 20)]]
+    src, name = f"{tmp_dir}/src", f"idle_{uuid.uuid4().hex[:6]}"
+    os.makedirs(src)
+    rows = []
+    for i, f in enumerate(files):
+        _dump(src, i, f)
+        tx = S.transactions(cdc.cdc_source(spark, src), with_arrival=True)
+        out = S.rolling_state_stream(tx, window_days=2, threshold=1000, state_ttl="5 seconds")
+        q = sinks.checkpointed_run(out, lambda df, _: rows.extend(tuple(r) for r in df.collect()), name, spark=spark)
+        q.awaitTermination(300)
+        if i == 1:   # only the busy user has state
+            assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    assert sorted(r[:2] + (r[4],) for r in rows) == [("busy", "late", 11 * day), ("idle", "expired", 13 * day)]
 
 
 def test_invoice_landing_stream(spark, tmp_dir):
@@ -177,3 +213,4 @@ def test_invoice_landing_stream(spark, tmp_dir):
     q.awaitTermination(300)
     got = sorted(r.invoice_id for r in spark.read.parquet(out).collect())
     assert got == ["I1", "I2", "I3"]
+    assert {f for f in os.listdir(out) if not f.startswith(("_", "."))} <= {f"bucket={i}" for i in range(sinks.BUCKETS)}

@@ -21,6 +21,7 @@ from agora.operators import scd2 as G
 from agora.operators import staging as B
 from agora.operators.runmetrics import backlog_level
 from agora.sources import files
+from agora.sources.changes import envelopes_from_events
 from agora.sources.contracts import CONTRACTS, Contract, schema_from_metadata
 from agora.streaming import alerts as S
 from agora.streaming import cdc
@@ -222,13 +223,6 @@ def test_merge_reviews_duplicate_ids(spark):
     assert out == [("b", "R1", "2020-01-03"), ("c", "R2", "2020-01-01")]
 
 
-def test_versioned_table(spark, tmp_dir):
-    df = spark.createDataFrame([(1,)], "a int")
-    assert I.read_current(spark, tmp_dir + "/t") is None
-    I.write_version(df, tmp_dir + "/t")
-    I.write_version(df.union(df), tmp_dir + "/t")
-    assert I.read_current(spark, tmp_dir + "/t").count() == 2
-
 # ---------------------------------------------------------------- SCD2
 
 
@@ -420,6 +414,16 @@ def test_invoice_landing_strict(spark):
     out = invoice_landing(msgs, existing, order=["seq"]).collect()
     assert [(r.invoice_id, r.seq) for r in out] == [("I1", 1)]
     assert "source_system" not in out[0].asDict()
+    # Wrong JSON types land nothing: a number as id, an object as city, a fraction or a boolean as count, text as
+    # price, null, no object at all. A whole price is a number.
+    wrong = [('"invoice_id":"I9"', '"invoice_id":9'), ('"customer_city":"a"', '"customer_city":{"n":"a"}'),
+             ('"payment_installments":1', '"payment_installments":1.0'), ('"payment_installments":1', '"payment_installments":true'),
+             ('"freight_value":1.0', '"freight_value":"1.0"'), ('"seller_id":"s"', '"seller_id":null'), ('"order_id":"o"', '"order_id":["o"]')]
+    bad = [((good % "I9").replace(*w), i) for i, w in enumerate(wrong)] + [("[]", 90), ("no json", 91), (None, 92), ('"I9"', 93)]
+    assert all(m != good % "I9" for m, _ in bad)
+    whole = [((good % "I8").replace("1.5", "2"), 99)]
+    out = invoice_landing(spark.createDataFrame(bad + whole, "value string, seq int"), None, order=["seq"]).collect()
+    assert [(r.invoice_id, r.item_price) for r in out] == [("I8", 2.0)]
 
 
 def test_insert_if_absent(spark):
@@ -510,7 +514,7 @@ def test_topk_with_more_queries_than_a_block(spark, monkeypatch):
 
 
 def test_lake_keeps_offsets_of_all_partitions(spark):
-    env = cdc.envelopes_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).limit(4)
+    env = envelopes_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).limit(4)
     env = env.withColumn("offset", F.lit(7).cast("long")).withColumn("partition", (F.monotonically_increasing_id() % 2).cast("int")).withColumn("topic", F.lit("t"))
     rows = sinks.lake_dedupe(sinks.lake_records(env, "unused")).collect()
     assert sorted((r.source_topic, r.partition) for r in rows) == [("t", 0), ("t", 1)]
