@@ -27,14 +27,20 @@ def ratio6(num: Column, den: Column) -> Column:
 
 def mart_sales_metrics(fact_items: DataFrame, dim_customer: DataFrame, dim_seller: DataFrame,
                        dim_product: DataFrame, fact_orders: DataFrame, fact_reviews: DataFrame,
-                       as_written: bool = False) -> DataFrame:
+                       as_written: bool = False, dedupe_reviews: bool = False) -> DataFrame:
     """sales by customer state, seller state, category and month.
 
     Default joins items to their order by ``order_id``. ``as_written=True``
     reproduces the original join on customer key and a DATE = TIMESTAMP
     equality, which only matches orders placed at midnight.
     Reviews are left-joined per order, so several reviews of one order
-    multiply that order's item rows (documented behaviour).
+    multiply that order's item rows (documented behaviour). ``dedupe_reviews=True``
+    folds the reviews of an order into one row first, so that every item counts
+    once; scores stay averages over all (item, review) pairs.
+
+    The three distinct counts need no copies of the rows: an order has one customer,
+    so orders and customers are counted by adding up order rows, then customer rows;
+    sellers are counted over the (order, seller) rows beside that.
     """
     sellers, products = bounded_broadcasts(dim_seller.select("seller_key", "seller_state"),
                                            dim_product.select("product_key", "product_category_name"))
@@ -42,7 +48,11 @@ def mart_sales_metrics(fact_items: DataFrame, dim_customer: DataFrame, dim_selle
     o = fact_orders.select(F.col("order_id").alias("o_order_id"), "customer_id",
                            F.col("purchase_date").alias("o_purchase_date"), "on_time_flag",
                            "purchase_to_approve_days", "ship_to_deliver_days")
-    r = fact_reviews.select(F.col("order_id").alias("r_order_id"), "review_score")
+    score = F.col("review_score")
+    r = fact_reviews.select(F.col("order_id").alias("r_order_id"), score.alias("s_sum"), score.isNotNull().cast("long").alias("s_n"),
+                            F.coalesce(score >= 4, F.lit(False)).cast("long").alias("s_pos"))
+    if dedupe_reviews:
+        r = r.groupBy("r_order_id").agg(*[F.sum(c).alias(c) for c in ("s_sum", "s_n", "s_pos")])
     if as_written:
         cust = dim_customer.select("customer_key", "customer_state")
         cond = ((oi.customer_key == surrogate_key(o.customer_id))
@@ -58,26 +68,31 @@ def mart_sales_metrics(fact_items: DataFrame, dim_customer: DataFrame, dim_selle
         oc = o.join(cust, surrogate_key(o.customer_id) == F.col("o_customer_key")).drop("o_customer_key")
         j = oi.join(oc, oi.order_id == oc.o_order_id)
     j = j.join(r, F.col("o_order_id") == r.r_order_id, "left")
-    score = F.col("review_score")
-    return j.groupBy(
-        "customer_state", "seller_state", "product_category_name",
-        F.trunc("purchase_date", "month").alias("order_month"),
-    ).agg(
-        F.count_distinct("o_order_id").alias("total_orders"),
-        F.count_distinct("customer_key").alias("unique_customers"),
-        F.count_distinct("seller_key").alias("unique_sellers"),
-        F.count(F.lit(1)).alias("total_items_sold"),
-        F.sum("price").alias("gross_merchandise_value"),
-        F.sum("freight_value").alias("total_freight_revenue"),
-        F.sum("total_item_value").alias("total_revenue"),
-        avg6("price").alias("avg_item_price"),
-        avg6("total_item_value").alias("avg_order_value"),
-        avg6("purchase_to_approve_days").alias("avg_approval_time_days"),
-        avg6("ship_to_deliver_days").alias("avg_delivery_time_days"),
-        ratio6(F.sum("on_time_flag"), F.count("o_order_id")).alias("on_time_delivery_rate"),
-        avg6(score).alias("avg_review_score"),
-        ratio6(F.count(F.when(score >= 4, 1)), F.count(score)).alias("positive_review_rate"),
-    )
+    group = ["customer_state", "seller_state", "product_category_name", "order_month"]
+    summed = {"price": "price", "freight_value": "freight_value", "total_item_value": "total_item_value",
+              "approve": "purchase_to_approve_days", "deliver": "ship_to_deliver_days", "on_time": "on_time_flag",
+              "s_sum": "s_sum", "s_n": "s_n", "s_pos": "s_pos"}
+    counted = {"price_n": "price", "value_n": "total_item_value", "approve_n": "purchase_to_approve_days",
+               "deliver_n": "ship_to_deliver_days"}
+    add = lambda *more: [F.sum(c).alias(c) for c in (*summed, *counted, "items", *more)]
+    rows = j.groupBy(*group[:3], F.trunc("purchase_date", "month").alias("order_month"), "o_order_id", "customer_key", "seller_key").agg(
+        *[F.sum(c).alias(k) for k, c in summed.items()], *[F.count(c).alias(k) for k, c in counted.items()],
+        F.count(F.lit(1)).alias("items"))
+    orders = rows.groupBy(*group, "customer_key", "o_order_id").agg(*add())
+    customers = orders.withColumn("orders", F.lit(1)).groupBy(*group, "customer_key").agg(*add("orders"))
+    total = customers.withColumn("customers", F.lit(1)).groupBy(*group).agg(*add("orders", "customers"))
+    by_seller = rows.groupBy(*group, "seller_key").agg(F.lit(1).alias("one")).groupBy(*group).agg(F.sum("one").alias("sellers"))
+    same = [total[c].eqNullSafe(by_seller[c]) for c in group]
+    g = total.join(by_seller.select(*group, "sellers"), same).select(*[total[c] for c in total.columns], "sellers")
+    avg = lambda c, n: ratio6(F.col(c), F.col(n))
+    return g.select(
+        *group, F.col("orders").alias("total_orders"), F.col("customers").alias("unique_customers"),
+        F.col("sellers").alias("unique_sellers"), F.col("items").alias("total_items_sold"),
+        F.col("price").alias("gross_merchandise_value"), F.col("freight_value").alias("total_freight_revenue"),
+        F.col("total_item_value").alias("total_revenue"), avg("price", "price_n").alias("avg_item_price"),
+        avg("total_item_value", "value_n").alias("avg_order_value"), avg("approve", "approve_n").alias("avg_approval_time_days"),
+        avg("deliver", "deliver_n").alias("avg_delivery_time_days"), avg("on_time", "items").alias("on_time_delivery_rate"),
+        avg("s_sum", "s_n").alias("avg_review_score"), avg("s_pos", "s_n").alias("positive_review_rate"))
 
 
 def mart_customer_metrics(fact_items: DataFrame, fact_reviews: DataFrame, fact_orders: DataFrame,

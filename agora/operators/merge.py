@@ -1,9 +1,9 @@
 """Incremental models: keyed upsert (I4), schema sync (I5) and the three
 incremental facts (I1-I3), and the partitioned tables that store them.
 
-There is no row-level MERGE for plain Parquet folders, so an upsert is
-``target LEFT ANTI source  UNION  source`` over the partitions that the source
-touches, which replace their former folders (dynamic partition overwrite).
+There is no row-level MERGE for plain Parquet folders, so an upsert is one full
+outer join over the partitions that the source touches, which replace their former
+folders (dynamic partition overwrite).
 """
 
 from __future__ import annotations
@@ -40,17 +40,14 @@ def upsert_by_key(target: DataFrame | None, source: DataFrame, keys: Sequence[st
     if target is None:
         return source
     target = sync_all_columns(target, source.schema)
-    kept = target.join(source.select(*keys), keys, "left_anti")
-    if update_cols is None:
-        return kept.unionByName(source)
-    upd = set(update_cols)
-    t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in target.columns if c not in keys])
-    # matched -> keep target values outside update_cols; new -> source row
-    matched = F.col("_matched")
-    j = source.join(t.withColumn("_matched", F.lit(True)), keys, "left")
-    cols = [F.col(c) if (c in keys or c in upd) else
-            F.when(matched.isNotNull(), F.col(f"_t_{c}")).otherwise(F.col(c)).alias(c) for c in source.columns]
-    return kept.unionByName(j.select(*cols))
+    changed = set(source.columns if update_cols is None else update_cols)
+    # One full outer join: each side is read, and shuffled, once. Null keys match nothing and stay.
+    side = lambda df, name: df.select(*keys, F.struct(*source.columns).alias(name))
+    j = side(target, "_t").join(side(source, "_s").withColumnsRenamed({k: f"_s_{k}" for k in keys}),
+                                [F.col(k) == F.col(f"_s_{k}") for k in keys], "full_outer")
+    new, old = F.col("_s").isNotNull(), F.col("_t").isNull()
+    return j.select(*[F.when(new & (F.lit(c in changed) | old), F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c)
+                      for c in source.columns])
 
 
 def merge_order_items(target: DataFrame | None, source: DataFrame) -> DataFrame:

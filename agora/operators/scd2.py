@@ -1,18 +1,22 @@
 """Type-2 history with the check strategy.
 
 One full outer join on the key between the open versions and the new source
-decides, per key, whether to keep, close, open, or close-and-open; closed
-history is carried over untouched.
+decides, per key, whether to keep, close, open, or close-and-open. A stored history
+keeps its open and its closed versions apart (``snapshot_run``): a run reads and
+replaces the open ones and adds the versions that it closes; it neither reads nor
+writes what was closed before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key
+from ..plans.strategy import written_table
+from ..streaming.sinks import table_at
 
 META = ["dbt_scd_id", "dbt_updated_at", "dbt_valid_from", "dbt_valid_to"]
 
@@ -41,10 +45,16 @@ def scd2_check(history: DataFrame | None, source: DataFrame, key: str, check_col
     """
     if history is None:
         return _versioned(source, key, run_ts)
+    closed = history.filter(F.col("dbt_valid_to").isNotNull())
+    out = changed_versions(history.filter(F.col("dbt_valid_to").isNull()), source, key, check_cols, run_ts, close_missing)
+    return closed.select(out.columns).unionByName(out)
+
+
+def changed_versions(open_: DataFrame, source: DataFrame, key: str, check_cols: Sequence[str], run_ts,
+                     close_missing: bool = True) -> DataFrame:
+    """The open versions after a run, and those that it closes (``dbt_valid_to`` = ``run_ts``)."""
     ts = F.lit(run_ts).cast("timestamp_ntz")
     cols = source.columns
-    closed = history.filter(F.col("dbt_valid_to").isNotNull())
-    open_ = history.filter(F.col("dbt_valid_to").isNull())
     o = open_.select(F.col(key).alias("_k"), F.struct(*cols, *META).alias("o"))
     s = source.select(F.col(key).alias("_k"), F.struct(*cols).alias("s"))
     j = o.join(s, "_k", "full_outer")
@@ -62,28 +72,62 @@ def scd2_check(history: DataFrame | None, source: DataFrame, key: str, check_col
                    F.lit(None).cast("timestamp_ntz").alias("dbt_valid_to"))
     rows = F.filter(F.array(F.when(keep_o, old_kept), F.when(close_o, old_closed), F.when(open_s, new)),
                     lambda x: x.isNotNull())
-    out = j.select(F.explode(rows).alias("r")).select("r.*")
-    return closed.select(*cols, *META).unionByName(out)
+    return j.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def snapshot_run(path: str, source: DataFrame, key: str, check_cols: Sequence[str], run_ts, close_missing: bool = True) -> None:
+    """G4 on a stored history: apply one run to the table at ``path``.
+
+    ``open`` holds the open versions, ``closed/closed_on=...`` those that each run closed.
+    The run's rows are written aside first; the run's own ``closed_on`` folder and
+    ``open`` are then replaced by them, so a run that failed half-way can be run again.
+    """
+    spark = source.sparkSession
+    open_ = table_at(spark, f"{path}/open")
+    found = _versioned(source, key, run_ts) if open_ is None else changed_versions(open_, source, key, check_cols, run_ts, close_missing)
+    found = written_table(found, "scd2_run")
+    day = F.date_format("dbt_valid_to", "yyyy-MM-dd'T'HHmmss")
+    ended = found.filter(F.col("dbt_valid_to").isNotNull()).withColumn("closed_on", day)
+    ended.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("closed_on").parquet(f"{path}/closed")
+    found.filter(F.col("dbt_valid_to").isNull()).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/open")
 
 
-def snap_dim_customer(history, int_customers: DataFrame, run_ts) -> DataFrame:
+def stored_history(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of the table at ``path``."""
+    open_, closed = spark.read.parquet(f"{path}/open"), table_at(spark, f"{path}/closed")
+    return open_ if closed is None else open_.unionByName(closed.select(open_.columns))
+
+
+def customer_source(int_customers: DataFrame) -> DataFrame:
     """G1: customers by customer_id, checking city/state and geo city/state."""
     src = int_customers.select(surrogate_key("customer_id").alias("customer_key"), "customer_id",
                                "customer_unique_id", "customer_zip_code_prefix", "customer_city",
                                "customer_state", "geo_city", "geo_state")
-    return scd2_check(history, src, "customer_id", CUSTOMER_CHECK, run_ts)
+    return src
+
+
+def snap_dim_customer(path: str, int_customers: DataFrame, run_ts) -> None:
+    snapshot_run(path, customer_source(int_customers), "customer_id", CUSTOMER_CHECK, run_ts)
 
 
-def snap_dim_product(history, int_products: DataFrame, run_ts) -> DataFrame:
+def product_source(int_products: DataFrame) -> DataFrame:
     """Products by product_id over seven check columns."""
     src = int_products.select(surrogate_key("product_id").alias("product_key"), "product_id",
                               "product_category_name", "product_name_length", "product_description_length",
                               "product_photos_qty", "product_volume_cm3", "product_weight_kg", "photo_category")
-    return scd2_check(history, src, "product_id", PRODUCT_CHECK, run_ts)
+    return src
 
 
-def snap_dim_seller(history, int_sellers: DataFrame, run_ts) -> DataFrame:
+def snap_dim_product(path: str, int_products: DataFrame, run_ts) -> None:
+    snapshot_run(path, product_source(int_products), "product_id", PRODUCT_CHECK, run_ts)
+
+
+def seller_source(int_sellers: DataFrame) -> DataFrame:
     """Sellers by seller_id, checking city/state and geo city/state."""
     src = int_sellers.select(surrogate_key("seller_id").alias("seller_key"), "seller_id",
                              "seller_zip_code_prefix", "seller_city", "seller_state", "geo_city", "geo_state")
-    return scd2_check(history, src, "seller_id", SELLER_CHECK, run_ts)
+    return src
+
+
+def snap_dim_seller(path: str, int_sellers: DataFrame, run_ts) -> None:
+    snapshot_run(path, seller_source(int_sellers), "seller_id", SELLER_CHECK, run_ts)

@@ -6,11 +6,14 @@ Each query replays loads derived from the given tables: an earlier load
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge as I
 from ..operators import scd2 as G
+from ..session import checkpoint_dir
 from ..sources.tables import read_table
 from .catalog import register
 from .models import Warehouse
@@ -51,9 +54,6 @@ def q_merge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_merge_items_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I1 on a table partitioned by purchase month: only the months in the
     incremental slice are rewritten (dynamic partition overwrite)."""
-    import uuid
-
-    from ..session import checkpoint_dir
     base = f"{checkpoint_dir(spark).rstrip('/')}/agora/partitioned/{uuid.uuid4().hex}"
     f = Warehouse(spark, sf_dir).fact_order_items.withColumn("purchase_month",
                                                             F.date_format("purchase_date", "yyyy-MM"))
@@ -212,6 +212,14 @@ def _cust_src_sql(where: str, city: str = "customer_city") -> str:
             f"FROM int_customers_geocoded c JOIN customer k ON c.customer_id = 'C' || k.c_custkey WHERE {where}")
 
 
+def _runs(spark: SparkSession, run, days: list) -> DataFrame:
+    """The stored history after each day's run."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/agora/history/{uuid.uuid4().hex}"
+    for source, at in days:
+        run(path, source, at)
+    return G.stored_history(spark, path)
+
+
 @register("G1_snap_dim_customer", _snap_sql([
     (_cust_src_sql("k.c_acctbal < 9000"), T1),
     (_cust_src_sql("k.c_mktsegment <> 'HOUSEHOLD'",
@@ -229,8 +237,7 @@ def q_snap_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("customer_city", F.when(F.col("c_mktsegment") == "BUILDING", F.upper("customer_city"))
                         .otherwise(F.col("customer_city")))
             .drop("c_acctbal", "c_mktsegment"))
-    h = written_table(G.snap_dim_customer(None, day1, T1), "snap_dim_customer")
-    return G.snap_dim_customer(h, day2, T2)
+    return _runs(spark, G.snap_dim_customer, [(day1, T1), (day2, T2)])
 
 
 def _prod_src_sql(where: str, weight: str = "p.product_weight_kg") -> str:
@@ -257,8 +264,7 @@ def q_snap_product(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("product_weight_kg", F.when(F.col("p_brand") == "Brand#11", F.col("product_weight_kg") + 1)
                         .otherwise(F.col("product_weight_kg")))
             .drop("p_size", "p_retailprice", "p_brand"))
-    h = written_table(G.snap_dim_product(None, day1, T1), "snap_dim_product")
-    return G.snap_dim_product(h, day2, T2)
+    return _runs(spark, G.snap_dim_product, [(day1, T1), (day2, T2)])
 
 
 def _sell_src_sql(where: str, geo_state: str = "s.geo_state") -> str:
@@ -293,8 +299,7 @@ def q_snap_seller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day 1: sellers with positive balance; day 2: balance < 8000, geo_state
     of five nations turned NULL (a NULL-safe change)."""
     d1, d2, _ = _seller_days(spark, sf_dir)
-    h = written_table(G.snap_dim_seller(None, d1, T1), "snap_dim_seller")
-    return G.snap_dim_seller(h, d2, T2)
+    return _runs(spark, G.snap_dim_seller, [(d1, T1), (d2, T2)])
 
 
 @register("G4_scd2_check", _snap_sql(SELLER_RUNS + [(_sell_src_sql("TRUE"), T3), (_sell_src_sql("TRUE"), T3)],
@@ -303,8 +308,4 @@ def q_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three seller runs (deleted keys come back, NULL -> value) and a rerun
     of day 3, which must change nothing."""
     d1, d2, d3 = _seller_days(spark, sf_dir)
-    # Each run reads the history table the previous run wrote.
-    h = written_table(G.snap_dim_seller(None, d1, T1), "snap_dim_seller")
-    h = written_table(G.snap_dim_seller(h, d2, T2), "snap_dim_seller")
-    h = written_table(G.snap_dim_seller(h, d3, T3), "snap_dim_seller")
-    return G.snap_dim_seller(h, d3, T3)
+    return _runs(spark, G.snap_dim_seller, [(d1, T1), (d2, T2), (d3, T3), (d3, T3)])

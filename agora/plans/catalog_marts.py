@@ -94,6 +94,18 @@ def q_sales_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Warehouse(spark, sf_dir).mart_sales_metrics(as_written=True)
 
 
+F1_DEDUPE = F1_BODY.replace("{cond}", "fi.order_id = o.order_id").replace("LEFT JOIN fact_reviews r ON", """LEFT JOIN (SELECT order_id,
+    sum(review_score) AS s_sum, count(review_score) AS s_n, count(CASE WHEN review_score >= 4 THEN 1 END) AS s_pos
+    FROM fact_reviews GROUP BY 1) r ON""").replace(avg6("r.review_score"), ratio6("sum(r.s_sum)", "sum(r.s_n)")).replace(
+    ratio6("count(CASE WHEN r.review_score >= 4 THEN 1 END)", "count(r.review_score)"), ratio6("sum(r.s_pos)", "sum(r.s_n)"))
+
+
+@register("F1_mart_sales_metrics_dedupe", with_ctes(f"SELECT {enc(F1_SPEC)} FROM ({F1_DEDUPE})"))
+def q_sales_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales metrics in which several reviews of an order don't multiply its items."""
+    return Warehouse(spark, sf_dir).mart_sales_metrics(dedupe_reviews=True)
+
+
 SEGMENT_SQL = """CASE WHEN {o} >= 10 AND {r} >= 5000 THEN 'VIP' WHEN {o} >= 5 AND {r} >= 2000 THEN 'Premium'
   WHEN {o} >= 2 AND {r} >= 500 THEN 'Regular' ELSE 'New' END"""
 

@@ -98,10 +98,10 @@ class Warehouse:
     def fact_reviews(self) -> DataFrame: return E.fact_reviews(self.int_reviews_cleaned)
 
     # --- marts (F) ---
-    def mart_sales_metrics(self, as_written: bool = False) -> DataFrame:
+    def mart_sales_metrics(self, as_written: bool = False, dedupe_reviews: bool = False) -> DataFrame:
         return M.mart_sales_metrics(self.fact_order_items, self.dim_customer, self.dim_seller,
                                     self.dim_product, self.fact_orders_accumulating, self.fact_reviews,
-                                    as_written=as_written)
+                                    as_written=as_written, dedupe_reviews=dedupe_reviews)
 
     @cached_property
     def mart_customer_metrics(self) -> DataFrame:

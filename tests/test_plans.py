@@ -40,3 +40,8 @@ def test_flagship_broadcasts_bounded_dimensions(spark):
 def test_partial_aggregation_before_shuffle(spark):
     p = _plan(E.queries()["S5_event_day"](spark, SF_SMALL))
     assert "partial_count" in p or "partial_sum" in p
+
+
+def test_sales_mart_copies_no_rows(spark):
+    for name in ("F1_mart_sales_metrics", "F1_mart_sales_metrics_dedupe"):
+        assert "Expand" not in _plan(E.queries()[name](spark, SF_SMALL))

@@ -226,6 +226,40 @@ def test_merge_reviews_duplicate_ids(spark):
 # ---------------------------------------------------------------- SCD2
 
 
+def test_scd2_run_touches_no_closed_version(spark, tmp_dir):
+    """A run reads the open versions only, leaves closed files as they are, and can be run again after a failure."""
+    import glob
+    import os
+    path = f"{tmp_dir}/h"
+    day = lambda rows: spark.createDataFrame(rows, "id string, a string")
+    days = [(day([("1", "x"), ("2", "y")]), "2024-01-01"), (day([("1", "z"), ("2", "y")]), "2024-01-02"),
+            (day([("1", "z"), ("3", "n")]), "2024-01-03")]
+    h = None
+    for i, (d, at) in enumerate(days):
+        G.snapshot_run(path, d, "id", ["a"], at)
+        h = G.scd2_check(h, d, "id", ["a"], at)
+        if i == 1:
+            closed = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/closed/*/*.parquet")}
+    assert closed and all(os.stat(f).st_mtime_ns == m for f, m in closed.items())
+    plan = G.changed_versions(spark.read.parquet(f"{path}/open"), days[2][0], "id", ["a"], "2024-01-04").inputFiles()
+    assert plan and not any("/closed/" in f for f in plan)
+    G.snapshot_run(path, days[2][0], "id", ["a"], "2024-01-03")
+    rows = lambda df: sorted(tuple(str(x) for x in r) for r in df.select("id", "a", *G.META).collect())
+    assert rows(G.stored_history(spark, path)) == rows(h)
+
+
+def test_upsert_is_one_join(spark):
+    """Both sides are read once; other columns, null keys and new rows are as before."""
+    t = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (None, "n", 0)], "k int, v string, w int")
+    s = spark.createDataFrame([(2, "B", 21), (3, "c", 30), (None, "m", 1)], "k int, v string, w int")
+    got = I.upsert_by_key(t, s, ["k"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, t.filter("k = 1 or k is null").union(s).collect()))
+    part = I.upsert_by_key(t, s, ["k"], update_cols=["w"]).filter("k = 2").first()
+    assert (part.v, part.w) == ("b", 21)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1 and plan.count("LogicalRDD") == 2
+
+
 def test_scd2_three_days_and_rerun(spark):
     sch = "id string, a string"
     d1 = spark.createDataFrame([("a", "x"), ("b", "y")], sch)
