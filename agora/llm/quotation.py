@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .shared import prefix_offsets, scratch
 
-#: Marks at the start of a quoted line, with blanks between them.
-QUOTE = r"^[ \t]*((?:>[ \t]*)+)(.*)$"
+#: Marks at the start of a quoted line, with blanks between them. (No repeated group: such patterns recurse.)
+MARKS = r"^([ \t]*+>[> \t]*+)"
+#: White space of the contract's words.
+SPACE = " \t\n\x0b\x0c\r"
 #: Blank lines between paragraphs; what parts sentences in normalised text.
 BLANK, SENTENCE = r"\n[\x20\x09-\x0D]*\n", r"(?<=[.!?\u2026]|[.!?\u2026][\"')\]\u201d\u2019]) |(?<=[\u3002\uff01\uff1f])"
 #: Turns counted together when messages are numbered.
@@ -31,21 +33,22 @@ def normalised(text: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """Lines as (level, said) structs."""
-    marks = lambda x: F.regexp_extract(x, QUOTE, 1)
+    marks = lambda x: F.regexp_extract(x, MARKS, 1)
     return F.transform(F.split(text, "\r?\n"), lambda x: F.struct(
-        F.length(F.regexp_replace(marks(x), "[^>]", "")).alias("level"),
-        F.when(x.rlike(QUOTE), F.regexp_extract(x, QUOTE, 2)).otherwise(x).alias("said")))
+        F.length(F.regexp_replace(marks(x), "[^>]", "")).alias("level"), F.substring(x, F.length(marks(x)) + 1, F.length(x)).alias("said")))
 
 
-def _passages(lines: Column) -> Column:
-    """Neighbouring lines of one level as one: (level, said) with lines joined by line feeds."""
-    kind = "array<struct<level:int,said:array<string>>>"
-    one = lambda x: F.array(F.struct(x["level"].cast("int").alias("level"), F.array(x["said"]).alias("said")))
-    last = lambda a: F.element_at(a, -1)
-    return F.aggregate(lines, F.lit(None).cast(kind), lambda a, x: F.when(a.isNull(), one(x)).when(
-        last(a)["level"] == x["level"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
-            last(a)["level"].alias("level"), F.concat(last(a)["said"], F.array(x["said"])).alias("said"))))
-    ).otherwise(F.concat(a, one(x))))
+def _starts(lines: str) -> Column:
+    """Numbers of the lines whose level differs from that of the line before."""
+    level = lambda i: F.element_at(F.col(lines), i)["level"]
+    return F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == 1) | (level(i) != level(F.greatest(i - 1, F.lit(1)))))
+
+
+def _passages(lines: str, starts: str) -> Column:
+    """Neighbouring lines of one level as one: (level, said); each is cut out of the lines once."""
+    return F.transform(F.col(starts), lambda s, k: F.struct(
+        F.element_at(F.col(lines), s)["level"].alias("level"),
+        F.slice(F.col(lines), s, F.coalesce(F.get(F.col(starts), k + 1), F.size(lines) + 1) - s)["said"].alias("said")))
 
 
 def _units(text: Column) -> Column:
@@ -98,19 +101,21 @@ def reply_order(messages: DataFrame) -> DataFrame:
     Null text has an empty body and no quotations. A null conv_id is a conversation
     of its own; messages with a null turn come last in it and neither reply nor are
     replied to. Repeated rows are messages of their own; they have the same parent.
-    An empty table gives no rows; other columns are ignored.
+    An empty table gives no rows; other columns are ignored. Very long texts, lines
+    and runs of marks or blanks are handled whole, in time in proportion to their length.
     """
     # Keys of joins have no nulls: c + the id, or n; null turns stand past all others.
     rows = messages.select(
         "conv_id", "turn", "role", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")).alias("conv"),
         F.coalesce(F.col("turn").cast("long"), F.lit(2**62)).alias("at"),
         _lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    rows = rows.withColumn("starts", _starts("lines"))
     rows = rows.select("*", F.filter("lines", lambda x: x["level"] > 0).alias("quoted"),
                        F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["said"]), "\n").alias("own"))
     rows = scratch(rows.select(
-        "conv_id", "turn", "role", "conv", "at", F.regexp_replace("own", r"^(?:[\x20\x09-\x0D]*\n)+|[\x20\x09-\x0D]+$", "").alias("body"),
+        "conv_id", "turn", "role", "conv", "at", F.rtrim(F.regexp_replace("own", r"^[\x20\x09-\x0D]*\n", ""), F.lit(SPACE)).alias("body"),
         # Texts without quotations need no passages.
-        F.when(F.size("quoted") > 0, F.filter(_passages(F.col("lines")), lambda p: p["level"] > 0)).alias("passages"),
+        F.when(F.size("quoted") > 0, F.filter(_passages("lines", "starts"), lambda p: p["level"] > 0)).alias("passages"),
         F.lit(1).cast("long").alias("one")), "messages")
     real = rows.where(F.col("at") < 2**62)
     quotes = (real.where("passages IS NOT NULL").select("conv", "at", F.explode("passages").alias("p"))
