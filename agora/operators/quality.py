@@ -137,7 +137,7 @@ class Test:
     values: Sequence | None = None
     min_value: object = None
     max_value: object = None
-    parent: DataFrame | None = field(default=None, repr=False)
+    parent: DataFrame | str | None = field(default=None, repr=False)
     parent_key: str | None = None
 
     @property
@@ -179,3 +179,52 @@ def dq_suite(model: str, df: DataFrame, tests: Sequence[Test]) -> DataFrame:
         out = out.unionByName(r)
     return out.select(F.lit(model).alias("model"), "test_name", F.col("failures").cast("long").alias("failures"),
                       F.when(F.col("failures") == 0, "pass").otherwise("fail").alias("status"))
+
+
+def counted(bad: DataFrame, model: str, test: str) -> DataFrame:
+    """The number of violating rows as a row of the result table."""
+    return with_status(bad.agg(F.count(F.lit(1)).alias("failures")).select(F.lit(model).alias("model"), F.lit(test).alias("test_name"), "failures"))
+
+
+def with_status(found: DataFrame) -> DataFrame:
+    return found.select("model", "test_name", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"),
+                        F.when(F.coalesce("failures", F.lit(0)) == 0, "pass").otherwise("fail").alias("status"))
+
+
+def dq_model(model: str, table: DataFrame, tests: Sequence[Test], parents: dict[str, DataFrame]) -> DataFrame:
+    """H12 on a written table: all tests of a model.
+
+    Row-local tests are one aggregate. The rows of a tested key are counted per value
+    once, for its uniqueness and for its relationship alike; only distinct values meet
+    the parent. ``parents`` holds the tables that ``Test.parent`` names.
+    """
+    def bad(t: Test) -> Column:
+        if t.kind == "not_null":
+            return F.col(t.column).isNull()
+        if t.kind == "accepted_values":
+            return F.col(t.column).isNotNull() & ~F.col(t.column).cast("string").isin(list(t.values))
+        return _out_of_range(t.column, t.min_value, t.max_value)
+
+    def row(t: Test, failures: Column) -> Column:
+        return F.struct(F.lit(t.name).alias("test_name"), failures.cast("long").alias("failures"))
+
+    results = []
+    local = [t for t in tests if t.kind not in ("unique", "relationships")]
+    if local:
+        results.append(table.agg(F.array(*[row(t, F.count_if(bad(t))) for t in local]).alias("r")))
+    for column in dict.fromkeys(t.column for t in tests if t.kind in ("unique", "relationships")):
+        own = [t for t in tests if t.column == column and t.kind in ("unique", "relationships")]
+        values = table.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+        counts = []
+        for i, t in enumerate(own):
+            if t.kind == "unique":
+                counts.append(row(t, F.count_if(F.col("_n") > 1)))
+            else:
+                there = parents[t.parent].select(F.col(t.parent_key).alias("_k"), F.lit(True).alias(f"_in{i}")).distinct()
+                values = values.join(there, "_k", "left")
+                counts.append(row(t, F.coalesce(F.sum(F.when(F.col(f"_in{i}").isNull(), F.col("_n"))), F.lit(0))))
+        results.append(values.agg(F.array(*counts).alias("r")))
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return with_status(out.select(F.explode("r").alias("r")).select(F.lit(model).alias("model"), "r.*"))

@@ -126,4 +126,4 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # Importing these modules registers their queries.
     from . import (catalog_adhoc, catalog_history, catalog_ingest, catalog_live, catalog_marts,  # noqa: F401
-                   catalog_quality, catalog_retrieval, catalog_streaming)
+                   catalog_quality, catalog_retrieval, catalog_streaming, declared_tests)

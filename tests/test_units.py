@@ -645,3 +645,18 @@ def test_require_nonzero(spark):
     A.require_nonzero(A.rowcount_nonzero({"a": df}))
     with pytest.raises(RuntimeError, match="b"):
         A.require_nonzero(A.rowcount_nonzero({"a": df, "b": df.limit(0)}))
+
+
+def test_declared_tests_find_what_is_wrong(spark):
+    """All kinds on one table; a key's values are counted once for uniqueness and relationship."""
+    from agora.plans.declared_tests import declared
+    T_ = H.Test
+    t = spark.createDataFrame([("a", 1, "x"), ("a", -2, "q"), ("b", None, None), (None, 3, "x")], "k string, n int, v string")
+    p = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    tests = [T_("unique", "k"), T_("relationships", "k", parent="p", parent_key="k"), T_("not_null", "n"),
+             T_("accepted_range", "n", min_value=0), T_("accepted_values", "v", values=["x", "y"])]
+    got = {r.test_name: r.failures for r in H.dq_model("m", t, tests, {"p": p}).collect()}
+    assert got == {"unique_k": 1, "relationships_k": 1, "not_null_n": 1, "accepted_range_n": 1, "accepted_values_v": 1}
+    empty = H.dq_model("m", t.limit(0), tests, {"p": p}).collect()
+    assert [r.status for r in empty] == ["pass"] * 5
+    assert sum(map(len, declared().values())) + 2 == 104
