@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import day_diff
@@ -16,7 +16,7 @@ def top_categories_by_revenue(fact_items: DataFrame, dim_product: DataFrame, k:
     ``orderBy(...).limit(k)`` plans as TakeOrderedAndProject: each task keeps
     its own top ``k`` and only those rows reach the final merge.
     """
-    j = fact_items.join(dim_product.select("product_key", "product_category_name"), "product_key")
+    j = fact_items.join(bounded_broadcast(dim_product.select("product_key", "product_category_name")), "product_key")
     g = j.groupBy("product_category_name").agg(
         F.sum("total_item_value").alias("total_revenue"),
         F.count_distinct("order_id").alias("order_count"),
@@ -47,12 +47,20 @@ def monthly_revenue_trend(fact_items: DataFrame, dim_date: DataFrame) -> DataFra
             .orderBy("year", "month"))
 
 
+def by_payment_type(fact_payments: DataFrame, dim_payment_type: DataFrame, **sums: Column) -> DataFrame:
+    """Sums per payment type: payments are added up per key first, so that only a row per key
+    and task, and not every payment, goes to one of five places."""
+    keyed = fact_payments.groupBy("payment_type_key").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return (keyed.join(dim_payment_type, "payment_type_key").groupBy("payment_type")
+            .agg(*[F.sum(n).alias(n) for n in sums]))
+
+
 def payment_distribution(fact_payments: DataFrame, dim_payment_type: DataFrame) -> DataFrame:
     """Q4: count, value and average installments per payment type."""
-    j = fact_payments.join(dim_payment_type, "payment_type_key")
-    return (j.groupBy("payment_type")
-            .agg(F.count(F.lit(1)).alias("payment_count"), F.sum("payment_value").alias("total_value"),
-                 avg6("payment_installments").alias("avg_installments"))
+    n = F.col("payment_installments")
+    g = by_payment_type(fact_payments, dim_payment_type, payment_count=F.lit(1), total_value=F.col("payment_value"),
+                        _sum=n, _n=n.isNotNull().cast("long"))
+    return (g.select("payment_type", "payment_count", "total_value", ratio6(F.col("_sum"), F.col("_n")).alias("avg_installments"))
             .orderBy(F.desc("total_value")))
 
 
@@ -61,13 +69,9 @@ def payment_share(fact_payments: DataFrame, dim_payment_type: DataFrame) -> Data
 
     The grand total is a window over the (few) per-type rows, not the facts.
     """
-    j = fact_payments.join(dim_payment_type, "payment_type_key")
-    inst = F.col("payment_installments") > 1
-    g = j.groupBy("payment_type").agg(
-        F.count(F.lit(1)).alias("payment_count"),
-        F.sum("payment_value").alias("total_value"),
-        F.sum(F.when(inst, F.col("payment_value"))).alias("value_in_installments"),
-        F.sum(F.when(~inst, F.col("payment_value"))).alias("value_single_payment"))
+    inst, value = F.col("payment_installments") > 1, F.col("payment_value")
+    g = by_payment_type(fact_payments, dim_payment_type, payment_count=F.lit(1), total_value=value,
+                        value_in_installments=F.when(inst, value), value_single_payment=F.when(~inst, value))
     total = F.sum("payment_count").over(Window.partitionBy())
     return g.withColumn("payment_share", ratio6(F.col("payment_count"), total))
 
@@ -95,7 +99,7 @@ def review_by_category(fact_items: DataFrame, fact_reviews: DataFrame, dim_produ
     """Average review score per product category (per order line)."""
     j = (fact_items.select("product_key", "order_id")
          .join(fact_reviews.select("order_id", "review_score"), "order_id")
-         .join(dim_product.select("product_key", "product_category_name"), "product_key"))
+         .join(bounded_broadcast(dim_product.select("product_key", "product_category_name")), "product_key"))
     return j.groupBy("product_category_name").agg(avg6("review_score").alias("avg_review_score"),
                                                   F.count(F.lit(1)).alias("review_count"))
 

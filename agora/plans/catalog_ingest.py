@@ -267,13 +267,31 @@ def q_null_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.null_normalise(e)
 
 
-@register("A15_jdbc_append", with_ctes("SELECT count(*) AS rows_loaded, CAST(0 AS BIGINT) AS failed_chunks FROM raw_payments"))
+CHUNKED_SQL = """c AS (SELECT *, (row_number() OVER (ORDER BY order_id, payment_sequential) - 1) // 100 AS chunk FROM raw_payments),
+  f AS (SELECT *, max(CASE WHEN payment_value <= 0 THEN 'payment_value must be positive' END) OVER (PARTITION BY chunk) AS error FROM c)"""
+PAYMENTS = "order_id, payment_sequential, payment_type, payment_installments, m:payment_value"
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> str:
+    """Payments appended in chunks of 100; a payment of nothing breaks its chunk. Run twice: the second run replaces the first."""
+    p = Warehouse(spark, sf_dir).raw.order_payments
+    path = _scratch(spark, "append")
+    for _ in range(2):
+        files.append_chunks(p, path, "load-1", ["order_id", "payment_sequential"],
+                            {"payment_value must be positive": F.col("payment_value") <= 0}, 100)
+    return path
+
+
+@register("A15_jdbc_append", with_ctes(f"SELECT {enc(PAYMENTS)}, chunk FROM (WITH {CHUNKED_SQL} SELECT * FROM f WHERE error IS NULL)"))
 def q_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payments appended in chunks of 1000 per partition; summary of the chunk statuses."""
-    p = Warehouse(spark, sf_dir).raw.order_payments.withColumn("payment_value", F.col("payment_value").cast("double"))
-    st = files.chunked_append(p, files.parquet_chunk_writer(_scratch(spark, "chunks")), 1000)
-    return st.agg(F.sum(F.when(F.col("status") == "ok", F.col("rows"))).alias("rows_loaded"),
-                  F.count_if(F.col("status") != "ok").alias("failed_chunks"))
+    """The rows of the chunks that went in."""
+    return files.appended(spark, _appended(spark, sf_dir)).drop("append_id")
+
+
+@register("A15_rejected_rows", with_ctes(f"SELECT {enc(PAYMENTS)}, chunk, error FROM (WITH {CHUNKED_SQL} SELECT * FROM f WHERE error IS NOT NULL)"))
+def q_chunked_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of failed chunks, with why."""
+    return files.appended(spark, _appended(spark, sf_dir), "rejected").drop("append_id")
 
 
 @register("A16_max_watermark", with_ctes(f"SELECT {enc('t:max_watermark')} FROM (SELECT max(order_purchase_timestamp) AS max_watermark FROM raw_orders)"))

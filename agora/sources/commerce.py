@@ -140,12 +140,13 @@ class CommerceSource:
     def order_items(self) -> DataFrame:
         li = self.t("lineitem")
         # Line numbers repeat inside an order in the fixture; a total order
-        # over all columns gives a unique item number per order.
-        w = Window.partitionBy("l_orderkey").orderBy(
+        # over all columns gives a unique item number per order. The window is by the
+        # key that items are joined on, so that one shuffle serves both.
+        w = Window.partitionBy("order_id").orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
             "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-        return li.select(
-            _id("O", "l_orderkey").alias("order_id"),
+        return li.withColumn("order_id", _id("O", "l_orderkey")).select(
+            "order_id",
             F.row_number().over(w).cast("int").alias("order_item_id"),
             _id("P", "l_partkey").alias("product_id"),
             _id("S", "l_suppkey").alias("seller_id"),

@@ -2,7 +2,7 @@
 writes, by-name copies, chunked appends and partition reloads.
 
 A1 contract_scan, A2 csv_import, A4 load_full, A8 lake_write, A9 copy_by_name,
-A11 csv_stage_load, A15 chunked_append, A18 load_partition.
+A11 csv_stage_load, A15 chunked_append and append_chunks, A18 load_partition.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import running_totals
+from ..plans.strategy import written_table
 from .contracts import Contract
 
 CSV_NULLS = ("NULL", "null", "")
@@ -188,24 +190,39 @@ def chunked_append(df: DataFrame, write_chunk: Callable[[pd.DataFrame, str], Non
     return df.mapInPandas(run, out_schema)
 
 
-def parquet_chunk_writer(path: str) -> Callable[[pd.DataFrame, str], None]:
-    """Chunk writer for ``chunked_append``: one Parquet file per chunk id,
-    written to a temporary name and renamed, so a retry replaces the file."""
-    def write(pdf: pd.DataFrame, chunk_id: str) -> None:
-        import os
+def append_chunks(df: DataFrame, path: str, append_id: str, order: Sequence[str], violations: dict[str, Column],
+                  chunk_rows: int = 1000) -> DataFrame:
+    """A15 into a Parquet table: append in chunks of ``chunk_rows`` rows by ``order``.
 
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-        os.makedirs(path, exist_ok=True)
-        final = f"{path.rstrip('/')}/part-{chunk_id}.parquet"
-        tmp = f"{final}.{uuid.uuid4().hex}.tmp"
-        pq.write_table(pa.Table.from_pandas(pdf, preserve_index=False), tmp, compression="snappy")
-        os.replace(tmp, final)
-    return write
+    A chunk with a row that breaks one of ``violations`` (message -> condition) fails as a
+    whole, as one insert would; the others go on. Rows are numbered over ranges of the
+    order, staged once, and written under ``append_id``: good chunks to ``rows``, failed
+    ones with their message to ``rejected``, and at last one row per chunk to
+    ``manifest``. Readers (``appended``) take only what a manifest names, and an append that
+    is run again replaces its own folders. Returns the chunk rows (chunk, rows, status, error).
+    """
+    spark = df.sparkSession
+    numbered = running_totals(df.withColumn("_one", F.lit(1)), [], order, "_one")
+    staged = written_table(numbered.select(*df.columns, F.floor((F.col("run_n") - 1) / chunk_rows).alias("chunk"),
+                                           F.coalesce(*[F.when(c, F.lit(m)) for m, c in violations.items()]).alias("error")), "append")
+    chunks = written_table(staged.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.min("error").alias("error")).select(
+        "chunk", "rows", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error"), "chunks")
+    rows = staged.drop("error").join(chunks.select("chunk", "error"), "chunk")
+    parts = {"rows": rows.filter(F.col("error").isNull()).drop("error"), "rejected": rows.filter(F.col("error").isNotNull()), "manifest": chunks}
+    for name, part in parts.items():
+        part.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}/append_id={append_id}")
+    return spark.read.parquet(f"{path.rstrip('/')}/manifest/append_id={append_id}")
+
+
+def appended(spark: SparkSession, path: str, what: str = "rows") -> DataFrame:
+    """Rows (or ``rejected`` rows) of the finished appends to the table at ``path``."""
+    done = spark.read.parquet(f"{path.rstrip('/')}/manifest").select("append_id").distinct()
+    return spark.read.parquet(f"{path.rstrip('/')}/{what}").join(done, "append_id", "left_semi")
 
 
 def load_partition(df: DataFrame, path: str, partition_col: str) -> None:
     """Overwrite only the partitions present in ``df`` (dynamic
-    partition overwrite); other partitions of the table stay as they are."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    partition overwrite); other partitions of the table stay as they are. Rows are
+    rebalanced by partition, so that a small one is one file and a large one several."""
+    (df.hint("rebalance", partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))

@@ -1,5 +1,7 @@
 """Plan shape: pushed filters, pruned scans, broadcasts, no pair-producing joins."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,16 @@ def test_partial_aggregation_before_shuffle(spark):
 def test_sales_mart_copies_no_rows(spark):
     for name in ("F1_mart_sales_metrics", "F1_mart_sales_metrics_dedupe"):
         assert "Expand" not in _plan(E.queries()[name](spark, SF_SMALL))
+
+
+def test_items_are_shuffled_once_for_number_and_join(spark):
+    """The window that numbers an order's items and their join to the order share one shuffle."""
+    p = _plan(E.queries()["C4_int_order_items_enriched"](spark, SF_SMALL))
+    assert p.count("Exchange hashpartitioning") == 2 and "hashpartitioning(l_orderkey" not in p
+
+
+def test_facts_are_not_shuffled_on_small_keys(spark):
+    """Payments are added up per key before they leave their task; products meet items where those are."""
+    p = _plan(E.queries()["Q4_payment_distribution"](spark, SF_SMALL))
+    assert re.search(r"Exchange hashpartitioning\(payment_type_key[^\n]*\n[^\n]*HashAggregate\(keys=\[payment_type_key[^\n]*partial_sum", p)
+    assert "hashpartitioning(product_key" not in _plan(E.queries()["Q1_top_categories_by_revenue"](spark, SF_SMALL))

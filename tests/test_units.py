@@ -622,12 +622,21 @@ def test_merge_into_partitions_rewrites_only_touched(spark, tmp_dir):
     assert {f: os.path.getmtime(f) for f in glob.glob(f"{path}/p=m2/*.parquet")} == before
 
 
-def test_chunk_writer_is_idempotent_per_chunk(spark, tmp_dir):
-    df = spark.range(2500).repartition(2)
-    w = files.parquet_chunk_writer(f"{tmp_dir}/chunks")
-    files.chunked_append(df, w, 1000).collect()
-    files.chunked_append(df, w, 1000).collect()      # a full retry rewrites the same chunk files
-    assert spark.read.parquet(f"{tmp_dir}/chunks").count() == 2500
+def test_append_chunks_publishes_by_manifest(spark, tmp_dir):
+    df = spark.range(2500).withColumn("v", F.col("id") * 2).repartition(3)
+    bad = {"no multiple of 1500": (F.col("id") % 1500 == 0) & (F.col("id") > 0)}
+    for _ in range(2):   # a second run replaces the first
+        st = files.append_chunks(df, f"{tmp_dir}/t", "a1", ["id"], bad, 1000).collect()
+    assert sorted((r.chunk, r.rows, r.status, r.error) for r in st) == [
+        (0, 1000, "ok", None), (1, 1000, "failed", "no multiple of 1500"), (2, 500, "ok", None)]
+    files.append_chunks(df.filter("id < 3"), f"{tmp_dir}/t", "a2", ["id"], bad, 1000)
+    # An append without a manifest has not happened.
+    df.filter("id < 9").withColumn("chunk", F.lit(0).cast("long")).write.parquet(f"{tmp_dir}/t/rows/append_id=a3")
+    got = files.appended(spark, f"{tmp_dir}/t")
+    assert sorted(r.id for r in got.filter("append_id = 'a1'").collect()) == [*range(1000), *range(2000, 2500)]
+    assert got.count() == 1503
+    lost = files.appended(spark, f"{tmp_dir}/t", "rejected").collect()
+    assert sorted(r.id for r in lost) == list(range(1000, 2000)) and {r.error for r in lost} == {"no multiple of 1500"}
 
 
 def test_dim_date_defaults_and_weekday(spark):
