@@ -32,6 +32,8 @@ FREQUENT = 5e-7
 PARITY, RANGES, FINE = 512, 16, 256
 #: Sizes from which a count of a range may not fit 16 bits; such sets skip the coarse counts.
 HUGE = 60_000
+#: Text bytes whose sets and sketches a task holds at once: some 100 bytes of arrays for a byte pair of text.
+PREFIX_BYTES = 2 << 20
 #: Classes to verify up to which their ids are sent to the texts; beyond, the texts are shuffled by id.
 SENT = 500_000
 
@@ -156,7 +158,7 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, frequent: pa.Table) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = _Ranks(unpacked(sent.value))
-        for _, part in keyed_chunks(batches):
+        for _, part in keyed_chunks(batches, limit=PREFIX_BYTES):
             m = part.num_rows
             rows, grams = shingle_sets(texts_of(part), n)
             sizes, classes = _set_facts(rows, grams, m)
