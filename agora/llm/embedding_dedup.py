@@ -201,3 +201,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     linked = rows.where("fine").select("vec_id", "cid").join(by_class, "cid").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: The same links in DuckDB, by comparing all pairs of a label.
+ORACLE = """
+WITH RECURSIVE rows_ AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x,
+         label IS NOT NULL AND coalesce(len(embedding), 0) > 0
+         AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0
+         AND len(list_filter(embedding, lambda v: v <> 0)) > 0 AS fine
+  FROM embeddings),
+edges AS (
+  SELECT a.r AS a, b.r AS b FROM rows_ a JOIN rows_ b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x)
+  WHERE a.fine AND b.fine AND list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (
+  SELECT r AS a, r AS b FROM rows_ UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+least_ AS (
+  SELECT reach.a AS r, min(rows_.vec_id) AS component_id FROM reach JOIN rows_ ON reach.b = rows_.r GROUP BY reach.a),
+counts AS (
+  SELECT a AS r, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows_ JOIN least_ USING (r) LEFT JOIN counts USING (r)
+"""

@@ -322,8 +322,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
                     F.first("sketch").alias("sketch"), F.first("fine").alias("fine")))
     facts = scratch(classes.join(met.select("c", "size").distinct(), ["c", "size"], "left_semi"), "facts")
     # First meeting: each member with its group's leader, each pair once.
-    stars = (met.where("(c <> leader.c OR size <> leader.size) AND 100 * least(size, leader.size) >= "
-                       f"{percent} * greatest(size, leader.size)")
+    stars = (met.where("(c <> leader.c OR size <> leader.size) AND 100L * least(size, leader.size) >= "
+                       f"{percent}L * greatest(size, leader.size)")
              .select(F.col("leader.c").alias("a"), F.col("leader.size").alias("size_a"), F.col("c").alias("b"),
                      F.col("size").alias("size_b")).distinct())
     links = _checked(docs, stars, facts, n, percent)
@@ -390,3 +390,27 @@ def one_per_component(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     plain = rows.where("_id IS NULL OR _size = 0 OR _rows = 1").select("_row")
     repeated = rows.where("_size > 0 AND _rows > 1").groupBy("_id", "_text").agg(F.first("_row").alias("_row")).select("_row")
     return plain.union(repeated).select(*[F.col(f"_row.{s}").alias(c) for c, s in zip(names, short)])
+
+
+#: The components of 3-word shingles at 90 % in DuckDB, by counting the shingles that two documents share.
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM worded),
+shingles AS (
+  SELECT r, unnest(s) AS x FROM sets),
+shared AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.x = b.x AND a.r <> b.r GROUP BY ALL),
+edges AS (
+  SELECT a, b FROM shared JOIN sets x ON x.r = a JOIN sets y ON y.r = b WHERE 100 * k >= 90 * (len(x.s) + len(y.s) - k)),
+reach AS (
+  SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+least_ AS (
+  SELECT reach.a AS r, min(sets.doc_id) AS component_id FROM reach JOIN sets ON reach.b = sets.r GROUP BY reach.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least_ USING (r)
+"""

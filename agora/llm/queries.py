@@ -77,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op7_nn_descent, op8_jaccard_join, op9_source_mix, op10_token_counts, op11_merkle_manifest, op12_weighted_fingerprints,
     op13_token_alignment)}
 
-ORACLES: dict[str, str] = {"op11_merkle_manifest": merkle.ORACLE}
+ORACLES: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.ORACLE, "op8_jaccard_join": jaccard.ORACLE,
+                           "op11_merkle_manifest": merkle.ORACLE}
