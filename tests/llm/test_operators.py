@@ -352,6 +352,24 @@ def test_neighbours_of_few_rows(spark):
     assert neighbours.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_several_lengths(spark):
+    r = np.random.RandomState(9)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(300)] + [(1_000 + i, r.normal(size=4).tolist()) for i in range(101)]
+    rows += [(2_000 + i, r.normal(size=3).tolist()) for i in range(4)] + [(3_000, r.normal(size=2_000).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("sides", F.lit(None).cast("int"))
+    got = collections.defaultdict(list)
+    for g in neighbours.nearest_neighbours(df).orderBy("rank").collect():
+        got[g.query_id].append((g.vec_id, round(g.score, 9)))
+    hits = []
+    for q, x in rows:
+        if q % 100 == 0:
+            want = sorted((round(math.dist(x, y), 9), i) for i, y in rows if i != q and len(y) == len(x))[:10]
+            assert len(got[q]) == len(want)
+            hits += [s <= want[-1][0] for _, s in got[q]]
+    assert [i for i, _ in got[2_000]] == [i for _, i in sorted((math.dist(rows[401][1], y), i) for i, y in rows[402:405])]
+    assert not got[3_000] and np.mean(hits) >= 0.9
+
+
 # ---- 8
 
 
