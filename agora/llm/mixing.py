@@ -13,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.plans.strategy import bounded_broadcast
+
 from .shared import WORDS, prefix_offsets, scratch
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: A source, and a document, is used at most so many times its size.
 MOST = 3
-#: Documents of equal size in a source are counted in so many slices.
-SLICES = 32
+#: Documents of equal size in a source are counted in slices by so many hex digits of their id's md5 (2: 256 slices).
+DIGITS = 2
 
 
 def source_targets(sizes: DataFrame, share: float = 1.0) -> DataFrame:
@@ -78,17 +80,17 @@ def _sized(docs: DataFrame, more: list[str]) -> DataFrame:
         "doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
         # Keys of joins and windows have no nulls: s + the name, or n.
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("sk"),
-        F.coalesce(F.col("doc_id") % SLICES, F.lit(0)).cast("long").alias("part"), F.lit(1).cast("long").alias("one")), "sized")
+        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS).alias("part"), F.lit(1).cast("long").alias("one")), "sized")
 
 
 def _copies(sized: DataFrame, share: float, seed: str) -> DataFrame:
     sizes = sized.groupBy("sk").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, share).select("sk", "source_size", "target")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("sk"))), 1, 8), 16, 10).cast("double") / 2.0**32
-    # A row per source; its number is not bounded by anything, so it is no broadcast.
+    # A row per source: sent to all tasks where they are few, as a hot source would gather all its slices in a join by source.
     rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
                                .otherwise(0.0)).withColumn("u", offset)
-    starts = prefix_offsets(sized, ["sk"], [["size"], ["part"]], "one").join(rates, "sk")
+    starts = prefix_offsets(sized, ["sk"], [["size"], ["part"]], "one").join(bounded_broadcast(rates), "sk")
     inside = Window.partitionBy("sk", "size", "part").orderBy(F.col("doc_id").asc_nulls_first())
     rank = F.col("offset") + F.row_number().over(inside) - 1
     step = lambda k: F.floor(F.col("rate") * k + F.col("u"))
@@ -97,3 +99,41 @@ def _copies(sized: DataFrame, share: float, seed: str) -> DataFrame:
     more = [c for c in sized.columns if c not in ("doc_id", "source", "size", "sk", "part", "one")]
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies",
                        (F.col("copies") * F.col("size")).alias("taken"), *more)
+
+
+#: The same mix in DuckDB: order by size, slice and id, offsets from md5, targets by the level that fills 100%.
+ORACLE = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS sk,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS part
+  FROM documents),
+sources AS (
+  SELECT sk, source, sum(size)::BIGINT AS source_size FROM sized GROUP BY sk, source),
+weighed AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w,
+         (3 * source_size)::DOUBLE AS cap FROM sources),
+filled AS (
+  SELECT *, (SELECT sum(source_size) FROM sources)::DOUBLE AS total,
+         coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS used,
+         sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM weighed),
+levels AS (
+  SELECT *, (total - used) / rest AS level FROM filled),
+held AS (
+  SELECT arg_min(level, cap / w) AS v FROM levels WHERE cap > w * level),
+targets AS (
+  SELECT sk, source_size, CASE WHEN held.v IS NULL OR cap <= w * level THEN cap ELSE least(cap, w * held.v) END AS target
+  FROM levels, held),
+rates AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+         ('0x' || substr(md5('mix-1/' || sk), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
+  FROM targets),
+placed AS (
+  SELECT doc_id, size, source_size, target, rate, u,
+         row_number() OVER (PARTITION BY sk ORDER BY size, part, doc_id NULLS FIRST) - 1 AS k
+  FROM sized JOIN rates USING (sk))
+SELECT doc_id, size, source_size, target,
+       ((floor(rate * (k + 1) + u) - floor(rate * k + u))::BIGINT * size)::BIGINT AS taken
+FROM placed
+"""

@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op13_token_alignment)}
 
 ORACLES: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.ORACLE, "op8_jaccard_join": jaccard.ORACLE,
-                           "op11_merkle_manifest": merkle.ORACLE}
+                           "op9_source_mix": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE}

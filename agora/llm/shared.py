@@ -131,7 +131,8 @@ def prefix_offsets(rows: DataFrame, group: list[str], levels: list[list[str]], v
         if found is None:
             found = own.withColumnRenamed("_o", "offset")
         else:
-            found = (own.join(found, parent) if parent else own.crossJoin(found))
+            # Dealt by the whole parent: found's own window is by less, and the join would take that for all.
+            found = (own.join(found.repartition(*parent), parent) if parent else own.crossJoin(found))
             found = found.withColumn("offset", F.col("offset") + F.col("_o")).drop("_o")
     return found
 
