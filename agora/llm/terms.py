@@ -46,19 +46,21 @@ def heavy_terms(table: DataFrame, total: int, *columns: str) -> pa.Table:
 
 
 def document_sums(docs: DataFrame, table: DataFrame, total: int, heavy: pa.Table, split: Splitter,
-                  head: T.StructType, inside: Callable, rare: dict[str, Column]) -> DataFrame:
+                  head: T.StructType, inside: Callable, rare: dict[str, Column], mark: Callable | None = None) -> DataFrame:
     """Per row of ``docs``: the ``head`` fields plus sums over its rare terms.
 
     ``inside(part, texts, rows, codes, terms, found, heavy)`` makes the head columns
     of a chunk, sums over heavy terms included; ``found`` has each distinct term's row
     in ``heavy`` or -1. ``rare`` has, by head field, the column to add per (document,
     rare term), made of ``freq``, ``term`` and the table's columns (null if the table
-    has no such term).
+    has no such term). ``mark(codes, terms)`` may give every token a number: ``before``
+    has those of the tokens of a (document, rare term), else it is null.
     """
     sent = docs.sparkSession.sparkContext.broadcast(packed(heavy))
     names = [f.name for f in head.fields]
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("term", T.StringType()),
-                           T.StructField("freq", T.IntegerType()), T.StructField("head", head)])
+                           T.StructField("freq", T.IntegerType()), T.StructField("before", T.ArrayType(T.IntegerType())),
+                           T.StructField("head", head)])
     arrow_head = pa.struct([(f.name, {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
                              .get(f.dataType.simpleString(), pa.int64())) for f in head.fields])
 
@@ -71,13 +73,20 @@ def document_sums(docs: DataFrame, table: DataFrame, total: int, heavy: pa.Table
             terms = terms.cast(pa.string())
             found = pc.fill_null(pc.index_in(terms, value_set=value_set), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             heads = inside(part, rows, codes, terms, found, known)
-            pairs, freq = np.unique(rows[(mask := found[codes] < 0)] * max(1, len(terms)) + codes[mask], return_counts=True)
+            mask = found[codes] < 0
+            tokens = rows[mask] * max(1, len(terms)) + codes[mask]
+            pairs, freq = np.unique(tokens, return_counts=True)
             where, which = np.divmod(pairs, max(1, len(terms)))
             n, m = len(keys), len(pairs)
             # A row's head has a term of its own, with a blank, which no term of the table equals.
             own = pc.binary_join_element_wise(pa.array(keys).cast(pa.string()), "\n", " ")
+            before = pa.nulls(n + m, pa.list_(pa.int32()))
+            if mark is not None:
+                marks = mark(codes, terms)[mask][np.argsort(tokens, kind="stable")].astype(np.int32)
+                ends = np.cumsum(np.concatenate([np.zeros(n + 1, np.int64), freq])).astype(np.int32)
+                before = pa.ListArray.from_arrays(pa.array(ends), pa.array(marks))
             columns = [pa.array(np.concatenate([keys, keys[where]])), pa.concat_arrays([own, terms.take(pa.array(which))]),
-                       pa.array(np.concatenate([np.zeros(n, np.int64), freq]).astype(np.int32)),
+                       pa.array(np.concatenate([np.zeros(n, np.int64), freq]).astype(np.int32)), before,
                        pa.concat_arrays([pa.StructArray.from_arrays([pa.array(heads[f.name], f.type) if not isinstance(heads[f.name], pa.Array) else heads[f.name].cast(f.type) for f in arrow_head], fields=list(arrow_head)), pa.nulls(m, arrow_head)])]
             for at in range(0, n + m, 100_000):
                 yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in columns], names=schema.names)

@@ -258,19 +258,102 @@ def test_class_model_counts_and_scores(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
-def test_class_probabilities_add_up_and_exchange_helps(spark, docs):
-    train = docs.select("text")
-    table = lm.count_terms(train, lm.with_end).cache()
-    model = lm.train_classes(train, table)
-    assert np.allclose((10.0 ** model.transitions).sum(1), 1.0)
-    assert max(model.likelihoods) >= model.likelihoods[0]
-    # Emissions of a class's words and its unseen share add up to 1.
-    sums = collections.Counter()
-    for r in table.collect():
-        if r.term != lm.END:
-            c = model.core.get(r.term, lm.ending_class_of(r.term))
-            sums[c] += (r.n + 1) / (model.sizes[c] + model.words[c] + 1)
-    assert all(abs(v + 1 / (model.sizes[c] + model.words[c] + 1) - 1) < 1e-9 for c, v in sums.items())
+def clustered_corpus(spark, n=400):
+    """Texts of a noun after each article and a verb after each noun, all with rare forms of their own."""
+    r = random.Random(5)
+    nouns, verbs = ["n%dxyz" % i for i in range(150)], ["v%dxyz" % i for i in range(150)]
+    rows = [(i, " ".join(w for _ in range(r.randint(1, 12)) for w in ("the", r.choice(nouns), "does", r.choice(verbs)))) for i in range(n)]
+    return spark.createDataFrame([*rows, (None, "the n1xyz"), (n, None), (n + 1, ""), (n + 2, "only unseen words")], "doc_id long, text string")
+
+
+def test_class_model_probabilities(spark, docs, monkeypatch):
+    for table, core in ((docs, lm.CORE), (clustered_corpus(spark), 0.05)):
+        monkeypatch.setattr(lm, "CORE", core)
+        train = table.select("text")
+        model, classes = lm.train_classes(train, lm.count_terms(train, lm.with_end).cache())
+        assert np.allclose((10.0 ** model.transitions).sum(1), 1.0)
+        assert all(x == sorted(x) for x in model.likelihoods)
+        # Every word seen often enough is clustered; emissions of such a class add up to 1, others leave a share to unseen words.
+        want = collections.Counter(t for d in table.collect() for t in (*words(d.text), lm.END))
+        got = {r.term: (r["class"], r.n) for r in classes.collect()}
+        assert {t: n for t, (_, n) in got.items()} == want and classes.count() == len(want)
+        sums = collections.Counter()
+        for term, (c, n) in got.items():
+            assert c == model.end if term == lm.END else (c < lm.CLASSES) == (n >= lm.LEAST)
+            sums[c] += (n + (lm.CLASSES <= c < model.end)) / 10.0 ** model.emissions[c]
+        assert all(abs(v - 1) < 1e-9 for v in sums.values())
+
+
+def test_a_word_moves_to_the_class_of_the_highest_likelihood():
+    r = np.random.RandomState(1)
+    words = 120
+    pairs = r.poisson(0.2 + 3.0 * ((np.arange(words)[:, None] % 3 + 1) % 3 == np.arange(words) % 3)).astype(float)
+    classes = r.randint(0, lm.CLASSES, words)
+
+    def matrix(classes):
+        g = np.zeros((lm.TOTAL, lm.TOTAL))
+        np.add.at(g, (classes[:, None].repeat(words, 1), classes[None].repeat(words, 0)), pairs)
+        return g
+
+    for w in range(0, words, 8):
+        others = np.arange(words) != w
+        right = np.bincount(classes[others], weights=pairs[w, others], minlength=lm.TOTAL)
+        left = np.bincount(classes[others], weights=pairs[others, w], minlength=lm.TOTAL)
+        g = matrix(classes)
+        g[classes[w]] -= right
+        g[:, classes[w]] -= left
+        g[classes[w], classes[w]] -= pairs[w, w]
+        values = [lm._likelihood(matrix(np.where(others, classes, c))) for c in range(lm.CLASSES)]
+        assert values[lm._best_class(g, right, left, pairs[w, w])] >= max(values) - 1e-6
+
+
+def test_rare_words_find_their_class(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CORE", 0.05)
+    train = clustered_corpus(spark).select("text")
+    model, classes = lm.train_classes(train, lm.count_terms(train, lm.with_end).cache())
+    assert set(model.core) == {"the", "does"}
+    found = {r.term: r["class"] for r in classes.collect() if r.n >= lm.LEAST}
+    nouns, verbs = {c for t, c in found.items() if t.startswith("n")}, {c for t, c in found.items() if t.startswith("v")}
+    assert nouns and verbs and not nouns & verbs
+
+
+@pytest.mark.parametrize("heavy", [1e-2, 1.1])
+def test_class_model_scores_by_brute_force(spark, monkeypatch, heavy):
+    """Some words are looked up in tasks and some joined, or all are joined."""
+    monkeypatch.setattr(lm, "CORE", 0.05)
+    monkeypatch.setattr("agora.llm.terms.HEAVY", heavy)
+    table = clustered_corpus(spark).cache()
+    source = table.collect()
+    learned = [d for d in source if d.doc_id is None or crc(d.doc_id) % 7 != 2]
+    train = spark.createDataFrame(learned, table.schema).select("text")
+    model, classes = lm.train_classes(train, lm.count_terms(train, lm.with_end).cache())
+    by_term = {r.term: (r["class"], r.n) for r in classes.collect()}
+    class_of = lambda t: by_term.get(t, (lm.ending_class_of(t), 0))[0]
+    before_of = lambda t: model.end if t == lm.END else model.core.get(t, lm.ending_class_of(t))
+    tokens = [[*words(d.text), lm.END] for d in learned]
+    moves = collections.Counter((before_of(a), class_of(b)) for t in tokens for a, b in zip([lm.END, *t], t))
+    into, out_of, sizes, kinds = (collections.Counter() for _ in range(4))
+    for (h, c), n in moves.items():
+        into[c] += n
+        out_of[h] += n
+    for t, (c, n) in by_term.items():
+        sizes[c] += n
+        kinds[c] += 1
+    total = sum(sizes.values())
+
+    def score(text):
+        value, last = 0.0, lm.END
+        for t in [*words(text), lm.END]:
+            c, n = class_of(t), by_term.get(t, (0, 0))[1]
+            share = (into[c] + lm.ALPHA) / (total + lm.ALPHA * lm.TOTAL)
+            value += math.log10((moves[before_of(last), c] + lm.PRIOR * share) / (out_of[before_of(last)] + lm.PRIOR))
+            if t != lm.END:
+                value += math.log10(n / sizes[c] if c < lm.CLASSES else (n + 1) / (max(1, sizes[c]) + kinds[c]))
+            last = t
+        return value
+
+    want = collections.Counter((d.doc_id, round(score(d.text), 6)) for d in source)
+    assert collections.Counter((r.doc_id, round(r.score, 6)) for r in lm.score_documents(table).collect()) == want
 
 
 # ---- 6
