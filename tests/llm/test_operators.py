@@ -356,6 +356,15 @@ def test_class_model_scores_by_brute_force(spark, monkeypatch, heavy):
     assert collections.Counter((r.doc_id, round(r.score, 6)) for r in lm.score_documents(table).collect()) == want
 
 
+def test_class_model_without_training_rows(spark):
+    held = [i for i in range(100) if crc(i) % 7 == 2][:3]
+    table = spark.createDataFrame(list(zip(held, ["a b c", None, "x " * 5])), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(table).collect()}
+    # Nothing is known, so every class is as likely.
+    assert [got[i].n_tokens for i in held] == [4, 1, 6]
+    assert all(r.train_tokens == r.n_known == 0 and r.base_score == 0 and abs(r.perplexity - lm.TOTAL) < 1e-6 for r in got.values())
+
+
 # ---- 6
 
 
