@@ -2,39 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_diff, surrogate_key
-from ..plans.strategy import bounded_broadcasts
+from ..plans.strategy import bounded_broadcasts, joins_known
 
 
-def fact_order_items(items: DataFrame, customers: DataFrame | None, sellers: DataFrame,
-                     products: DataFrame) -> DataFrame:
+def fact_order_items(items: DataFrame, customers: DataFrame | None, sellers: DataFrame | None,
+                     products: DataFrame | None, seen: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:
     """Enriched items that have all three dimensions (inner joins).
 
     ``customers=None`` means the customer join was already applied on the
     order side (``orders_with_customer``): the same inner join, but it shuffles
-    the orders instead of the four-times larger items.  Sellers and products
-    are broadcast when their checked size allows.
+    the orders instead of the four-times larger items. ``sellers`` and ``products``
+    may be None as well, when the items met them before (``items_with_dimensions``).
+    ``more`` names columns of the items to keep beside the fact's.
     """
+    return keyed_order_items(known_order_items(items, customers, sellers, products, seen), more)
+
+
+def known_order_items(items: DataFrame, customers: DataFrame | None, sellers: DataFrame | None,
+                      products: DataFrame | None, seen: DataFrame | None = None) -> DataFrame:
+    """The joins of E1: its rows with ids in place of keys, a third as wide. Sellers and
+    products are broadcast when their checked size allows; else, with ``seen`` (a table
+    that holds all the ids of the items), the items still stay where they are (``join_known``)."""
     j = items
     if customers is not None:
         j = j.join(customers.select("customer_id"), "customer_id")
-    s, p = bounded_broadcasts(sellers.select("seller_id"), products.select("product_id"))
-    j = j.join(s, "seller_id").join(p, "product_id")
-    return j.select(
-        surrogate_key("order_id", "order_item_id").alias("order_item_key"),
-        "order_id", "order_item_id",
+    known = [d for d in (sellers, products) if d is not None]
+    names = [c for c, d in (("seller_id", sellers), ("product_id", products)) if d is not None]
+    return joins_known(j, [d.select(c) for c, d in zip(names, known)], names, seen)
+
+
+def keyed_order_items(known: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """E1's columns from ``known_order_items``."""
+    number = [surrogate_key("order_id", "order_item_id").alias("order_item_key"), F.col("order_id"), F.col("order_item_id")]
+    return known.select(
+        *number,
         surrogate_key("customer_id").alias("customer_key"),
         surrogate_key("seller_id").alias("seller_key"),
         surrogate_key("product_id").alias("product_key"),
         F.to_date("purchase_date").alias("purchase_date"),
         F.to_date("delivered_date").alias("delivered_date"),
-        "price", "freight_value", "total_item_value",
+        "price", "freight_value", "total_item_value", *more,
     )
 
 
+def items_with_dimensions(items: DataFrame, *dimensions: tuple[str, DataFrame]) -> DataFrame:
+    """Items joined (inner, fan-out kept) to tables by an id of theirs, before they meet their orders.
+
+    An item is then shuffled once per id whose table is too large to broadcast, with no
+    column of its order, and for good by order."""
+    sides = bounded_broadcasts(*[d for _, d in dimensions])
+    for (key, _), side in zip(dimensions, sides):
+        items = items.join(side, key)
+    return items
+
+
 def fact_orders_accumulating(lifecycle: DataFrame, processed_at=None) -> DataFrame:
     """One row per order with milestone lags and the on-time flag."""
     ts = F.current_timestamp() if processed_at is None else F.lit(processed_at).cast("timestamp_ntz")

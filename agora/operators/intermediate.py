@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +50,15 @@ def int_orders_lifecycle(stg_orders: DataFrame) -> DataFrame:
     )
 
 
-def int_order_items_enriched(stg_items: DataFrame, lifecycle: DataFrame) -> DataFrame:
+def int_order_items_enriched(stg_items: DataFrame, lifecycle: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """C4; ``more`` names columns of the items to keep beside."""
     o = lifecycle.select("order_id", "customer_id", "purchase_date", "approved_date",
                          "delivered_date", "estimated_date")
     j = stg_items.join(o, "order_id")
     return j.select(
         "order_id", "order_item_id", "product_id", "seller_id", "customer_id", "purchase_date",
         "approved_date", "delivered_date", "estimated_date", "price", "freight_value",
-        "total_item_value", day_diff("purchase_date", "delivered_date").alias("days_to_deliver"),
+        "total_item_value", day_diff("purchase_date", "delivered_date").alias("days_to_deliver"), *more,
     )
 
 

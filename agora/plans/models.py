@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import dimensions as D
 from ..operators import facts as E
@@ -17,6 +18,7 @@ from ..operators import intermediate as C
 from ..operators import marts as M
 from ..operators import staging as B
 from ..sources.commerce import CommerceSource
+from .strategy import written_table
 
 # Fixed evaluation dates of the fixture runs (replace current_date).
 AS_OF_ORDERS = "2002-01-01"
@@ -29,6 +31,15 @@ class Warehouse:
         self.sf_dir = sf_dir
         self.as_of = as_of
         self.raw = CommerceSource(spark, sf_dir)
+        self._stored = False
+
+    def store_items(self, *layout: str) -> None:
+        """Write E1's rows once, by ids; its keys are made where the table is read. For
+        jobs that read them more than once. Rows are dealt by ``layout``, if given."""
+        rows = self.known_order_items.drop("approved_date", "estimated_date", "days_to_deliver")
+        if layout:
+            rows = rows.hint("rebalance", *[F.expr(c) for c in layout])
+        self.known_order_items, self._stored = written_table(rows, "order_items", "zstd"), True
 
     # --- staging (B) ---
     @cached_property
@@ -83,12 +94,30 @@ class Warehouse:
 
     # --- facts (E) ---
     @cached_property
-    def fact_order_items(self) -> DataFrame:
+    def _orders_with_customer(self) -> DataFrame:
+        return E.orders_with_customer(self.int_orders_lifecycle, self.int_customers_geocoded)
+    @cached_property
+    def known_order_items(self) -> DataFrame:
         # Same rows as E1 over int_order_items_enriched; the customer join runs
         # on the order side first so the items are shuffled once (by order_id).
-        orders = E.orders_with_customer(self.int_orders_lifecycle, self.int_customers_geocoded)
-        items = C.int_order_items_enriched(self.stg_order_items, orders)
-        return E.fact_order_items(items, None, self.int_sellers_geocoded, self.int_products_cleaned)
+        items = C.int_order_items_enriched(self.stg_order_items, self._orders_with_customer)
+        return E.known_order_items(items, None, self.int_sellers_geocoded, self.int_products_cleaned, self.raw.item_ids)
+    @cached_property
+    def fact_order_items(self) -> DataFrame: return E.keyed_order_items(self.known_order_items)
+
+    def mart_items(self, states_and_categories: bool = False) -> DataFrame:
+        """E1's rows with their ids for marts, which read no item number: the items meet
+        sellers and products before their orders, so that the last shuffle is by order."""
+        more = ["seller_state", "product_category_name"] if states_and_categories else []
+        named = [("seller_id", self.dim_seller.select("seller_id", "seller_state")),
+                 ("product_id", self.dim_product.select("product_id", "product_category_name"))] if more else []
+        ids = ["customer_id", "seller_id", "product_id"]
+        if self._stored:
+            return E.keyed_order_items(E.items_with_dimensions(self.known_order_items, *named), [*ids, *more])
+        items = E.items_with_dimensions(self.stg_order_items, ("seller_id", self.int_sellers_geocoded.select("seller_id")),
+                                        ("product_id", self.int_products_cleaned.select("product_id")), *named)
+        items = C.int_order_items_enriched(items, self._orders_with_customer, more)
+        return E.fact_order_items(items, None, None, None, more=[*ids, *more])
     @cached_property
     def fact_orders_accumulating(self) -> DataFrame:
         return E.fact_orders_accumulating(self.int_orders_lifecycle, processed_at=self.as_of)
@@ -99,16 +128,16 @@ class Warehouse:
 
     # --- marts (F) ---
     def mart_sales_metrics(self, as_written: bool = False, dedupe_reviews: bool = False) -> DataFrame:
-        return M.mart_sales_metrics(self.fact_order_items, self.dim_customer, self.dim_seller,
+        return M.mart_sales_metrics(self.mart_items(states_and_categories=True), self.dim_customer, self.dim_seller,
                                     self.dim_product, self.fact_orders_accumulating, self.fact_reviews,
                                     as_written=as_written, dedupe_reviews=dedupe_reviews)
 
     @cached_property
     def mart_customer_metrics(self) -> DataFrame:
-        return M.mart_customer_metrics(self.fact_order_items, self.fact_reviews,
+        return M.mart_customer_metrics(self.mart_items(), self.fact_reviews,
                                        self.fact_orders_accumulating, self.dim_customer, self.as_of)
 
     @cached_property
     def mart_product_metrics(self) -> DataFrame:
-        return M.mart_product_metrics(self.fact_order_items, self.fact_reviews, self.dim_product,
+        return M.mart_product_metrics(self.mart_items(), self.fact_reviews, self.dim_product,
                                       self.as_of)

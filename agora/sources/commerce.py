@@ -155,6 +155,11 @@ class CommerceSource:
             F.col("l_quantity").cast("decimal(10,2)").alias("freight_value"),
         )
 
+    @cached_property
+    def item_ids(self) -> DataFrame:
+        """The product and seller ids of ``order_items``, without the items' numbers."""
+        return self.t("lineitem").select(_id("P", "l_partkey").alias("product_id"), _id("S", "l_suppkey").alias("seller_id"))
+
     @cached_property
     def order_payments(self) -> DataFrame:
         o = self.t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice")

@@ -60,3 +60,22 @@ def test_facts_are_not_shuffled_on_small_keys(spark):
     p = _plan(E.queries()["Q4_payment_distribution"](spark, SF_SMALL))
     assert re.search(r"Exchange hashpartitioning\(payment_type_key[^\n]*\n[^\n]*HashAggregate\(keys=\[payment_type_key[^\n]*partial_sum", p)
     assert "hashpartitioning(product_key" not in _plan(E.queries()["Q1_top_categories_by_revenue"](spark, SF_SMALL))
+
+
+@pytest.fixture()
+def nothing_is_small(monkeypatch):
+    """Dimensions as large as at scale: no side is broadcast."""
+    from agora.plans import strategy
+    monkeypatch.setattr(strategy, "are_small", lambda *dfs, **_: [False] * len(dfs))
+
+
+@pytest.mark.parametrize("name", ["F1_mart_sales_metrics", "F1_mart_sales_metrics_dedupe", "F1_mart_sales_metrics_as_written",
+                                  "F2_mart_customer_metrics", "F3_mart_product_metrics"])
+def test_items_of_marts_meet_dimensions_by_id_and_orders_last(spark, nothing_is_small, name):
+    """One shuffle of the items per large dimension and one by order; orders are counted where they are."""
+    p = _plan(E.queries()[name](spark, SF_SMALL))
+    items = [part for part in re.split(r"Exchange ", p) if part.startswith("hashpartitioning(")]
+    by = [re.match(r"hashpartitioning\(([a-z_]+)#\d+(, [a-z_]+#\d+)*", part).group(0) for part in items if re.match(r"hashpartitioning\([a-z_]+#", part)]
+    assert not [b for b in by if "seller_key" in b or re.search(r"(customer|product)_key#\d+, order_id|o_order_id#\d+, ", b)]
+    assert sum("l_orderkey" in part.split("FileScan")[1] for part in items if "FileScan parquet" in part
+               and re.match(r"hashpartitioning\((order_id|seller_id|product_id)#", part)) <= 3
