@@ -37,8 +37,10 @@ FOI = ("order_item_key, order_id, order_item_id, customer_key, seller_key, produ
   UNION ALL SELECT * FROM sl)"""))
 def q_merge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier load up to CUT, then a restated full source (freight + 1)."""
-    f = Warehouse(spark, sf_dir).fact_order_items
-    target = written_table(f.filter(F.col("purchase_date") < F.lit(CUT).cast("date")), "fact_order_items")
+    w = Warehouse(spark, sf_dir)
+    w.store_items()
+    f = w.fact_order_items
+    target = written_table(f.filter(F.col("purchase_date") < F.lit(CUT).cast("date")), "fact_order_items", "zstd")
     source = f.withColumn("freight_value", F.col("freight_value") + 1)
     return I.merge_order_items(target, source)
 
@@ -55,14 +57,16 @@ def q_merge_items_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I1 on a table partitioned by purchase month: only the months in the
     incremental slice are rewritten (dynamic partition overwrite)."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/agora/partitioned/{uuid.uuid4().hex}"
-    f = Warehouse(spark, sf_dir).fact_order_items.withColumn("purchase_month",
-                                                            F.date_format("purchase_date", "yyyy-MM"))
-    f.filter(F.col("purchase_date") < F.lit(CUT).cast("date")).write.partitionBy("purchase_month").parquet(
-        f"{base}/table")
+    w = Warehouse(spark, sf_dir)
+    w.store_items("date_format(purchase_date, 'yyyy-MM')")
+    f = w.fact_order_items.withColumn("purchase_month", F.date_format("purchase_date", "yyyy-MM"))
+    I.merge_into_partitions(f.filter(F.col("purchase_date") < F.lit(CUT).cast("date")), f"{base}/table", ["order_item_key"],
+                            ["purchase_month"], f"{base}/first", dealt=True, compression="zstd")
     target = spark.read.parquet(f"{base}/table")
     hi = target.select(F.coalesce(F.max("purchase_date"), F.lit("1900-01-01").cast("date"))).scalar()
     slice_ = f.withColumn("freight_value", F.col("freight_value") + 1).filter(F.col("purchase_date") >= hi)
-    I.merge_into_partitions(slice_, f"{base}/table", ["order_item_key"], ["purchase_month"], f"{base}/stage")
+    I.merge_into_partitions(slice_, f"{base}/table", ["order_item_key"], ["purchase_month"], f"{base}/stage",
+                            dealt=True, compression="zstd")
     out = spark.read.parquet(f"{base}/table")
     return out.select(*[c for c in f.columns if c != "purchase_month"],
                       F.col("purchase_month").cast("string").alias("purchase_month"))

@@ -33,12 +33,12 @@ class Warehouse:
         self.raw = CommerceSource(spark, sf_dir)
         self._stored = False
 
-    def store_items(self, *layout: str) -> None:
+    def store_items(self, layout: str | None = None) -> None:
         """Write E1's rows once, by ids; its keys are made where the table is read. For
-        jobs that read them more than once. Rows are dealt by ``layout``, if given."""
+        jobs that read them more than once. Rows are dealt by the expression ``layout``, if given."""
         rows = self.known_order_items.drop("approved_date", "estimated_date", "days_to_deliver")
         if layout:
-            rows = rows.hint("rebalance", *[F.expr(c) for c in layout])
+            rows = rows.withColumn("_at", F.expr(layout)).hint("rebalance", "_at").drop("_at")
         self.known_order_items, self._stored = written_table(rows, "order_items", "zstd"), True
 
     # --- staging (B) ---

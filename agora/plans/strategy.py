@@ -79,7 +79,7 @@ def joins_known(rows: DataFrame, known: list[DataFrame], keys: list[str], seen:
             rows = rows.join(F.broadcast(side) if small else side, key)
             continue
         held = side.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        odd = (seen.select(key).distinct().join(held, key, "left").filter(F.col("_n").isNull() | (F.col("_n") > 1))
+        odd = (seen.select(key).filter(F.col(key).isNotNull()).distinct().join(held, key, "left").filter(F.col("_n").isNull() | (F.col("_n") > 1))
                .select(key, F.coalesce("_n", F.lit(0)).cast("int").alias("_n")))
         odd = written_table(odd, f"odd_{key}")
         if odd.limit(max_rows + 1).count() > max_rows:
