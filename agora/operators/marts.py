@@ -6,7 +6,7 @@ are doubles rounded to 6 places so every engine agrees on them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import customer_segment, day_diff, surrogate_key
@@ -84,16 +84,16 @@ def mart_sales_metrics(fact_items: DataFrame, dim_customer: DataFrame, dim_selle
               "s_sum": "s_sum", "s_n": "s_n", "s_pos": "s_pos"}
     counted = {"price_n": "price", "value_n": "total_item_value", "approve_n": "purchase_to_approve_days",
                "deliver_n": "ship_to_deliver_days"}
-    orders = j.groupBy(*group[:3], F.trunc("purchase_date", "month").alias("order_month"), "o_order_id").agg(
+    rows = j.groupBy(*group[:3], F.trunc("purchase_date", "month").alias("order_month"), "o_order_id",
+                     oi[customer].cast("string").alias("customer"), oi[seller].cast("string").alias("seller")).agg(
         *[F.sum(c).alias(k) for k, c in summed.items()], *[F.count(c).alias(k) for k, c in counted.items()],
-        F.count(F.lit(1)).alias("items"), F.collect_set(customer).alias("customers"), F.collect_set(seller).alias("sellers"))
-    entry = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("id"))
-    entries = F.concat(F.array(entry("sums", F.lit(None))), F.transform("customers", lambda x: entry("customer", x)),
-                       F.transform("sellers", lambda x: entry("seller", x)))
+        F.count(F.lit(1)).alias("items"))
+    first = F.row_number().over(Window.partitionBy("o_order_id", *group).orderBy("seller", "customer")) == 1
+    entry = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("id"))
+    entries = F.array(entry("sums", F.lit(None).cast("string")), entry("customer", F.col("customer")), entry("seller", F.col("seller")))
     sums = [*summed, *counted, "items", "orders"]
-    first = F.col("e.kind") == "sums"
-    spread = orders.withColumn("orders", F.lit(1)).withColumn("e", F.explode(entries)).select(
-        *group, "e.kind", "e.id", *[F.when(first, F.col(c)).alias(c) for c in sums])
+    spread = rows.withColumn("orders", first.cast("long")).withColumn("e", F.explode(entries)).select(
+        *group, "e.kind", "e.id", *[F.when(F.col("e.kind") == "sums", F.col(c)).alias(c) for c in sums])
     add = [F.sum(c).alias(c) for c in sums]
     g = spread.groupBy(*group, "kind", "id").agg(*add).groupBy(*group).agg(
         *add, F.count_if(F.col("kind") == "customer").alias("customers"), F.count_if(F.col("kind") == "seller").alias("sellers"))
