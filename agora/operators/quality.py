@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.strategy import bounded_broadcast
+
 
 def dq_unique(df: DataFrame, col: str) -> DataFrame:
     """H1: non-NULL values seen more than once, with their count."""
@@ -149,7 +151,8 @@ def dq_suite(model: str, df: DataFrame, tests: Sequence[Test]) -> DataFrame:
     """All tests of a model in one result table (model, test, failures, status).
 
     Row-local tests share one aggregate pass over the model; each ``unique``
-    and ``relationships`` test adds one keyed aggregation.
+    and ``relationships`` test adds one keyed aggregation. The model is read once per
+    such test, so it should be a table.
     """
     local = [t for t in tests if t.kind in ("not_null", "accepted_values", "accepted_range")]
     results: list[DataFrame] = []
@@ -169,8 +172,10 @@ def dq_suite(model: str, df: DataFrame, tests: Sequence[Test]) -> DataFrame:
         if t.kind == "unique":
             bad = dq_unique(df, t.column).agg(F.count(F.lit(1)).alias("failures"))
         elif t.kind == "relationships":
-            bad = dq_relationships(df.select(t.column), t.column, t.parent, t.parent_key).agg(
-                F.count(F.lit(1)).alias("failures"))
+            # Only distinct keys, with their number, meet the parent.
+            keys = df.filter(F.col(t.column).isNotNull()).groupBy(t.column).agg(F.count(F.lit(1)).alias("_n"))
+            parent = bounded_broadcast(t.parent.select(t.parent_key))
+            bad = dq_relationships(keys, t.column, parent, t.parent_key).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("failures"))
         else:
             continue
         results.append(bad.select(F.lit(t.name).alias("test_name"), "failures"))

@@ -168,6 +168,7 @@ def _suite_sql() -> str:
 def q_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All declared tests of fact_order_items in one result table."""
     w = Warehouse(spark, sf_dir)
+    w.store_items()
     T = H.Test
     tests = [T("not_null", "freight_value"), T("not_null", "total_item_value"), T("not_null", "price"),
              T("not_null", "order_item_key"),
@@ -176,6 +177,5 @@ def q_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
              T("relationships", "customer_key", parent=w.dim_customer, parent_key="customer_key"),
              T("relationships", "seller_key", parent=w.dim_seller, parent_key="seller_key"),
              T("relationships", "product_key", parent=w.dim_product, parent_key="product_key")]
-    # Each test reads only the columns it needs from the model; on a cluster the
-    # suite is pointed at the built model table instead (``written_table``).
+    # Each test reads only the columns it needs of the rows that are written here.
     return H.dq_suite("fact_order_items", w.fact_order_items, tests)
