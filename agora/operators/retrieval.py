@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_spans
 
+BATCH_BYTES = 4 << 20           # of texts that reach a task at once
+OUT_CHARS = 4 << 20             # of chunks that leave it at once
 MAX_DISTANCE = 10.0            # results at or beyond this distance are dropped
 
 
@@ -28,21 +30,27 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     """One row per chunk (doc_id, chunk_no, chunk_start, chunk_end, chunk_text, chunk_chars, meta...).
 
     Documents stay where Spark put them; each task splits its own documents
-    (whole texts), so the work spreads with the number of partitions.
+    (whole texts), so the work spreads with the number of partitions. What a task holds
+    is bounded by bytes: batches going in by the setting, chunks going out here.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     meta = [m for m in meta if m in docs.columns]
     schema = (f"{id_col} long, chunk_no int, chunk_start int, chunk_end int, chunk_text string, chunk_chars int"
               + "".join(f", {m} string" for m in meta))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [id_col, "chunk_no", "chunk_start", "chunk_end", "chunk_text", "chunk_chars", *meta]
         for pdf in it:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                d = r._asdict()
-                text = d[text_col] or ""
+            rows, held = [], 0
+            for key, text, *more in pdf.itertuples(index=False, name=None):
+                text = text or ""
                 for i, (a, b) in enumerate(chunk_spans(text, size, overlap)):
-                    rows.append((d[id_col], i, a, b, text[a:b], b - a, *[d[m] for m in meta]))
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "chunk_start", "chunk_end", "chunk_text", "chunk_chars", *meta])
+                    rows.append((key, i, a, b, text[a:b], b - a, *more))
+                    held += b - a
+                    if held >= OUT_CHARS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(id_col, text_col, *meta).mapInPandas(run, schema)
 

@@ -669,3 +669,34 @@ def test_declared_tests_find_what_is_wrong(spark):
     empty = H.dq_model("m", t.limit(0), tests, {"p": p}).collect()
     assert [r.status for r in empty] == ["pass"] * 5
     assert sum(map(len, declared().values())) + 2 == 104
+
+
+def test_upsert_few_moves_only_rows_that_meet(spark):
+    """Same table as the full upsert, nulls and value columns included; and by the plain way where many rows meet."""
+    t = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "k int, v string, w int")
+    s = spark.createDataFrame([(2, "B", 9), (3, "c", 9), (None, "m", 9)], "k int, v string, w int")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for cols in (None, ["w"]):
+        whole = rows(I.upsert_by_key(t, s, ["k"], cols))
+        assert rows(I.upsert_few(t, s, ["k"], cols)) == whole == rows(I.upsert_few(t, s, ["k"], cols, max_rows=0))
+
+
+def test_joins_known_keeps_rows_where_they_are(spark):
+    """A key table too large to broadcast: missing, repeated and null keys as in the plain join, without its shuffle."""
+    from agora.plans.strategy import joins_known
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4), ("b", 5)], "k string, v int")
+    known = spark.createDataFrame([(c,) for c in "bbac"] + [("z",)], "k string").filter("k <> 'c'")
+    got = joins_known(rows, [known], ["k"], rows, max_rows=2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(known, "k").collect())) == [("a", 1)] + [("b", 2)] * 2 + [("b", 5)] * 2
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_leave_a_task_in_bounded_pieces(spark, monkeypatch):
+    """No Arrow batch of documents or chunks grows with the number of rows."""
+    docs = spark.createDataFrame([(i, "word " * 400) for i in range(300)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(R, "BATCH_BYTES", 100_000)
+    ch = R.chunk_documents(docs)
+    sizes = ch.select("chunk_text", "chunk_chars").mapInPandas(
+        lambda it: (p[["chunk_chars"]].sum().to_frame("s") for p in it), "s long").collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "100000"
+    assert len(sizes) > 1 and sum(r.s for r in sizes) == ch.agg({"chunk_chars": "sum"}).first()[0]
