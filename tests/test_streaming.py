@@ -214,3 +214,11 @@ def test_invoice_landing_stream(spark, tmp_dir):
     got = sorted(r.invoice_id for r in spark.read.parquet(out).collect())
     assert got == ["I1", "I2", "I3"]
     assert {f for f in os.listdir(out) if not f.startswith(("_", "."))} <= {f"bucket={i}" for i in range(sinks.BUCKETS)}
+
+
+def test_invoice_is_parsed_once(spark):
+    """No filter of the checks moves down to where the message is made, to parse it again for every field."""
+    from agora.plans.catalog import queries
+    for name in ("S11_invoice_landing", "S11_invoice_landing_strict"):
+        plan = queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1, name
