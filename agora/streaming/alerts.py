@@ -7,7 +7,7 @@ micro-batch's amounts as whole arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -214,7 +214,7 @@ def alert_upsert(alerts: DataFrame, target: DataFrame | None = None) -> DataFram
 # ---------------------------------------------------------------------------
 BUCKET_STATE = "days array<long>, cents array<long>, last_alert long, offset long"
 ROLLING_OUT = "user_id string, kind string, cents long, bucket_count int, event_time_ms long"
-TOTAL_STATE = "cents long, n long, offset long"
+ROLLING_COLUMNS = [c.split()[0] for c in ROLLING_OUT.split(", ")]
 TOTAL_OUT = "user_id string, cents long, run_n long, event_time_ms long"
 
 
@@ -245,14 +245,12 @@ def window_totals(buckets: dict[int, int], days: np.ndarray, cents: np.ndarray,
 
 
 def _rolling_state(window_days: int, threshold: int, expire: bool):
-    columns = [c.split()[0] for c in ROLLING_OUT.split(", ")]
-
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             # The arrival clock has passed the user's last window: nothing left counts any more.
             last_day = max(state.get[0])
             state.remove()
-            yield pd.DataFrame([(key[0], "expired", None, None, (last_day + window_days + 1) * DAY_MS)], columns=columns)
+            yield pd.DataFrame([(key[0], "expired", None, None, (last_day + window_days + 1) * DAY_MS)], columns=ROLLING_COLUMNS)
             return
         days, held, last, seen = state.get if state.exists else ([], [], None, None)
         buckets = dict(zip(days, held))
@@ -278,29 +276,123 @@ def _rolling_state(window_days: int, threshold: int, expire: bool):
     return fn
 
 
+#: Users share a state row by the hash of their id: a call of Python costs milliseconds however few rows it gets, so
+#: calls must not grow with the users. A row holds users / USER_GROUPS of them. Fixed for the life of a checkpoint.
+USER_GROUPS = 8192
+GROUP_BUCKET_STATE = ("users array<string>, n_days array<int>, days array<long>, cents array<long>, last_alert array<long>, "
+                      "offset array<long>")
+GROUP_TOTAL_STATE = "users array<string>, cents array<long>, n array<long>, offset array<long>"
+
+
+def user_arrivals(pdfs: Iterator[pd.DataFrame], seen: Callable[[str], int | None]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per user with rows in a micro-batch: user, cents, event times and offsets in order of arrival, each offset once;
+    without the offsets up to the one that ``seen`` gives for the user."""
+    parts = [p for p in pdfs if len(p)]
+    if not parts:
+        return
+    column = lambda c: np.concatenate([p[c].to_numpy() for p in parts])
+    codes, users = pd.factorize(column("user_id"))
+    cents, ms, offset = (column(c).astype(np.int64) for c in ("cents", "event_time_ms", "offset"))
+    order = np.lexsort((offset, codes))
+    codes, cents, ms, offset = codes[order], cents[order], ms[order], offset[order]
+    once = np.ones(len(codes), dtype=bool)
+    once[1:] = (codes[1:] != codes[:-1]) | (offset[1:] != offset[:-1])
+    codes, cents, ms, offset = codes[once], cents[once], ms[once], offset[once]
+    ends = np.searchsorted(codes, np.arange(len(users)), side="right").tolist()
+    start = 0
+    for user, end in zip(users, ends):
+        known = seen(user)
+        if known is not None:
+            start += int(np.searchsorted(offset[start:end], known, side="right"))
+        yield user, cents[start:end], ms[start:end], offset[start:end]
+        start = end
+
+
+def _rolling_group_state(window_days: int, threshold: int, expire: bool):
+    """``_rolling_state`` for all users of a group at once."""
+
+    def held(state) -> dict[str, tuple[dict[int, int], int | None, int | None]]:
+        if not state.exists:
+            return {}
+        users, n_days, days, cents, last, seen = state.get
+        found, at = {}, 0
+        for user, n, alerted, offset in zip(users, n_days, last, seen):
+            found[user] = dict(zip(days[at:at + n], cents[at:at + n])), alerted, offset
+            at += n
+        return found
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        known = held(state)
+        mark = state.getCurrentWatermarkMs() if expire else None
+        gone = lambda buckets: (max(buckets) + window_days + 1) * DAY_MS
+        out, came = [], set()
+
+        def add(user: str, kind: str, cents, active, ms) -> None:
+            out.append((np.full(len(ms), user, dtype=object), np.full(len(ms), kind, dtype=object), cents, active, ms))
+
+        # A timeout brings no rows.
+        for user, cents, ms, offset in user_arrivals(() if state.hasTimedOut else pdfs, lambda u: known[u][2] if u in known else None):
+            came.add(user)
+            if not len(offset):
+                continue
+            buckets, last, _ = known.get(user, ({}, None, None))
+            seen = int(offset[-1])
+            if expire and (late := ms < mark).any():
+                # Behind the watermark: buckets that count with it may be gone.
+                add(user, "late", cents[late], np.zeros(int(late.sum()), dtype=np.int32), ms[late])
+                cents, ms = cents[~late], ms[~late]
+            if len(ms):
+                totals, active = window_totals(buckets, ms // DAY_MS, cents, window_days)
+                alert, last = fired(totals, threshold, last)
+                if alert.any():
+                    add(user, "alert", totals[alert], active[alert], ms[alert])
+            if buckets:
+                known[user] = buckets, last, seen
+        if expire:
+            # The arrival clock has passed these users' last window: nothing left counts any more.
+            idle = [u for u, (buckets, _, _) in known.items() if u not in came and gone(buckets) < mark]
+            for user in idle:
+                at = gone(known.pop(user)[0])
+                add(user, "expired", np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int32), np.array([at]))
+        if known:
+            days = [sorted(buckets) for buckets, _, _ in known.values()]
+            state.update((list(known), [len(d) for d in days], [d for ds in days for d in ds],
+                          [buckets[d] for ds, (buckets, _, _) in zip(days, known.values()) for d in ds],
+                          [last for _, last, _ in known.values()], [seen for _, _, seen in known.values()]))
+            if expire:
+                state.setTimeoutTimestamp(max(min(gone(buckets) for buckets, _, _ in known.values()), mark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(dict(zip(ROLLING_COLUMNS, (np.concatenate(c) for c in zip(*out)))))
+
+    return fn
+
+
 def _stateful_input(tx: DataFrame) -> DataFrame:
     arrived = F.col("arrived_ms") if "arrived_ms" in tx.columns else F.col("event_time_ms")
     return tx.select("user_id", (F.abs("amount") * 100).cast("long").alias("cents"), "event_time_ms", F.col("tie").cast("long").alias("offset"),
-                     arrived.alias("arrived_ms"))
+                     arrived.alias("arrived_ms"), F.pmod(F.xxhash64("user_id"), F.lit(USER_GROUPS)).cast("int").alias("user_group"))
 
 
 def rolling_state_stream(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD, state_ttl: str | None = None) -> DataFrame:
     """S7 streaming form with everything its state tells: rows of ``kind`` alert, late, expired.
 
     Events count in order of arrival (``tie``, the offset); offsets that were seen are
-    skipped. State is at most ``window_days + 1`` buckets per user. With ``state_ttl``
+    skipped. State is at most ``window_days + 1`` buckets per user, kept by groups of
+    users (``USER_GROUPS``). With ``state_ttl``
     (S6, e.g. ``'5 seconds'``) a watermark with that delay follows the clock of arrival
     (``arrived_ms``; where it is missing the event time, and Spark drops what is late
     itself): a user whose last window it has passed leaves an ``expired`` row and no
     state, and an event whose own time is behind it is a ``late`` row that counts in no
     total. Without it nothing expires and nothing is late, as in the original.
     """
-    fn = _rolling_state(window_days, int(Decimal(str(threshold)) * 100), state_ttl is not None)
+    fn = _rolling_group_state(window_days, int(Decimal(str(threshold)) * 100), state_ttl is not None)
     t, timeout = _stateful_input(tx), "NoTimeout"
     if state_ttl is not None:
         t = t.withColumn("arrived_at", F.timestamp_millis("arrived_ms")).withWatermark("arrived_at", state_ttl)
         timeout = "EventTimeTimeout"
-    return t.groupBy("user_id").applyInPandasWithState(fn, ROLLING_OUT, BUCKET_STATE, "append", timeout)
+    return t.groupBy("user_group").applyInPandasWithState(fn, ROLLING_OUT, GROUP_BUCKET_STATE, "append", timeout)
 
 
 def rolling_alert_stream(tx: DataFrame, window_days: int = WINDOW_DAYS, threshold=THRESHOLD,
@@ -311,26 +403,32 @@ def rolling_alert_stream(tx: DataFrame, window_days: int = WINDOW_DAYS, threshol
                         "bucket_count", "event_time_ms")
 
 
-def _total_state(threshold: int):
+def _total_group_state(threshold: int):
+    columns = [c.split()[0] for c in TOTAL_OUT.split(", ")]
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, n, seen = state.get if state.exists else (0, 0, None)
-        rows = arrivals(pdfs, seen)
-        if len(rows):
-            totals = held + np.cumsum(rows["cents"].to_numpy(np.int64))
-            count = n + np.arange(1, len(rows) + 1)
+        known = {u: held for u, *held in zip(*state.get)} if state.exists else {}
+        out = []
+        for user, cents, ms, offset in user_arrivals(pdfs, lambda u: known[u][2] if u in known else None):
+            if not len(offset):
+                continue
+            held, n, _ = known.get(user, (0, 0, None))
+            totals, count = held + np.cumsum(cents), n + np.arange(1, len(cents) + 1)
+            known[user] = int(totals[-1]), int(count[-1]), int(offset[-1])
             over = totals >= threshold
-            state.update((int(totals[-1]), int(count[-1]), int(rows["offset"].iloc[-1])))
-            yield pd.DataFrame({"user_id": key[0], "cents": totals[over], "run_n": count[over],
-                                "event_time_ms": rows["event_time_ms"].to_numpy(np.int64)[over]})
+            out.append((np.full(int(over.sum()), user, dtype=object), totals[over], count[over], ms[over]))
+        state.update((list(known), *([held[i] for held in known.values()] for i in range(3))))
+        if out:
+            yield pd.DataFrame(dict(zip(columns, (np.concatenate(c) for c in zip(*out)))))
 
     return fn
 
 
 def cumulative_alert_stream(tx: DataFrame, threshold=THRESHOLD) -> DataFrame:
-    """S8 streaming form: state is a user's total, number of transactions and last offset;
+    """S8 streaming form: state is a user's total, number of transactions and last offset, by groups of users;
     every transaction that arrives at or above the threshold gives an alert row."""
-    fn = _total_state(int(Decimal(str(threshold)) * 100))
-    found = _stateful_input(tx).groupBy("user_id").applyInPandasWithState(fn, TOTAL_OUT, TOTAL_STATE, "append", "NoTimeout")
+    fn = _total_group_state(int(Decimal(str(threshold)) * 100))
+    found = _stateful_input(tx).groupBy("user_group").applyInPandasWithState(fn, TOTAL_OUT, GROUP_TOTAL_STATE, "append", "NoTimeout")
     return cumulative_rows(found.withColumn("total", (F.col("cents").cast("decimal(20,0)") / 100).cast(MONEY)), threshold)
 
 

@@ -5,6 +5,8 @@ import json
 import os
 import uuid
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +224,78 @@ def test_invoice_is_parsed_once(spark):
     for name in ("S11_invoice_landing", "S11_invoice_landing_strict"):
         plan = queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parseJson") == 1, name
+
+
+class _GroupState:
+    """A state row in memory; a timeout is a call without rows."""
+    hasTimedOut, exists, mark = False, False, 0
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.exists = False
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.mark
+        self.at = at
+
+
+def test_users_of_a_group_are_apart():
+    """A state row of many users gives each what a row of their own gave, redeliveries and late events included."""
+    rng = np.random.default_rng(5)
+    n = 600
+    rows = pd.DataFrame({"user_id": rng.choice([f"u{i}" for i in range(20)], n), "cents": rng.choice([1, 2, 150, 40_000], n),
+                         "event_time_ms": np.sort(rng.integers(0, 20 * cdc.DAY_MS, n)) + rng.integers(0, 2 * cdc.DAY_MS, n),
+                         "offset": np.arange(n)})
+    batches = [rows[:250], pd.concat([rows[100:400], rows[150:200]]).sample(frac=1, random_state=1), rows[400:]]
+    fn, group, got, want = S._rolling_group_state(3, 50_000, False), _GroupState(), [], []
+    one, alone = S._rolling_state(3, 50_000, False), {}
+    totals, sums, total_rows = S._total_group_state(90_000), _GroupState(), []
+    for b in batches:
+        for out in fn((0,), iter([b[:70], b[70:]]), group):
+            got += list(out.itertuples(index=False, name=None))
+        for out in totals((0,), iter([b]), sums):
+            total_rows += list(out.itertuples(index=False, name=None))
+        for user, own in b.groupby("user_id"):
+            for out in one((user,), iter([own]), alone.setdefault(user, _GroupState())):
+                want += list(out.itertuples(index=False, name=None))
+    assert sorted(got) == sorted(want) and len(got) > 100
+    assert sorted(group.get[0]) == sorted(alone)
+    run = rows.assign(total=rows.groupby("user_id")["cents"].cumsum(), k=rows.groupby("user_id").cumcount() + 1)
+    over = run[run["total"] >= 90_000][["user_id", "total", "k", "event_time_ms"]]
+    assert sorted(total_rows) == sorted(over.itertuples(index=False, name=None)) and len(total_rows) > 100
+
+
+def test_only_idle_users_of_a_group_expire():
+    """The group's timeout is that of its first idle user; the others keep their state."""
+    day, fn, state = cdc.DAY_MS, S._rolling_group_state(2, 1000, True), _GroupState()
+    frame = lambda *r: pd.DataFrame(r, columns=["user_id", "cents", "event_time_ms", "offset"])
+    assert not list(fn((0,), iter([frame(("idle", 600, 10 * day, 1), ("busy", 600, 12 * day, 2))]), state))
+    assert state.at == 13 * day
+    state.mark, state.hasTimedOut = 13 * day + 1, True
+    out = pd.concat(fn((0,), iter([frame()]), state))
+    assert out[["user_id", "kind", "event_time_ms"]].values.tolist() == [["idle", "expired", 13 * day]]
+    assert state.get[0] == ["busy"] and state.at == 15 * day
+    state.mark, state.hasTimedOut = 15 * day + 1, False
+    # Rows in the batch keep a user's state; what came late counts nowhere.
+    out = pd.concat(fn((0,), iter([frame(("busy", 600, 13 * day, 3), ("new", 2000, 16 * day, 4))]), state))
+    assert sorted(out[["user_id", "kind"]].values.tolist()) == [["busy", "late"], ["new", "alert"]]
+    state.mark, state.hasTimedOut = 19 * day + 1, True
+    assert sorted(pd.concat(fn((0,), iter([frame()]), state))["user_id"]) == ["busy", "new"] and not state.exists
+
+
+def test_state_rows_are_bounded_by_groups(spark, tmp_dir, monkeypatch):
+    """Users share state rows, so calls don't grow with the users; the alerts stay those of the batch form."""
+    monkeypatch.setattr(S, "USER_GROUPS", 2)
+    src, out = f"{tmp_dir}/src", f"{tmp_dir}/out"
+    for i, ch in enumerate(_write_envelope_files(spark, src, n_files=2)):
+        _dump(src, i, ch)
+    q = sinks.checkpointed_run(_alert_stream(spark, src), sinks.idempotent_parquet(out), f"groups_{uuid.uuid4().hex[:6]}")
+    q.awaitTermination(300)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    got = sorted((r.user_id, r.total_amount, r.bucket_count) for r in spark.read.parquet(out).collect())
+    assert got == _batch_alerts(spark) and len({r[0] for r in got}) > 2
