@@ -168,7 +168,8 @@ def q_upsert_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     without a new alert stay, others keep when they were created."""
     events = read_table(spark, sf_dir, "events")
     cut = events.select((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("at")).scalar()
-    found = S.rolling_alert(S.transactions(_env(spark, sf_dir)), window_days=7, threshold=900)
+    # Written once: the table, its untouched rows and the merged ones would each find all alerts anew.
+    found = written_table(S.rolling_alert(S.transactions(_env(spark, sf_dir)), window_days=7, threshold=900), "found_alerts")
     before = F.col("detected_at") < F.lit(cut).cast("timestamp_ntz")
     table = written_table(S.alert_upsert(found.filter(before)), "user_alerts")
     return S.alert_upsert(found.filter(~before), table)

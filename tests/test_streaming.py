@@ -299,3 +299,10 @@ def test_state_rows_are_bounded_by_groups(spark, tmp_dir, monkeypatch):
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
     got = sorted((r.user_id, r.total_amount, r.bucket_count) for r in spark.read.parquet(out).collect())
     assert got == _batch_alerts(spark) and len({r[0] for r in got}) > 2
+
+
+def test_alerts_of_an_upsert_are_found_once(spark):
+    """What is put into the table reads the alerts that were found, not the changes again."""
+    from agora.plans.catalog import queries
+    files = queries()["S9_alert_upsert_into_target"](spark, SF_SMALL).inputFiles()
+    assert files and all("/found_alerts-" in f or "/user_alerts-" in f for f in files)
