@@ -8,10 +8,10 @@ meet if length, position and suffix filters let them, and each pair of classes i
 verified once on the whole sets.
 
 Links are wanted as components, so a prefix group of near copies is not expanded into
-pairs: first every member meets one leader of its group (a pair per row), and after
-these links are verified only members that are still in different components meet.
-Every pair of different components that passes the filters is verified; no link is
-lost.
+pairs: every member meets one leader of its group (a pair per row), the links found join
+components, and the leader, who has met all, leaves the group. After some such meetings
+only members that are still in different components meet one another. Every pair of
+different components that passes the filters is verified; no link is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ PARITY, RANGES, FINE = 512, 16, 256
 HUGE = 60_000
 #: Text bytes whose sets and sketches a task holds at once: some 100 bytes of arrays for a byte pair of text.
 PREFIX_BYTES = 2 << 20
+#: Meetings with a leader before all members that are left meet. More only cost time; none loses a link.
+MEETINGS = 2
 #: Classes to verify up to which their ids are sent to the texts; beyond, the texts are shuffled by id.
 SENT = 500_000
 
@@ -145,14 +147,36 @@ class _Ranks:
         return rank
 
 
+def class_rows(docs: DataFrame, n: int) -> DataFrame:
+    """A row per document: doc_id, class, size, sketch, fine.
+
+    ``sketch`` holds the set's parity by hash and packed counts by hash range, ``fine`` packs finer counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in keyed_chunks(batches, limit=PREFIX_BYTES):
+            m = part.num_rows
+            rows, grams = shingle_sets(texts_of(part), n)
+            sizes, classes = _set_facts(rows, grams, m)
+            fine = np.bincount(rows * FINE + (grams >> np.uint64(56)).astype(np.int64), minlength=m * FINE)
+            ranges = np.minimum(fine.reshape(m, RANGES, FINE // RANGES).sum(2), 65_535).astype("<u2").view("<i8")
+            odd = np.bincount(rows * PARITY + (grams >> np.uint64(55)).astype(np.int64), minlength=m * PARITY) & 1
+            odd = np.packbits(odd.astype(np.uint8).reshape(m, PARITY), axis=1, bitorder="little").view("<i8")
+            sketch = np.concatenate([odd, ranges], axis=1)
+            fine = np.minimum(fine, 65_535).astype("<u2").reshape(m, FINE)
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id").cast(pa.int64()), pa.array(_signed(classes)), pa.array(sizes.astype(np.int32)),
+                pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), sketch.shape[1]).cast(pa.list_(pa.int64())),
+                pa.array([f.tobytes() for f in fine], pa.binary())], names=["doc_id", "c", "size", "sketch", "fine"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c long, size int, sketch array<long>, fine binary")
+
+
 def prefix_rows(docs: DataFrame, n: int, percent: int, frequent: pa.Table) -> DataFrame:
-    """A row per document (gram null: doc_id, class, size, sketch, fine) and a row per prefix n-gram (gram, place, class, size).
+    """A row per prefix n-gram: gram, place, class, size. A chunk's copies of a set give rows once.
 
     The order is rare first: n-grams that are not frequent by hash, then frequent ones
     by count. The prefix of a set of ``s`` n-grams has s - ceil(s * t) + 1 of them.
-    ``sketch`` holds
-    the set's parity by hash and packed counts by hash range, ``fine`` packs finer counts. A chunk's copies of a set give
-    prefix rows once.
     """
     sent = docs.sparkSession.sparkContext.broadcast(packed(frequent))
 
@@ -180,28 +204,14 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, frequent: pa.Table) -> Da
             once = np.zeros(m, dtype=bool)
             once[np.unique(np.stack([_signed(classes), sizes]), axis=1, return_index=True)[1]] = True
             kept = (place < length[rows]) & once[rows] if len(rows) else np.zeros(0, dtype=bool)
-            rows2, signed, place = rows[kept], signed[kept], place[kept]
-            k = len(rows2)
-            fine = np.bincount(rows * FINE + (grams >> np.uint64(56)).astype(np.int64), minlength=m * FINE)
-            ranges = np.minimum(fine.reshape(m, RANGES, FINE // RANGES).sum(2), 65_535).astype("<u2").view("<i8")
-            odd = np.bincount(rows * PARITY + (grams >> np.uint64(55)).astype(np.int64), minlength=m * PARITY) & 1
-            odd = np.packbits(odd.astype(np.uint8).reshape(m, PARITY), axis=1, bitorder="little").view("<i8")
-            sketch = np.concatenate([odd, ranges], axis=1)
-            fine = np.minimum(fine, 65_535).astype("<u2").reshape(m, FINE)
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int32)), pa.array(_signed(classes)), pa.array(sizes.astype(np.int32)),
-                part.column("doc_id").cast(pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), sketch.shape[1]).cast(pa.list_(pa.int64())),
-                pa.array([f.tobytes() for f in fine], pa.binary())], names=names)
-            for a in range(0, k, 100_000):
-                b = min(k, a + 100_000)
+            rows, signed, place = rows[kept], signed[kept], place[kept]
+            for a in range(0, len(rows), 100_000):
+                one = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(signed[a:b]), pa.array(place[a:b].astype(np.int32)), pa.array(_signed(classes)[rows2[a:b]]),
-                    pa.array(sizes[rows2[a:b]].astype(np.int32)), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.list_(pa.int64())),
-                    pa.nulls(b - a, pa.binary())], names=names)
+                    pa.array(signed[one]), pa.array(place[one].astype(np.int32)), pa.array(_signed(classes)[rows[one]]),
+                    pa.array(sizes[rows[one]].astype(np.int32))], names=["gram", "place", "c", "size"])
 
-    names = ["gram", "place", "c", "size", "doc_id", "sketch", "fine"]
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "gram long, place int, c long, size int, doc_id long, sketch array<long>, fine binary")
+    return docs.select("text").mapInArrow(run, "gram long, place int, c long, size int")
 
 
 def _least_overlap(size_a: Column, size_b: Column, percent: int) -> Column:
@@ -209,21 +219,37 @@ def _least_overlap(size_a: Column, size_b: Column, percent: int) -> Column:
     return (size_a + size_b) * (percent / (100.0 + percent)) - 1e-6
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length, position and (coarse) suffix filters; each only rules out pairs below the threshold."""
-    size = lambda x: F.col(f"{x}.size")
-    least = _least_overlap(size(a), size(b), percent)
-    length = 100 * F.least(size(a), size(b)) >= percent * F.greatest(size(a), size(b))
-    left = lambda x: size(x) - F.col(f"{x}.place") - 1
-    position = F.least(F.col(f"{a}.place"), F.col(f"{b}.place")) + 1 + F.least(left(a), left(b)) >= least
+def _may_meet(size_a: Column, place_a: Column, size_b: Column, place_b: Column, percent: int) -> Column:
+    """Length and position filters of two sets with a prefix n-gram at these places."""
+    length = F.lit(100).cast("long") * F.least(size_a, size_b) >= F.lit(percent).cast("long") * F.greatest(size_a, size_b)
+    after = F.least(size_a - place_a, size_b - place_b)
+    return length & (F.least(place_a, place_b) + after >= _least_overlap(size_a, size_b, percent))
+
+
+def _sketches_allow(size_a: Column, sketch_a: Column, size_b: Column, sketch_b: Column, percent: int) -> Column:
+    """(Coarse) suffix filter of two sets, the smaller one first or both alike in size."""
+    least = _least_overlap(size_a, size_b, percent)
     # A differing n-gram flips one bit of parity and moves one count by one.
-    sketch = lambda x, k: F.col(f"{x}.sketch")[k]
     words = PARITY // 64
-    flips = sum((F.bit_count(sketch(a, k).bitwiseXOR(sketch(b, k))) for k in range(1, words)),
-                F.bit_count(sketch(a, 0).bitwiseXOR(sketch(b, 0))))
-    count = lambda x, k: F.shiftrightunsigned(sketch(x, words + k // 4), 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF))
-    common = sum((F.least(count(a, k), count(b, k)) for k in range(1, RANGES)), F.least(count(a, 0), count(b, 0)))
-    return length & position & (size(a) + size(b) - 2 * least >= flips) & ((size(b) >= HUGE) | (common >= least))
+    flips = sum((F.bit_count(sketch_a[k].bitwiseXOR(sketch_b[k])) for k in range(1, words)), F.bit_count(sketch_a[0].bitwiseXOR(sketch_b[0])))
+    count = lambda x, k: F.shiftrightunsigned(x[words + k // 4], 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF))
+    common = sum((F.least(count(sketch_a, k), count(sketch_b, k)) for k in range(1, RANGES)), F.least(count(sketch_a, 0), count(sketch_b, 0)))
+    return (size_a + size_b - 2 * least >= flips) & ((F.greatest(size_a, size_b) >= HUGE) | (common >= least))
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Length, position and (coarse) suffix filters; each only rules out pairs below the threshold."""
+    of = lambda x, c: F.col(f"{x}.{c}")
+    return (_may_meet(of(a, "size"), of(a, "place"), of(b, "size"), of(b, "place"), percent)
+            & _sketches_allow(of(a, "size"), of(a, "sketch"), of(b, "size"), of(b, "sketch"), percent))
+
+
+def _coarse_filtered(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, size_a, b, size_b) that their sketches don't rule out."""
+    x = shape.select(F.col("c").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("x"))
+    y = shape.select(F.col("c").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("y"))
+    held = _sketches_allow(F.col("size_a"), F.col("x"), F.col("size_b"), F.col("y"), percent)
+    return pairs.join(x, ["a", "size_a"]).join(y, ["b", "size_b"]).where(held).select("a", "size_a", "b", "size_b")
 
 
 def _suffix_filtered(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
@@ -307,33 +333,41 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select("doc_id", "text")
-    found = scratch(prefix_rows(docs, n, percent, frequent_grams(docs, n)).withColumn("kind", F.col("gram").isNull().cast("int")),
-                    "prefixes", ["kind"])
-    heads = found.where("kind = 1").select("doc_id", "c", "size", "sketch", "fine")
+    heads = scratch(class_rows(docs, n), "heads")
     # One shuffle deals the prefix rows by n-gram; copies, group sizes and leaders are found where they are.
     group = Window.partitionBy("gram")
-    met = (found.where("kind = 0").select("gram", "c", "size", "place").repartition("gram").groupBy("gram", "c", "size")
+    met = (prefix_rows(docs, n, percent, frequent_grams(docs, n)).repartition("gram").groupBy("gram", "c", "size")
            .agg(F.min("place").alias("place"))
            .withColumns({"k": F.count("*").over(group), "leader": F.min(F.struct("c", "size", "place")).over(group)})
-           .where("k > 1").drop("k"))
+           .where("k > 1"))
     met = scratch(met, "met")
     classes = (heads.where("size > 0").groupBy("c", "size")
                .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_class"),
                     F.first("sketch").alias("sketch"), F.first("fine").alias("fine")))
-    facts = scratch(classes.join(met.select("c", "size").distinct(), ["c", "size"], "left_semi"), "facts")
+    # Sets in large groups are good leaders: most of what they hold, others hold too.
+    weights = met.groupBy("c", "size").agg(F.sum("k").alias("weight"))
+    facts = scratch(classes.join(weights, ["c", "size"]), "facts")
     # First meeting: each member with its group's leader, each pair once.
-    stars = (met.where("(c <> leader.c OR size <> leader.size) AND 100L * least(size, leader.size) >= "
-                       f"{percent}L * greatest(size, leader.size)")
-             .select(F.col("leader.c").alias("a"), F.col("leader.size").alias("size_a"), F.col("c").alias("b"),
-                     F.col("size").alias("size_b")).distinct())
-    links = _checked(docs, stars, facts, n, percent)
+    led = met.select("gram", "c", "size", "place", "leader")
+    links = _checked(docs, _coarse_filtered(_stars(led, percent), facts, percent), facts, n, percent)
     roots = _rooted(links)
-    # Second meeting: members of different components, in groups that hold several.
     root = F.coalesce("root", _node("c", "size"))
-    placed = (met.select("gram", "c", "size", "place").join(roots, ["c", "size"], "left").withColumn("root", root)
-              .repartition("gram").withColumns({"r0": F.min("root").over(group), "r1": F.max("root").over(group)})
-              .where("r0 <> r1").drop("r0", "r1"))
-    placed = scratch(placed.join(facts.select("c", "size", "sketch"), ["c", "size"]), "placed")
+    # The leader has met all of its group and leaves; groups of one component have no more to find.
+    left = led.where(~_leads()).drop("leader").join(facts.select("c", "size", "weight"), ["c", "size"])
+    left = scratch(_of_several(left.join(roots, ["c", "size"], "left").withColumn("root", root)), "left")
+    # Further meetings, led by the heaviest member.
+    heaviest = F.max(F.struct("weight", "c", "size", "place", "root")).over(group)
+    for _ in range(1, MEETINGS):
+        led = left.withColumn("leader", heaviest)
+        found = _checked(docs, _coarse_filtered(_stars(led.where("root <> leader.root"), percent), facts, percent), facts, n, percent)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        roots = _rooted(links)
+        left = led.where(~_leads()).drop("leader", "root").join(roots, ["c", "size"], "left").withColumn("root", root)
+        left = scratch(_of_several(left), "left")
+    # Last meeting: all members of different components, in groups that hold several.
+    placed = scratch(left.drop("weight").join(facts.select("c", "size", "sketch"), ["c", "size"]), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     # The smaller set first, equal sizes by class: each pair once a group.
     ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.c") < F.col("y.c")))
@@ -344,6 +378,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     return _labelled(heads, classes, _rooted(links))
 
 
+def _leads() -> Column:
+    """Whether a row is its group's leader."""
+    return (F.col("c") == F.col("leader.c")) & (F.col("size") == F.col("leader.size"))
+
+
+def _stars(led: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, size_a, b, size_b) of a leader and a member that may meet, each once."""
+    of = lambda c: F.col(f"leader.{c}")
+    met = led.where(~_leads() & _may_meet(of("size"), of("place"), F.col("size"), F.col("place"), percent))
+    return met.select(of("c").alias("a"), of("size").alias("size_a"), F.col("c").alias("b"), F.col("size").alias("size_b")).distinct()
+
+
+def _of_several(rows: DataFrame) -> DataFrame:
+    """Rows of n-grams whose rows are of several components (column ``root``)."""
+    group = Window.partitionBy("gram")
+    return (rows.repartition("gram").withColumns({"r0": F.min("root").over(group), "r1": F.max("root").over(group)})
+            .where("r0 <> r1").drop("r0", "r1"))
+
+
 def _checked(docs: DataFrame, pairs: DataFrame, facts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough; sets are made only for pairs that pass the suffix filter."""
     pairs = scratch(_suffix_filtered(pairs, facts.select("c", "size", "fine"), percent), "pairs")

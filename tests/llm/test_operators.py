@@ -510,6 +510,28 @@ def test_many_near_copies_are_one_component(spark):
     assert got == brute_jaccard(rows, 3, 90)
 
 
+@pytest.mark.parametrize("n,percent,edits", [(5, 80, 14)])
+def test_near_copies_that_rarely_link_are_not_expanded_into_pairs(spark, monkeypatch, n, percent, edits):
+    r = random.Random(7)
+    base = ["b%d" % i for i in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.randrange(edits)):
+            w[r.randrange(len(w))] = "e%d" % r.randrange(10**6)
+        rows.append(Row(doc_id=i, text=" ".join(w)))
+    pairs, checked = [], jaccard._checked
+
+    def counted(docs, found, *more):
+        pairs.append(found.count())
+        return checked(docs, found, *more)
+
+    monkeypatch.setattr(jaccard, "_checked", counted)
+    got = collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(rows), n, percent).collect())
+    assert got == brute_jaccard(rows, n, percent)
+    assert sum(pairs) < len(rows), pairs
+
+
 def test_one_of_each_component_stays(docs):
     kept = jaccard.one_per_component(docs, 5, 80)
     assert kept.columns == docs.columns
