@@ -87,7 +87,7 @@ def forms(words: pa.Array) -> Iterator[pa.Array]:
 def features_of(texts: pa.Array, least: int) -> tuple[Sparse, pa.Array]:
     """Values of the words and beginnings that occur in at least ``least`` of the texts, and those words and beginnings."""
     rows, codes, counts, words = word_counts(texts)
-    all_rows, all_codes, all_counts, names, start = [], [], [], [pa.array([], pa.string())], 0
+    all_rows, all_codes, all_values, names, start = [], [], [], [pa.array([], pa.string())], 0
     for form in forms(words):
         has = form.is_valid().to_numpy(zero_copy_only=False)
         of, found = encoded(form.filter(pa.array(has)))
@@ -98,12 +98,13 @@ def features_of(texts: pa.Array, least: int) -> tuple[Sparse, pa.Array]:
         r, f = np.divmod(pairs, max(1, len(found)))
         kept = np.bincount(f, minlength=len(found)) >= least
         held = kept[f]
-        all_rows.append(r[held])
-        all_codes.append((start + np.cumsum(kept) - 1)[f[held]])
-        all_counts.append(n[held])
+        # A sample's rows and features fit 32 bits; the table is the largest thing that the fitting task holds.
+        all_rows.append(r[held].astype(np.int32))
+        all_codes.append((start + np.cumsum(kept) - 1).astype(np.int32)[f[held]])
+        all_values.append(value_of(n[held]))
         names.append(found.filter(pa.array(kept)).cast(pa.string()))
         start += int(kept.sum())
-    return Sparse(np.concatenate(all_rows), np.concatenate(all_codes), value_of(np.concatenate(all_counts)), len(texts), start), pa.concat_arrays(names)
+    return Sparse(np.concatenate(all_rows), np.concatenate(all_codes), np.concatenate(all_values), len(texts), start), pa.concat_arrays(names)
 
 
 @dataclass
@@ -126,14 +127,14 @@ class Sparse:
         return np.bincount(self.cols, weights=r[self.rows] * self.values ** 2, minlength=self.width)
 
     def take(self, mask: np.ndarray) -> Sparse:
-        at = np.cumsum(mask) - 1
+        at = (np.cumsum(mask) - 1).astype(self.rows.dtype)
         held = mask[self.rows]
         return Sparse(at[self.rows[held]], self.cols[held], self.values[held], int(mask.sum()), self.width)
 
     def only(self, cols: np.ndarray) -> Sparse:
-        at = np.full(self.width, -1)
+        at = np.full(self.width, -1, self.cols.dtype)
         at[cols] = np.arange(len(cols))
-        held = at[self.cols] >= 0
+        held = (at >= 0)[self.cols]
         return Sparse(self.rows[held], at[self.cols[held]], self.values[held], self.n, len(cols))
 
 
@@ -141,25 +142,28 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: Sparse, dense: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with L1 and L2 penalties by accelerated proximal steps.
+def fit_linear(x: Sparse, dense: np.ndarray, y: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    """Logistic regression with L1 and L2 penalties by accelerated proximal steps, on the rows of the mask ``learnt``.
 
     Classes weigh the same. Of wide ``x``, only the ``FEATURES`` columns take part that
     part the classes best by themselves. Returns weights of ``x``, then of dense features, then the bias.
     """
-    if x.width > FEATURES and x.n and y.min() < y.max():
-        share = np.where(y == 1, 1 / y.sum(), 1 / (1 - y).sum())
+    known = y[learnt]
+    if not len(known) or known.min() == known.max():
+        w = np.zeros(x.width + dense.shape[1] + 1)
+        w[-1] = -6.0 if not len(known) or known.max() == 0 else 6.0
+        return w
+    if x.width > FEATURES:
+        # Rows that are not learnt from weigh nothing here, so that no fold needs a copy of the wide table.
+        share = np.where(learnt, np.where(y == 1, 1 / known.sum(), 1 / (1 - known).sum()), 0.0)
         score = np.abs(x.dot_t(np.where(y == 1, share, -share))) / np.sqrt(np.maximum(x.squared_t(share * share), 1e-300))
         best = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
-        found = fit_linear(x.only(best), dense, y)
+        found = fit_linear(x.only(best), dense, y, learnt)
         w = np.zeros(x.width)
         w[best] = found[:FEATURES]
         return np.concatenate([w, found[FEATURES:]])
+    x, dense, y = x.take(learnt), dense[learnt], known
     d, m = x.width, dense.shape[1]
-    if x.n == 0 or y.min() == y.max():
-        w = np.zeros(d + m + 1)
-        w[-1] = -6.0 if x.n == 0 or y.max() == 0 else 6.0
-        return w
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / x.n
     # Bound of the curvature, by power iteration.
     v = np.ones(d + m + 1)
@@ -186,13 +190,14 @@ def fit_chain(x: Sparse, labels: dict[str, np.ndarray], folds: np.ndarray) -> li
     """Weights of each category's model, in the order of ``labels``."""
     models, earlier = [], np.zeros((x.n, 0))
     for y in labels.values():
-        models.append(fit_linear(x, earlier, y))
+        models.append(fit_linear(x, earlier, y, np.ones(x.n, dtype=bool)))
         out = np.zeros(x.n)
         for k in range(FOLDS):
             test = folds == k
             if test.any():
-                w = fit_linear(x.take(~test), earlier[~test], y[~test])
-                out[test] = sigmoid(x.take(test).dot(w[:x.width]) + earlier[test] @ w[x.width:-1] + w[-1])
+                w = fit_linear(x, earlier, y, ~test)
+                used = np.flatnonzero(w[:x.width])
+                out[test] = sigmoid(x.only(used).dot(w[used])[test] + earlier[test] @ w[x.width:-1] + w[-1])
         earlier = np.column_stack([earlier, out])
     return models
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -237,6 +238,20 @@ def test_chain_feeds_earlier_probabilities():
     assert [len(m) for m in models] == [width + 1, width + 2] and models[1][width] > 0
 
 
+def test_folds_do_not_copy_a_wide_table(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    r = np.random.RandomState(0)
+    n, width, each = 400, 4 * toxicity.FEATURES, 1_000
+    rows, cols = np.repeat(np.arange(n, dtype=np.int32), each), r.randint(0, width, n * each).astype(np.int32)
+    x = toxicity.Sparse(rows, cols, np.ones(n * each), n, width)
+    tracemalloc.start()
+    toxicity.fit_chain(x, {"a": (np.arange(n) % 3 == 0).astype(float)}, np.arange(n) % toxicity.FOLDS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Room for products of the whole table; a copy for each fold took 1.75 times the table.
+    assert peak < 1.4 * (rows.nbytes + cols.nbytes + x.values.nbytes), peak
+
+
 # ---- 5
 
 
@@ -532,6 +547,19 @@ def test_near_copies_that_rarely_link_are_not_expanded_into_pairs(spark, monkeyp
     assert sum(pairs) < len(rows), pairs
 
 
+def test_sets_to_verify_are_made_from_bounded_texts(spark, monkeypatch):
+    chunks, most = jaccard.keyed_chunks, jaccard.PREFIX_BYTES
+
+    def bounded(batches, column="text", limit=1 << 40):
+        assert limit <= most
+        return chunks(batches, column, limit)
+
+    monkeypatch.setattr(jaccard, "keyed_chunks", bounded)
+    docs = spark.createDataFrame([Row(doc_id=1, text="a b c d"), Row(doc_id=2, text="e")])
+    heads = jaccard.class_rows(docs, 3).select("c", "size", "doc_id")
+    assert sorted((x.size, len(x.grams)) for x in jaccard._class_sets(docs, heads, 3).collect()) == [(1, 8), (2, 16)]
+
+
 def test_one_of_each_component_stays(docs):
     kept = jaccard.one_per_component(docs, 5, 80)
     assert kept.columns == docs.columns
