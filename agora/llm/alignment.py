@@ -4,11 +4,13 @@ Both tokenizers cut the same bytes. Where a cut of one or of both lies, a piece
 that is covered by one token of each: such pieces are the links, and offsets where both
 cut end a group. A task counts the links of its documents by (document, token pair),
 sorts them side-major (the B id first, then the A id), and writes them as zstd-packed
-runs, radix-partitioned by the B id. Runs of a partition are dealt out to slices of
-bounded size, so that a token in all documents is counted by many tasks. Each slice is
-merged with a heap over its runs: once to count pairs, whose sums give the corpus counts
-and the highest count of each B id; and once more, beside those counts in the same
-order, to give every document what its links contribute.
+runs of small blocks, radix-partitioned by the B id. Runs of a partition are dealt out to
+slices of bounded size, so that a token in all documents is counted by many tasks. Each
+slice is merged with a heap over its runs: once to count pairs, whose sums give the corpus
+counts and the highest count of each B id; and once more, beside those counts in the same
+order, to give every document what its links contribute. A merge unpacks a block of each
+run and a bounded number of links besides, whatever the input's size and however often a
+pair occurs.
 """
 
 from __future__ import annotations
@@ -33,15 +35,23 @@ from .shared import encoded, flat_tokens, keyed_chunks, prepare, scratch
 from .token_counts import BLANK, processor
 
 #: Text bytes that are tokenized at once; a longer text is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Links that a task gathers before it writes a run for each partition.
 RUN_LINKS = 2 << 20
 #: Links of a block: what a merge holds of each run.
-BLOCK_LINKS = 1 << 16
+BLOCK_LINKS = 1 << 11
+#: Links that a merge unpacks at a time, beside those it holds.
+MERGE_LINKS = 1 << 18
 #: Bits of the B id by which runs are partitioned.
 RADIX_BITS = 4
 #: Packed bytes of the runs of a slice; runs are not split, so a slice can exceed it by one run.
 SLICE_BYTES = 32 << 20
+#: Runs of a slice at most.
+SLICE_RUNS = 256
+#: B ids of a partition, as bits, whose counted pairs are packed together.
+COUNT_BITS = 7
+#: Documents that a task gathers sums of before it returns them.
+SUM_ROWS = 1 << 19
 #: Documents that share one set of runs: the rest of 64 bits beside the ids.
 MAX_ROWS = 1 << 31
 
@@ -211,7 +221,7 @@ class Runs:
         self.held = self.runs = 0
         self.base: int | None = None
 
-    def add(self, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+    def add(self, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, bytes]]]]:
         """Links of rows (keys of documents); yields what is full."""
         if not len(rows):
             return
@@ -228,16 +238,20 @@ class Runs:
         if self.held >= RUN_LINKS:
             yield from self.flush()
 
-    def flush(self) -> Iterator[tuple[int, int, int, int, bytes]]:
-        """(partition, run, block, first row key, packed links) of all held links."""
+    def flush(self) -> Iterator[tuple[int, int, list[tuple[int, int, bytes]]]]:
+        """(partition, run, its blocks in order) of all held links; a block is its first pair, the first row key, and packed links."""
         if self.held:
-            keys, counts = np.unique(np.concatenate(self.keys), return_counts=True)
-            own = (keys >> np.uint64(64 - self.bits_b)) & np.uint64((1 << RADIX_BITS) - 1)
+            keys, self.keys = np.concatenate(self.keys), []
+            keys.sort()
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts = np.diff(starts, append=len(keys))
+            keys = keys[starts]
+            own = ((keys >> np.uint64(64 - self.bits_b)) & np.uint64((1 << RADIX_BITS) - 1)).astype(np.uint8)
             for p in range(1 << RADIX_BITS):
                 at = np.flatnonzero(own == p)
-                for block, start in enumerate(range(0, len(at), BLOCK_LINKS)):
-                    part = at[start:start + BLOCK_LINKS]
-                    yield p, self.runs, block, self.base, pack(keys[part], counts[part])
+                parts = [at[start:start + BLOCK_LINKS] for start in range(0, len(at), BLOCK_LINKS)]
+                if parts:
+                    yield p, self.runs, [(int(keys[x[0]]) >> self.bits_row, self.base, pack(keys[x], counts[x])) for x in parts]
             self.runs += 1
         self.keys, self.held, self.base = [], 0, None
 
@@ -249,67 +263,89 @@ def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps).tobytes() + counts.astype("<u4").tobytes())
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(data: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = len(raw) // 12
     steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
     return np.cumsum(steps, dtype=np.uint64), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
 
 
-def merged(runs: list[list[tuple[int, bytes]]], bits_row: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """K-way merge of sorted runs, each a list of (first row key, packed block).
+def merged(runs: list[list[tuple[int, int, pa.Buffer]]], bits_row: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """K-way merge of sorted runs, each a list of blocks: first pair, first row key, packed links.
 
-    A heap holds, for each run, the last pair of the block that is loaded; pairs before
-    the least of them are complete and leave together. Yields pair numbers (ascending;
-    a pair comes in one piece), row keys, counts.
+    A heap holds, for each run, the first pair of the next block. Blocks are unpacked in
+    its order, ``MERGE_LINKS`` at a time; then links up to the least pair in the heap leave
+    together, so that at most one block of each run stays. Yields pair numbers, row keys,
+    counts; pairs ascend, but one that occurs very often comes in several pieces.
     """
-    shift = np.uint64(bits_row)
-
-    def load(run: int, block: int):
-        base, data = runs[run][block]
-        keys, counts = unpack(data)
-        return keys >> shift, (keys & np.uint64((1 << bits_row) - 1)).astype(np.int64) + base, counts
-
-    held, heap = [], []
-    for run in range(len(runs)):
-        held.append(load(run, 0))
-        if len(runs[run]) > 1:
-            heapq.heappush(heap, (int(held[-1][0][-1]), run, 0))
-    while True:
-        out = []
-        limit = np.uint64(heap[0][0]) if heap else None
-        for run, part in enumerate(held):
-            k = len(part[0]) if limit is None else int(np.searchsorted(part[0], limit))
-            if k:
-                out.append(tuple(x[:k] for x in part))
-                held[run] = tuple(x[k:] for x in part)
-        if out:
-            pairs, rows, counts = (np.concatenate(x) for x in zip(*out))
-            order = np.argsort(pairs, kind="stable")
-            yield pairs[order], rows[order], counts[order]
-        if limit is None:
-            return
-        # Runs whose loaded block ends at the limit go on with their next one.
-        while heap and heap[0][0] == int(limit):
-            _, run, block = heapq.heappop(heap)
-            more = load(run, block + 1)
-            held[run] = tuple(np.concatenate(x) for x in zip(held[run], more))
-            if block + 2 < len(runs[run]):
-                heapq.heappush(heap, (int(more[0][-1]), run, block + 1))
-
-
-def grouped_runs(table: pa.Table) -> list[list[tuple[int, bytes]]]:
-    """Blocks of a slice by run, in order."""
-    by: dict[int, list[tuple[int, int, bytes]]] = {}
-    for run, block, base, data in zip(*[table.column(c).to_pylist() for c in ("run", "block", "base", "data")]):
-        by.setdefault(run, []).append((block, base, data))
-    return [[(base, data) for _, base, data in sorted(by[run])] for run in sorted(by)]
-
-
-def pair_sums(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs and their sums; equal pairs stand together."""
-    starts = np.flatnonzero(np.diff(pairs, prepend=pairs[0] + np.uint64(1)))
-    return pairs[starts], np.add.reduceat(counts, starts)
+    shift, low = np.uint64(bits_row), np.uint64((1 << bits_row) - 1)
+    heap = [(blocks[0][0], run, 0) for run, blocks in enumerate(runs)]
+    heapq.heapify(heap)
+    held = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while heap:
+        parts, more = [held], 0
+        while heap and more < MERGE_LINKS:
+            _, run, block = heap[0]
+            _, base, data = runs[run][block]
+            keys, counts = unpack(data)
+            parts.append((keys >> shift, (keys & low).astype(np.int64) + base, counts))
+            more += len(keys)
+            if block + 1 < len(runs[run]):
+                heapq.heapreplace(heap, (runs[run][block + 1][0], run, block + 1))
+            else:
+                heapq.heappop(heap)
+        values = tuple(np.concatenate(x) for x in zip(*parts))
+        del parts
+        due = values[0] <= np.uint64(heap[0][0]) if heap else np.ones(len(values[0]), dtype=bool)
+        held = tuple(x[~due] for x in values)
+        values = tuple(x[due] for x in values)
+        order = np.argsort(values[0], kind="stable")
+        yield tuple(x[order] for x in values)
+
+
+def grouped_runs(batches: Iterator[pa.RecordBatch]) -> tuple[list[list[tuple[int, int, pa.Buffer]]], list[tuple[int, pa.Buffer]]]:
+    """Of a slice: blocks by run, in order, and the blocks of counted pairs (run -1) by their first pair."""
+    by: dict[int, list[tuple[int, int, int, pa.Buffer]]] = {}
+    for batch in batches:
+        numbers = [batch.column(c).to_pylist() for c in ("run", "block", "first", "base")]
+        for run, block, first, base, data in zip(*numbers, batch.column("data")):
+            by.setdefault(run, []).append((block, first, base, data.as_buffer()))
+    known = sorted(((first, data) for _, first, _, data in by.pop(-1, [])), key=lambda x: x[0])
+    # A run's block numbers differ, so that buffers are not compared.
+    return [[x[1:] for x in sorted(by[run], key=lambda x: x[0])] for run in sorted(by)], known
+
+
+def keyed_sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], *[np.add.reduceat(v[order], starts) for v in values]
+
+
+class CountedPairs:
+    """Counted pairs of a partition in the runs' order, read along with a merge."""
+
+    def __init__(self, blocks: list[tuple[int, pa.Buffer]]):
+        self.blocks, self.at = blocks, 0
+        self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @staticmethod
+    def pack(pairs: np.ndarray, counts: np.ndarray, best: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(pairs.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + best.astype(np.uint8).tobytes())
+
+    def of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of ascending pairs, and 1 for the best of their B id; the next call's pairs go on from there."""
+        parts = [tuple(x[np.searchsorted(self.held[0], pairs[0]):] for x in self.held)]
+        while self.at < len(self.blocks) and self.blocks[self.at][0] <= int(pairs[-1]):
+            raw = zstandard.ZstdDecompressor().decompress(self.blocks[self.at][1])
+            n = len(raw) // 17
+            parts.append((np.frombuffer(raw, "<i8", n).astype(np.uint64), np.frombuffer(raw, "<i8", n, 8 * n),
+                          np.frombuffer(raw, np.uint8, n, 16 * n).astype(np.int64)))
+            self.at += 1
+        self.held = tuple(np.concatenate(x) for x in zip(*parts))
+        at = np.searchsorted(self.held[0], pairs)
+        return self.held[1][at], self.held[2][at]
 
 
 def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str) -> DataFrame:
@@ -332,7 +368,7 @@ def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str) ->
     numbers = ["n_a", "n_b", "n_groups", "n_links"]
     schema = T.StructType([doc_id, T.StructField("key", T.LongType()), *[T.StructField(c, T.LongType()) for c in numbers],
                            T.StructField("groups_sha256", T.StringType()), T.StructField("part", T.IntegerType()),
-                           T.StructField("run", T.LongType()), T.StructField("block", T.IntegerType()),
+                           T.StructField("run", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()),
                            T.StructField("base", T.LongType()), T.StructField("data", T.BinaryType())])
     a, b = sides(path_a, pattern, path_b)
     bits_a, bits_b = (max(1, (len(t.sizes) - 1).bit_length()) for t in (a.table, b.table))
@@ -344,16 +380,18 @@ def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str) ->
         task = 0
 
         def blocks(found) -> Iterator[pa.RecordBatch]:
-            for p, number, block, base, data in found:
-                values = {"part": p, "run": task + number, "block": block, "base": base, "data": data}
-                yield pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], t) for f, t in zip(schema.fields, arrow)], names=schema.names)
+            for p, number, own in found:
+                n = len(own)
+                first, base, data = zip(*own)
+                values = {"part": [p] * n, "run": [task + number] * n, "block": range(n), "first": first, "base": base, "data": data}
+                yield pa.RecordBatch.from_arrays([pa.array(values.get(f.name, [None] * n), t) for f, t in zip(schema.fields, arrow)], names=schema.names)
 
         arrow = None
         for keys, part in keyed_chunks(batches, limit=CHUNK):
             if arrow is None:
                 # Runs of a task are numbered from its first row key on, so that no two tasks share a number.
                 task = int(keys[0])
-                arrow = [part.column("doc_id").type, *[pa.int64()] * 5, pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                arrow = [part.column("doc_id").type, *[pa.int64()] * 5, pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             found = Aligned(a, b, part.column("text").to_pylist())
             n = len(keys)
             columns = [part.column("doc_id"), pa.array(keys), pa.array(found.n_a), pa.array(found.n_b), pa.array(found.n_groups),
@@ -364,57 +402,63 @@ def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str) ->
 
     made = scratch(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "aligned")
     rows = made.where("data is null").select("doc_id", "key", *numbers, "groups_sha256")
-    runs = made.where("data is not null").select("part", "run", "block", "base", "data")
+    blocks_of = ["part", "run", "block", "first", "base", "data"]
+    runs = made.where("data is not null").select(*blocks_of)
 
-    # Slices: the runs of a partition in order, cut where their packed bytes reach the next multiple.
+    # Slices: the runs of a partition in order, cut where their packed bytes or their number reach the next multiple.
     sizes = runs.groupBy("part", "run").agg(F.sum(F.octet_length("data")).alias("bytes"))
-    before = Window.partitionBy("part").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    sliced = scratch(sizes.select("part", "run", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / SLICE_BYTES).alias("slice")), "slices")
+    order = Window.partitionBy("part").orderBy("run")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    by_bytes = F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / SLICE_BYTES)
+    by_runs = F.floor((F.row_number().over(order) - 1) / SLICE_RUNS)
+    sliced = scratch(sizes.select("part", "run", (by_bytes + by_runs).alias("slice")), "slices")
     dealt = runs.join(sliced, ["part", "run"])
 
-    def count(table: pa.Table) -> pa.Table:
-        found = [pair_sums(pairs, n) for pairs, _, n in merged(grouped_runs(table), bits_row)]
-        pairs, n = (np.concatenate(x) for x in zip(*found))
-        return pa.table({"part": pa.array(np.full(len(pairs), table.column("part")[0].as_py(), dtype=np.int32)),
-                         "pair": pa.array(pairs.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pairs, _, n in merged(grouped_runs(batches)[0], bits_row):
+            pairs, n = keyed_sums(pairs, n)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(n)], names=["pair", "n"])
 
-    counts = dealt.groupBy("part", "slice").applyInArrow(count, "part int, pair long, n long")
-    counts = counts.groupBy("part", "pair").agg(F.sum("n").alias("n"))
+    counts = dealt.groupBy("part", "slice").applyInArrow(count, "pair long, n long")
+    counts = counts.groupBy("pair").agg(F.sum("n").alias("n"))
     # The highest count of a B id: at most one row per id of the model.
     side = F.shiftrightunsigned("pair", bits_a)
     best = scratch(counts, "pairs")
     top = best.groupBy(side.alias("b")).agg(F.max("n").alias("top"))
-    best = best.withColumn("b", side).join(top, "b").select("part", "pair", "n", (F.col("n") == F.col("top")).alias("best"))
+    best = best.withColumn("b", side).join(top, "b").select(
+        side.bitwiseAND(F.lit((1 << RADIX_BITS) - 1)).cast("int").alias("part"),
+        F.shiftrightunsigned("b", COUNT_BITS + RADIX_BITS).alias("ids"), "pair", "n", (F.col("n") == F.col("top")).alias("best"))
 
     def ordered(table: pa.Table) -> pa.Table:
-        """The counts of a partition in the runs' order, packed as a block."""
+        """The counts of some B ids of a partition in the runs' order, packed as a block."""
         table = table.sort_by("pair")
-        values = [table.column(c).to_numpy() for c in ("pair", "n", "best")]
-        data = zstandard.ZstdCompressor(level=1).compress(b"".join([values[0].astype("<i8").tobytes(), values[1].astype("<i8").tobytes(),
-                                                                    values[2].astype(np.uint8).tobytes()]))
-        return pa.table({"part": table.column("part")[:1].combine_chunks(), "data": pa.array([data], pa.binary())})
+        data = CountedPairs.pack(*[table.column(c).to_numpy() for c in ("pair", "n", "best")])
+        return pa.table({"part": table.column("part")[:1].combine_chunks(), "first": table.column("pair")[:1].combine_chunks(),
+                         "data": pa.array([data], pa.binary())})
 
-    packed = best.groupBy("part").applyInArrow(ordered, "part int, data binary")
+    packed = best.groupBy("part", "ids").applyInArrow(ordered, "part int, first long, data binary")
     beside = (sliced.select("part", "slice").distinct().join(packed, "part")
-              .select("part", "slice", F.lit(-1).cast("long").alias("run"), F.lit(0).alias("block"), F.lit(0).cast("long").alias("base"), "data"))
-    both = dealt.select("part", "slice", "run", "block", "base", "data").union(beside)
-
-    def contribute(table: pa.Table) -> pa.Table:
-        known = pc.equal(table.column("run"), -1)
-        raw = zstandard.ZstdDecompressor().decompress(table.filter(known).column("data")[0].as_py())
-        size = len(raw) // 17
-        pair_of = np.frombuffer(raw, "<i8", size).astype(np.uint64)
-        n_of, best_of = np.frombuffer(raw, "<i8", size, 8 * size), np.frombuffer(raw, np.uint8, size, 16 * size).astype(np.int64)
-        keys, total, high = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for pairs, rows, n in merged(grouped_runs(table.filter(pc.invert(known))), bits_row):
-            at = np.searchsorted(pair_of, pairs)
-            every = np.concatenate([keys, rows])
-            add_total, add_high = np.concatenate([total, n * n_of[at]]), np.concatenate([high, n * best_of[at]])
-            order = np.argsort(every, kind="stable")
-            starts = np.flatnonzero(np.diff(every[order], prepend=-1))
-            keys = every[order][starts]
-            total, high = np.add.reduceat(add_total[order], starts), np.add.reduceat(add_high[order], starts)
-        return pa.table({"key": pa.array(keys), "count_sum": pa.array(total), "n_best": pa.array(high)})
+              .select("part", "slice", F.lit(-1).cast("long").alias("run"), F.lit(0).alias("block"), "first", F.lit(0).cast("long").alias("base"), "data"))
+    both = dealt.select("part", "slice", *blocks_of[1:]).union(beside)
+
+    def contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, known = grouped_runs(batches)
+        counted = CountedPairs(known)
+        names, found, held = ["key", "count_sum", "n_best"], [], 0
+        for pairs, rows, n in merged(runs, bits_row):
+            count, is_best = counted.of(pairs)
+            found.append(keyed_sums(rows, n * count, n * is_best))
+            held += len(found[-1][0])
+            if held > SUM_ROWS:
+                found = [keyed_sums(*(np.concatenate(x) for x in zip(*found)))]
+                held = len(found[0][0])
+                if held > SUM_ROWS // 2:
+                    # A document's parts are summed with those of the other slices.
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], names=names)
+                    found, held = [], 0
+        if found:
+            found = keyed_sums(*(np.concatenate(x) for x in zip(*found)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
     given = both.groupBy("part", "slice").applyInArrow(contribute, "key long, count_sum long, n_best long")
     given = given.groupBy("key").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))

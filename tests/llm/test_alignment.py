@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_operators import SCHEMA, odd_documents
 
@@ -92,6 +94,76 @@ def test_packed_blocks_round_trip():
     assert (back[0] == keys).all() and (back[1] == counts).all()
 
 
+def slice_of(links, part):
+    """Runs of one partition as a task of the merge gets them; links: (row keys, A ids, B ids) of each run."""
+    values = []
+    for task, (rows, a, b) in enumerate(links):
+        runs = alignment.Runs(16, 15)
+        found = [x for i in range(0, len(rows), 10_000) for x in runs.add(rows[i:i + 10_000], a[i:i + 10_000], b[i:i + 10_000])]
+        for p, run, blocks in [*found, *runs.flush()]:
+            values += [(task * 100 + run, i, *block) for i, block in enumerate(blocks) if p == part]
+    names = ["run", "block", "first", "base", "data"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    order = np.random.default_rng(2).permutation(len(values))
+    return pa.RecordBatch.from_arrays([pa.array([values[i][k] for i in order], t) for k, t in enumerate(types)], names=names)
+
+
+def test_merge_in_pieces_is_a_plain_count(monkeypatch):
+    """Tiny blocks and steps, and a pair that fills many of them."""
+    for name, value in (("RUN_LINKS", 15_000), ("BLOCK_LINKS", 16), ("MERGE_LINKS", 50)):
+        monkeypatch.setattr(alignment, name, value)
+    rng = np.random.default_rng(3)
+    links = []
+    for task in range(7):
+        rows = np.sort(rng.integers(0, 300, 24_000)) + (task << 40)
+        hot = rng.random(24_000) < 0.5
+        links.append((rows, np.where(hot, 9, rng.integers(0, 50, 24_000)), np.where(hot, 16, rng.integers(0, 400, 24_000) * 16)))
+    pairs = collections.Counter((int(y) << 16) | int(x) for _, a, b in links for x, y in zip(a, b))
+    runs, known = alignment.grouped_runs([slice_of(links, 0)])
+    assert len(runs) > 7 and not known
+    every = sorted(pairs)
+    best = {p: i % 2 for i, p in enumerate(every)}
+    blocks = [(x[0], pa.py_buffer(alignment.CountedPairs.pack(*(np.array(v) for v in (x, [pairs[p] for p in x], [best[p] for p in x])))))
+              for x in (every[i:i + 30] for i in range(0, len(every), 30))]
+    counted, got_pairs, got_rows, last, pieces = alignment.CountedPairs(blocks), collections.Counter(), collections.Counter(), 0, 0
+    for found, rows, n in alignment.merged(runs, 33):
+        assert found[0] >= last and (np.diff(found.astype(np.int64)) >= 0).all()
+        last, pieces = found[-1], pieces + 1
+        total, high = counted.of(found)
+        for key, count in zip(*(x.tolist() for x in alignment.keyed_sums(found, n))):
+            got_pairs[key] += count
+        for key, count, more in zip(*(x.tolist() for x in alignment.keyed_sums(rows, n * total, n * high))):
+            got_rows[key, 0] += count
+            got_rows[key, 1] += more
+    assert got_pairs == pairs and pieces > 50
+    want = collections.Counter()
+    for rows, a, b in links:
+        for row, x, y in zip(rows.tolist(), a.tolist(), b.tolist()):
+            want[row, 0] += pairs[(y << 16) | x]
+            want[row, 1] += best[(y << 16) | x]
+    assert +got_rows == +want
+
+
+def test_merge_holds_blocks_and_not_whole_runs():
+    """64 runs of 60,000 links, one pair a third of them: a merge needs about a block of each run, not all their links."""
+    rng = np.random.default_rng(4)
+    links = []
+    for task in range(64):
+        rows = np.arange(60_000) + (task << 40)
+        hot = rng.random(60_000) < 0.33
+        links.append((rows, np.where(hot, 9, rng.integers(0, 2_000, 60_000)), np.where(hot, 16, rng.integers(0, 2_000, 60_000) * 16)))
+    runs, _ = alignment.grouped_runs([slice_of(links, 0)])
+    del links
+    tracemalloc.start()
+    try:
+        total = sum(int(n.sum()) for _, _, n in alignment.merged(runs, 33))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 64 * 60_000
+    assert peak < 64 << 20
+
+
 def test_other_tokenizer_files_are_refused():
     with pytest.raises((ValueError, KeyError)):
         alignment.SideA(public_tokenizers.path("word_bpe_49k.json"), PATHS[1])
